@@ -35,7 +35,7 @@ spans as (
          least(t + 900000, coalesce(lead(t) over (partition by feed, coin, t // 86400000 order by t), 99999999999999)) as e
   from readings),
 joined as (
-  select g.feed, g.coin, g.p, s.t, s.v, greatest(0, least(s.e, g.p + 300000) - greatest(s.t, g.p)) as held
+  select g.feed, g.coin, g.p, s.t, s.v, case when s.t is null then 0 else greatest(0, least(s.e, g.p + 300000) - greatest(s.t, g.p)) end as held
   from grid g left join spans s on s.feed = g.feed and s.coin = g.coin and s.day = g.day and s.t < g.p + 300000 and s.e > g.p),
 sums as (select feed, coin, p, count(*) filter (t >= p) as n, sum(v * held) as area, coalesce(sum(held), 0) as cov from joined group by all)
 select feed, coin, p as period_ms, case when n > 0 then 'observed' else 'gap' end as state, n as n_readings,
