@@ -49,8 +49,9 @@ def late_corrected(
     replayed (stretches replayed), refused (rows beyond the cut-off; the same in each revision).
     A period whose rows were all refused has one row, revision 0 with 0 events.
 
-    Plan: copies vanish in the first map-side combine, events in the second; what is gathered per
-    period is bounded by (period/checkpoint) x (1 + cutoff/trigger) states, however many events.
+    Plan: copies vanish in a map-side combine; one more shuffle by (key, period) serves both the states
+    and their gathering, and spreads a hot key over all tasks. What is gathered per period is bounded by
+    (period/checkpoint) x (1 + cutoff/trigger) states, however many events.
     """
     other = [c for c in events.columns if c not in (arrival, ordinal)]
     e = (
@@ -64,6 +65,7 @@ def late_corrected(
     at = F.when(F.col("p__").isNotNull(), F.struct(F.col("t__").alias("t"), F.col("ord__").alias("o"), F.col("p__").alias("p")))
     e = e.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)], F.col(ts).alias("t__"), "minute__", "ord__", p.alias("p__"), q.alias("q__"), rev.alias("rev"))
     keys = [f"k{i}" for i in range(len(key))]
+    e = e.repartition(*keys, "minute__")  # serves the states and what is gathered of them
     stretch = F.floor((F.col("t__") - F.col("minute__")) / checkpoint_ms).cast("int").alias("cut")
     zero = F.lit(0.0)
     states = e.groupBy(*keys, "minute__", "rev", stretch).agg(
