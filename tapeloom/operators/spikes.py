@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.clean import DAY_MS, known
-from tapeloom.session import cut
+from tapeloom.session import cut, small
 
 
 @dataclass(frozen=True)
@@ -39,38 +39,40 @@ class Feed:
     ignore: list[str] = field(default_factory=list)
 
 
-def _readings(feed: Feed) -> DataFrame:
-    """Long form: one row per delivery and field, h names the delivery's content."""
-    same = sorted(c for c in feed.rows.columns if c not in {feed.ts, feed.ordinal, *feed.ignore})
-    values = [F.struct(F.lit(r.field).alias("field"), F.when(known(F.col(r.field).cast("double"), r.zero_missing), F.col(r.field).cast("double")).alias("v")) for r in feed.rules]
-    return (
-        feed.rows.select(F.lit(feed.name).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("c")) for c in same]).alias("h"), F.array(*values).alias("values"))
-        .where("src is not null and t is not null")
-        .select("feed", "src", "t", "o", "h", F.inline("values"))
-        .where("v is not null")
-    )
+KEY = ["feed", "src"]
+COMBOS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
 
 
-def _per_rule(feeds: list[Feed], pick: Callable[[FieldRule], Column]) -> Column:
-    cases = [((F.col("feed") == f.name) & (F.col("field") == r.field), pick(r)) for f in feeds for r in f.rules]
-    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+def _deliveries(feed: Feed, width: int) -> DataFrame:
+    """feed, src, t, o, h and the feed's fields as v0, v1, ...; h names what else the delivery holds."""
+    fields = [r.field for r in feed.rules]
+    same = sorted(c for c in feed.rows.columns if c not in {feed.source, feed.ts, feed.ordinal, *feed.ignore, *fields})
+    rest = F.xxhash64(*[x for c in same for x in (F.col(c).isNull(), F.col(c))]) if same else F.lit(0).cast("bigint")
+    values = [F.when(known(F.col(r.field).cast("double"), r.zero_missing), F.col(r.field).cast("double")) for r in feed.rules]
+    values += [F.lit(None).cast("double")] * (width - len(values))
+    raw = [F.col(c).cast("double") for c in fields]
+    # a missing value and the kind of it are part of the content, so that copies stay copies
+    h = F.xxhash64(rest, *[x for c in raw for x in (c.isNull(), F.coalesce(F.isnan(c), F.lit(False)))])
+    return feed.rows.select(F.lit(feed.name).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
 
 
-KEY = ["feed", "field", "src"]
-
-
-def _with_halo(once: DataFrame, halo: int, block_ms: int) -> DataFrame:
-    """Blocks of block_ms per source, each with up to halo readings before and after it (own = false)."""
-    a = once.withColumn("block", F.col("t") - F.pmod("t", F.lit(block_ms)))
+def _with_halo(once: DataFrame, halo: int, block_ms: int, values: list[str]) -> DataFrame:
+    """Blocks of block_ms per source, each with up to halo readings of every field before and after it (own = false)."""
+    a = once.withColumn("block", F.col("t") - F.pmod("t", F.lit(block_ms))).repartition(*KEY, "block")
     part = Window.partitionBy(*KEY, "block")
-    edges = a.withColumns({"rn": F.row_number().over(part.orderBy("t", "o")), "cnt": F.count("*").over(part)}).where((F.col("rn") <= halo) | (F.col("rn") > F.col("cnt") - halo))
+    order = part.orderBy("t", "o")
+    ranks = {f"n_{v}": F.count(v).over(order) for v in values} | {f"c_{v}": F.count(v).over(part) for v in values}
+    near_edge = reduce(lambda x, y: x | y, [(F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo) for v in values])
+    row = F.struct("t", "o", "h", "copies", *values)
+    edges = a.withColumns(ranks).withColumns({"first": F.row_number().over(order) == 1, "last": F.lead("t").over(order).isNull()}).where(near_edge | F.col("first") | F.col("last"))
     line = Window.partitionBy(*KEY).orderBy("t", "o")
-    x = F.struct("t", "o", "v")
-    near = edges.withColumns({"prev": F.collect_list(x).over(line.rowsBetween(-halo, -1)), "next": F.collect_list(x).over(line.rowsBetween(1, halo))})
-    none = F.array().cast("array<struct<t:bigint,o:bigint,v:double>>")
-    copies = near.where("rn = 1 or rn = cnt").select(*KEY, "block", F.inline(F.concat(F.when(F.col("rn") == 1, F.col("prev")).otherwise(none), F.when(F.col("rn") == F.col("cnt"), F.col("next")).otherwise(none))))
-    own = a.select(*KEY, "block", "t", "o", "v", "h", "copies", F.lit(True).alias("own"))
-    return own.unionByName(copies.withColumns({"h": F.lit(None).cast("bigint"), "copies": F.lit(0).cast("bigint"), "own": F.lit(False)}))
+    reach = halo * len(values)
+    near = edges.withColumns({"prev": F.collect_list(row).over(line.rowsBetween(-reach, -1)), "next": F.collect_list(row).over(line.rowsBetween(1, reach))})
+    none = F.filter("prev", lambda _: F.lit(False))
+    sides = F.concat(F.when(F.col("first"), F.col("prev")).otherwise(none), F.when(F.col("last"), F.col("next")).otherwise(none))
+    copies = near.where("first or last").select(*KEY, "block", F.inline(sides)).repartition(*KEY, "block")
+    cols = [*KEY, "block", "t", "o", "h", "copies", *values]
+    return a.select(*cols, F.lit(True).alias("own")).union(copies.select(*cols, F.lit(False)))
 
 
 def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2) -> DataFrame:
@@ -90,75 +92,119 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
     per source, refitted to the points inside it `iterations` times; a point outside any of them is a
     candidate. A step of more than 25 medians is outside for any n below e^140, so the exact check
     of the run that the candidate starts decides, and loses nothing.
-    Medians are percentile_approx sketches of bounded size, rank error below 1e-4.
+    Medians are percentile_approx sketches of bounded size, rank error 1e-3.
 
     Result: feed, field, src, t, ordinal, fault.
 
     Plan: sources are cut into blocks of block_ms with a halo of neighbours, so that a source with
-    a third of the rows is many tasks; the pass per source sees the block edges only.
+    a third of the rows is many tasks; the pass per source sees the block edges only. All fields of a
+    feed are judged in one row; the passes for the ellipsoids and the last one read one shuffle.
+    What is normal for a source is broadcast if the counted sources are few, joined otherwise.
     """
-    long = reduce(DataFrame.unionByName, [_readings(f) for f in feeds])
-    once = long.groupBy(*KEY, "t", "h").agg(F.first("v").alias("v"), F.min("o").alias("o"), F.count("*").alias("copies"))
+    width = max(len(f.rules) for f in feeds)
+    slots = range(width)
+    values = [f"v{i}" for i in slots]
+    raw = reduce(DataFrame.unionByName, [_deliveries(f, width) for f in feeds])
+    once = raw.groupBy(*KEY, "t", "h", *values).agg(F.min("o").alias("o"), F.count("*").alias("copies"))
+    n_sources = raw.select(*KEY).distinct().count()
     halo = max(3, *(r.stuck_run - 1 for f in feeds for r in f.rules)) + 3
-    rows = _with_halo(once, halo, block_ms)
-
-    bad = _per_rule(feeds, lambda r: r.impossible(F.col("v")))
-    relative = _per_rule(feeds, lambda r: F.lit(r.relative))
-    spiky = _per_rule(feeds, lambda r: F.lit(r.spike_factor is not None))
-    rows = rows.withColumns({"bad": bad, "g": F.when(~bad & spiky, F.col("v"))})
-    part = "(partition by feed, field, src, block order by t, o)"
-    near = {f"p{k}": F.expr(f"lag(g, {k}) ignore nulls over {part}") for k in (1, 2, 3)} | {f"q{k}": F.expr(f"lead(g, {k}) ignore nulls over {part}") for k in (1, 2, 3)}
+    rows = _with_halo(once, halo, block_ms, values)
+
+    def rule(i: int, pick: Callable[[FieldRule], Column]) -> Column:
+        cases = [(F.col("feed") == f.name, pick(f.rules[i])) for f in feeds if i < len(f.rules)]
+        return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+
+    spiky = [i for i in slots if any(i < len(f.rules) and f.rules[i].spike_factor is not None for f in feeds)]
+    high = [i for i in slots if any(i < len(f.rules) and f.rules[i].high_factor is not None for f in feeds)]
+    part = "(partition by feed, src, block order by t, o)"
     w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
-    new_run = F.when(F.lag("v").over(w).eqNullSafe(F.col("v")), 0).otherwise(1)
-    seen = rows.withColumns({**near, "start": new_run}).withColumn("run", F.sum("start").over(w))
-    seen = seen.withColumn("len", F.count("*").over(Window.partitionBy(*KEY, "block", "run"))).where("own")
 
-    # the phase space: u, first and second difference at the reading, lags at offset a
-    def u(c: str) -> Column:
-        return F.when(relative, F.when(F.col(c) > 0, F.ln(c)).otherwise(F.lit(None))).otherwise(F.col(c))
+    def name(i: int, k: int) -> str:
+        return f"g{i}" if k == 0 else f"g{i}_m{-k}" if k < 0 else f"g{i}_p{k}"
+
+    rows = rows.withColumns({f"bad{i}": F.coalesce(rule(i, lambda r, i=i: r.impossible(F.col(f"v{i}"))), F.lit(False)) for i in slots})
+    rows = rows.withColumns({f"g{i}": F.when(~F.col(f"bad{i}") & rule(i, lambda r: F.lit(r.spike_factor is not None)), F.col(f"v{i}")) for i in spiky})
+    near = {name(i, s * k): F.expr(f"{'lag' if s < 0 else 'lead'}(g{i}, {k}) ignore nulls over {part}") for i in spiky for s in (-1, 1) for k in (1, 2, 3)}
+    before = {f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {part}") for i in slots}
+    seen = rows.withColumns(near | before)
+
+    def u(i: int, k: int) -> Column:
+        x = F.col(name(i, k))
+        return F.when(rule(i, lambda r: F.lit(r.relative)), F.when(x > 0, F.ln(x))).otherwise(x)
+
+    def d1(i: int, k: int = 0) -> Column:
+        return u(i, k) - u(i, k - 1)
+
+    def d2(i: int, k: int = 0) -> Column:
+        return u(i, k + 1) - 2 * u(i, k) + u(i, k - 1)
 
-    seen = seen.withColumns({"rel": relative, "d1": u("g") - u("p1"), "d2": u("q1") - 2 * u("g") + u("p1"), "u": u("g"), "step": F.when(relative, F.abs(F.col("g") / F.col("p1") - 1)).otherwise(F.abs(F.col("g") - F.col("p1")))})
-    med = lambda c, p=0.5: F.percentile_approx(c, p, 10000)
+    def far(i: int, x: Column, y: Column) -> Column:
+        return F.when(rule(i, lambda r: F.lit(r.relative)), F.abs(x / y - 1)).otherwise(F.abs(x - y))
 
-    def axes(points: DataFrame, tag: str) -> DataFrame:
-        """Centre and semi-axes of the ellipsoid over the points given."""
-        lam = F.sqrt(2 * F.ln(F.greatest(F.count("*"), F.lit(2))))
-        fit = points.groupBy(*KEY).agg(lam.alias("lam"), med("u", [0.25, 0.5, 0.75]).alias("uq"), med(F.abs("d1")).alias("m1"), med(F.abs("d2")).alias("m2"), *([med("step").alias("m"), med("v").alias("mv")] if not tag else []))
-        k = 1.4826
-        return fit.select(*KEY, F.col("uq")[1].alias(f"c{tag}"), (F.col("lam") * (F.col("uq")[2] - F.col("uq")[0]) / 1.349).alias(f"a{tag}"), (F.col("lam") * k * F.col("m1")).alias(f"b{tag}"), (F.col("lam") * k * F.col("m2")).alias(f"e{tag}"), *([F.col("m"), F.col("mv")] if not tag else []))
+    med = lambda c, p=0.5: F.percentile_approx(c, p, 1000)
 
-    def outside(tag: str, x: Column, d1: Column, d2: Column) -> Column:
+    def outside(i: int, tag: int, k: int = 0) -> Column:
+        e = F.col(f"e{i}_{tag}")
         part = lambda num, axis: F.coalesce(F.when(axis > 0, (num / axis) ** 2).when(num != 0, F.lit(float("inf"))), F.lit(0.0))
-        return part(x - F.col(f"c{tag}"), F.col(f"a{tag}")) + part(d1, F.col(f"b{tag}")) + part(d2, F.col(f"e{tag}")) > 1
-
-    stats = axes(seen, "")
-    tags = [""]
-    for i in range(1, iterations):
-        inner = seen.join(stats, KEY).where(~outside(tags[-1], F.col("u"), F.col("d1"), F.col("d2")) | F.col("u").isNull())
-        stats = stats.join(axes(inner, str(i)), KEY)
-        tags.append(str(i))
-    judged = seen.join(stats, KEY)
-
-    at = lambda k: F.col("g" if k == 0 else f"p{-k}" if k < 0 else f"q{k}")
-    name = lambda k: "g" if k == 0 else f"p{-k}" if k < 0 else f"q{k}"
-    limit = _per_rule(feeds, lambda r: F.lit(r.spike_factor)) * F.col("m")
-    far = lambda x, y: F.when(F.col("rel"), F.abs(x / y - 1)).otherwise(F.abs(x - y))
-
-    def spike(a: int, b: int) -> Column:
+        return part(u(i, k) - e["c"], e["a"]) + part(d1(i, k), e["b"]) + part(d2(i, k), e["d"]) > 1
+
+    def fitted(points: DataFrame, tag: int, kept: list[str]) -> DataFrame:
+        """Per source and field the ellipsoid over the points that lie inside the one before, or over all; kept are the columns of those before."""
+        aggs = [F.first(c).alias(c) for c in kept]
+        for i in spiky:
+            inside = F.lit(True) if not tag else ~F.coalesce(outside(i, tag - 1), F.lit(False))
+            on = lambda c: F.when(inside, c)  # noqa: B023, E731
+            aggs += [F.count(on(u(i, 0))).alias(f"n{i}"), med(on(u(i, 0)), [0.25, 0.5, 0.75]).alias(f"q{i}"), med(F.abs(on(d1(i)))).alias(f"s{i}"), med(F.abs(on(d2(i)))).alias(f"t{i}")]
+            if not tag:
+                aggs.append(med(far(i, F.col(name(i, 0)), F.col(name(i, -1)))).alias(f"m{i}"))
+        if not tag:
+            aggs += [med(f"v{i}").alias(f"mv{i}") for i in high]
+        # every pass asks for all columns, so that all of them read one shuffle
+        fit = points.groupBy(*KEY).agg(*aggs, *[F.max(c).alias(f"max_{c}") for c in ("h", "copies", *values)])
+        whole = reduce(lambda x, y: x | y, [F.col(f"max_{c}").isNotNull() for c in ("h", "copies", *values)])
+        out = [*KEY, *kept]
+        for i in spiky:
+            lam = F.sqrt(2 * F.ln(F.greatest(F.col(f"n{i}"), F.lit(2))))
+            q = F.col(f"q{i}")
+            out.append(F.struct(F.when(whole, q[1]).alias("c"), (lam * (q[2] - q[0]) / 1.349).alias("a"), (lam * 1.4826 * F.col(f"s{i}")).alias("b"), (lam * 1.4826 * F.col(f"t{i}")).alias("d")).alias(f"e{i}_{tag}"))
+        if not tag:
+            out += [F.col(f"m{i}") for i in spiky] + [F.col(f"mv{i}") for i in high]
+        return fit.select(*out)
+
+    def spike(i: int, a: int, b: int) -> Column:
         """The reading stands in a run from offset 1-a to b-1, between the readings at -a and b."""
-        first = 1 - a
-        d1 = u(name(first)) - u(name(-a))
-        d2 = u(name(first + 1)) - 2 * u(name(first)) + u(name(-a))
-        candidate = reduce(lambda x, y: x | y, [outside(tag, u(name(first)), d1, d2) for tag in tags])
-        away = [far(at(j), at(e)) > limit for j in range(1 - a, b) for e in (-a, b)]
-        return reduce(lambda x, y: x & y, [candidate, *away, far(at(b), at(-a)) < limit])
-
-    combos = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
-    is_spike = F.col("g").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(spike(a, b), F.lit(False)) for a, b in combos])
-    high = _per_rule(feeds, lambda r: F.lit(r.high_factor)) * F.col("mv")
-    stuck = (F.col("len") >= _per_rule(feeds, lambda r: F.lit(r.stuck_run))) & (F.col("start") == 0)
-    faults = F.filter(F.array(F.when(F.col("bad"), "impossible"), F.when(is_spike, "spike"), F.when(F.col("v") > high, "high"), F.when(stuck, "stuck")), lambda x: x.isNotNull())
-    flagged = cut(judged.select(*KEY, "t", "h", "o", "copies", faults.alias("faults")).where(F.size("faults") > 0))
-    again = long.join(flagged.where("copies > 1").select(*KEY, "t", "h", "faults"), [*KEY, "t", "h"]).select(*KEY, "t", "o", "faults")
+        at = lambda k: F.col(name(i, k))
+        limit = rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"m{i}")
+        candidate = reduce(lambda x, y: x | y, [outside(i, tag, 1 - a) for tag in range(iterations)])
+        away = [far(i, at(j), at(e)) > limit for j in range(1 - a, b) for e in (-a, b)]
+        return reduce(lambda x, y: x & y, [*away, far(i, at(b), at(-a)) < limit, candidate])
+
+    # the length of a run of equal readings, by its number in the block
+    starts = {f"start{i}": F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"v{i}").eqNullSafe(F.col(f"b{i}")), 1).otherwise(0) for i in slots}
+    runs = {f"run{i}": F.sum(f"start{i}").over(w) for i in slots}
+    lens = {f"len{i}": F.count(f"v{i}").over(Window.partitionBy(*KEY, "block", f"run{i}")) for i in slots}
+    judged = seen.withColumns(starts).withColumns(runs).withColumns(lens).where("own")
+    base = seen.where("own")
+    fit, kept = None, []
+    for tag in range(iterations):
+        fit = fitted(base if fit is None else base.join(small(fit, n_sources), KEY), tag, kept)
+        kept = [c for c in fit.columns if c not in KEY]
+    judged = judged.join(small(fit, n_sources), KEY)
+
+    faults = []
+    for i in slots:
+        label = rule(i, lambda r: F.lit(r.field))
+        mark = lambda cond, kind: F.when(cond, F.struct(label.alias("field"), F.lit(kind).alias("fault")))  # noqa: B023, E731
+        faults.append(mark(F.col(f"bad{i}"), "impossible"))
+        stuck = (F.col(f"len{i}") >= rule(i, lambda r: F.lit(r.stuck_run))) & (F.col(f"start{i}") == 0) & F.col(f"v{i}").isNotNull()
+        faults.append(mark(stuck, "stuck"))
+        if i in spiky:
+            faults.append(mark(F.col(f"g{i}").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(spike(i, a, b), F.lit(False)) for a, b in COMBOS]), "spike"))
+        if i in high:
+            faults.append(mark(F.col(f"v{i}") > rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"mv{i}"), "high"))
+    found = F.filter(F.array(*faults), lambda x: x.isNotNull())
+    flagged = cut(judged.select(*KEY, "t", "h", "o", "copies", *values, found.alias("faults")).where(F.size("faults") > 0))
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) if c in values else F.col(f"r.{c}") == F.col(f"f.{c}") for c in [*KEY, "t", "h", *values]])
+    again = raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.faults")
     every = flagged.where("copies = 1").select(*KEY, "t", "o", "faults").unionByName(again)
-    return every.select(*KEY, "t", F.col("o").alias("ordinal"), F.explode("faults").alias("fault"))
+    return every.select("feed", "src", "t", F.col("o").alias("ordinal"), F.inline("faults"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -33,3 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int, bound: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if the rows counted beforehand are within the bound; else Spark chooses the join."""
+    return F.broadcast(df) if rows <= bound else df
