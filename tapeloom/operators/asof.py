@@ -66,10 +66,10 @@ def nearest_horizon(rows: DataFrame, key: list[str], ts: str, order: str, value:
     Equal distance goes to the earlier row, or the later one if later_on_tie; past the end the last row
     counts; the last row itself has none. Two as-of lookups and a comparison of distances.
     """
-    probe = rows.select(*key, (F.col(ts) + horizon).alias(ts), order, F.col(ts).alias("own_ts"))
-    target = rows.select(*key, ts, order, F.col(ts).alias("at"), F.col(order).alias("no"), F.col(value).alias("v"))
-    before = asof_backward(probe, target.select(*key, ts, order, F.struct("at", "no", "v").alias("b")), key, ts, order, ["b"])
-    both = asof_forward(before, target.select(*key, ts, order, F.struct("at", "no", "v").alias("a")), key, ts, order, ["a"], strict=True)
+    probe = rows.select(*key, (F.col(ts) + horizon).alias(ts), order)
+    target = lambda name: rows.select(*key, ts, order, F.struct(F.col(ts).alias("at"), F.col(order).alias("no"), F.col(value).alias("v")).alias(name))
+    before = asof_backward(probe, target("b"), key, ts, order, ["b"])
+    both = asof_forward(before, target("a"), key, ts, order, ["a"], strict=True)
     later = F.when(F.col("b.no") > F.col(order), F.col("b"))
     near = F.col(ts) - F.col("later.at")
     far = F.col("a.at") - F.col(ts)
