@@ -43,8 +43,8 @@ KEY = ["feed", "src"]
 COMBOS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
 
 
-def _deliveries(feed: Feed, width: int) -> DataFrame:
-    """feed, src, t, o, h and the feed's fields as v0, v1, ...; h names what else the delivery holds."""
+def _deliveries(feed: Feed, no: int, width: int) -> DataFrame:
+    """feed (its number), src, t, o, h and the feed's fields as v0, v1, ...; h names what else the delivery holds."""
     fields = [r.field for r in feed.rules]
     same = sorted(c for c in feed.rows.columns if c not in {feed.source, feed.ts, feed.ordinal, *feed.ignore, *fields})
     rest = F.xxhash64(*[x for c in same for x in (F.col(c).isNull(), F.col(c))]) if same else F.lit(0).cast("bigint")
@@ -53,7 +53,7 @@ def _deliveries(feed: Feed, width: int) -> DataFrame:
     raw = [F.col(c).cast("double") for c in fields]
     # a missing value and the kind of it are part of the content, so that copies stay copies
     h = F.xxhash64(rest, *[x for c in raw for x in (c.isNull(), F.coalesce(F.isnan(c), F.lit(False)))])
-    return feed.rows.select(F.lit(feed.name).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
+    return feed.rows.select(F.lit(no).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
 
 
 def _with_halo(once: DataFrame, halo: int, block_ms: int, values: list[str]) -> DataFrame:
@@ -104,14 +104,15 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
     width = max(len(f.rules) for f in feeds)
     slots = range(width)
     values = [f"v{i}" for i in slots]
-    raw = reduce(DataFrame.unionByName, [_deliveries(f, width) for f in feeds])
+    raw = reduce(DataFrame.unionByName, [_deliveries(f, no, width) for no, f in enumerate(feeds)])
     once = raw.groupBy(*KEY, "t", "h", *values).agg(F.min("o").alias("o"), F.count("*").alias("copies"))
+    once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
     n_sources = raw.select(*KEY).distinct().count()
     halo = max(3, *(r.stuck_run - 1 for f in feeds for r in f.rules)) + 3
     rows = _with_halo(once, halo, block_ms, values)
 
     def rule(i: int, pick: Callable[[FieldRule], Column]) -> Column:
-        cases = [(F.col("feed") == f.name, pick(f.rules[i])) for f in feeds if i < len(f.rules)]
+        cases = [(F.col("feed") == no, pick(f.rules[i])) for no, f in enumerate(feeds) if i < len(f.rules)]
         return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
 
     spiky = [i for i in slots if any(i < len(f.rules) and f.rules[i].spike_factor is not None for f in feeds)]
@@ -125,8 +126,7 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
     rows = rows.withColumns({f"bad{i}": F.coalesce(rule(i, lambda r, i=i: r.impossible(F.col(f"v{i}"))), F.lit(False)) for i in slots})
     rows = rows.withColumns({f"g{i}": F.when(~F.col(f"bad{i}") & rule(i, lambda r: F.lit(r.spike_factor is not None)), F.col(f"v{i}")) for i in spiky})
     near = {name(i, s * k): F.expr(f"{'lag' if s < 0 else 'lead'}(g{i}, {k}) ignore nulls over {part}") for i in spiky for s in (-1, 1) for k in (1, 2, 3)}
-    before = {f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {part}") for i in slots}
-    seen = rows.withColumns(near | before)
+    seen = rows.withColumns(near)
 
     def u(i: int, k: int) -> Column:
         x = F.col(name(i, k))
@@ -179,32 +179,37 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
         away = [far(i, at(j), at(e)) > limit for j in range(1 - a, b) for e in (-a, b)]
         return reduce(lambda x, y: x & y, [*away, far(i, at(b), at(-a)) < limit, candidate])
 
-    # the length of a run of equal readings, by its number in the block
-    starts = {f"start{i}": F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"v{i}").eqNullSafe(F.col(f"b{i}")), 1).otherwise(0) for i in slots}
-    runs = {f"run{i}": F.sum(f"start{i}").over(w) for i in slots}
-    lens = {f"len{i}": F.count(f"v{i}").over(Window.partitionBy(*KEY, "block", f"run{i}")) for i in slots}
-    judged = seen.withColumns(starts).withColumns(runs).withColumns(lens).where("own")
+    # stuck: readings equal to the one before, counted per run; the few of them are all that is sorted by run
+    before = {f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {part}") for i in slots}
+    starts = {f"run{i}": F.sum(F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"v{i}").eqNullSafe(F.col(f"b{i}")), 1).otherwise(0)).over(w) for i in slots}
+    equal = F.array(*[F.when(F.col(f"v{i}") == F.col(f"b{i}"), F.struct(F.lit(i).alias("slot"), F.col(f"run{i}").alias("run"))) for i in slots])
+    repeats = rows.withColumns(before).withColumns(starts).withColumn("equal", F.filter(equal, lambda x: x.isNotNull())).where(F.size("equal") > 0)
+    repeats = repeats.select(*KEY, "block", "t", "h", "o", "copies", *values, "own", F.inline("equal"))
+    repeats = repeats.withColumn("len", 1 + F.count("*").over(Window.partitionBy(*KEY, "block", "slot", "run"))).where("own")
+    per_slot = lambda pick: reduce(lambda acc, i: acc.when(F.col("slot") == i, rule(i, pick)), slots[1:], F.when(F.col("slot") == 0, rule(0, pick)))
+    stuck = repeats.where(F.col("len") >= per_slot(lambda r: F.lit(r.stuck_run)))
+    stuck = stuck.select(*KEY, "t", "h", "o", "copies", *values, F.array(F.struct(per_slot(lambda r: F.lit(r.field)).alias("field"), F.lit("stuck").alias("fault"))).alias("faults"))
+
     base = seen.where("own")
     fit, kept = None, []
     for tag in range(iterations):
         fit = fitted(base if fit is None else base.join(small(fit, n_sources), KEY), tag, kept)
         kept = [c for c in fit.columns if c not in KEY]
-    judged = judged.join(small(fit, n_sources), KEY)
+    judged = seen.where("own").join(small(fit, n_sources), KEY)
 
     faults = []
     for i in slots:
         label = rule(i, lambda r: F.lit(r.field))
         mark = lambda cond, kind: F.when(cond, F.struct(label.alias("field"), F.lit(kind).alias("fault")))  # noqa: B023, E731
         faults.append(mark(F.col(f"bad{i}"), "impossible"))
-        stuck = (F.col(f"len{i}") >= rule(i, lambda r: F.lit(r.stuck_run))) & (F.col(f"start{i}") == 0) & F.col(f"v{i}").isNotNull()
-        faults.append(mark(stuck, "stuck"))
         if i in spiky:
             faults.append(mark(F.col(f"g{i}").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(spike(i, a, b), F.lit(False)) for a, b in COMBOS]), "spike"))
         if i in high:
             faults.append(mark(F.col(f"v{i}") > rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"mv{i}"), "high"))
     found = F.filter(F.array(*faults), lambda x: x.isNotNull())
-    flagged = cut(judged.select(*KEY, "t", "h", "o", "copies", *values, found.alias("faults")).where(F.size("faults") > 0))
+    flagged = cut(judged.select(*KEY, "t", "h", "o", "copies", *values, found.alias("faults")).where(F.size("faults") > 0).union(stuck))
     same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) if c in values else F.col(f"r.{c}") == F.col(f"f.{c}") for c in [*KEY, "t", "h", *values]])
     again = raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.faults")
     every = flagged.where("copies = 1").select(*KEY, "t", "o", "faults").unionByName(again)
-    return every.select("feed", "src", "t", F.col("o").alias("ordinal"), F.inline("faults"))
+    names = F.array(*[F.lit(f.name) for f in feeds])
+    return every.select(names[F.col("feed")].alias("feed"), "src", "t", F.col("o").alias("ordinal"), F.inline("faults"))
