@@ -25,23 +25,26 @@ def apply_changes(changes: DataFrame, key: list[str], order: list[str], fields:
     spark = changes.sparkSession
     skip = {ordinal, *(arrival or [])}
     kept = [c for c in changes.columns if c not in skip]
-    keys = ", ".join(f"`{c}`" for c in key)
     known = " and ".join(f"`{c}` is not null" for c in [*key, *order])
     seq = "struct(" + ", ".join(f"`{c}`" for c in [*order, ordinal]) + ")"
     once = spark.sql(f"select {', '.join(f'`{c}`' for c in kept)}, min(`{ordinal}`) as `{ordinal}` from {{t}} where {known} group by {', '.join(f'`{c}`' for c in kept)}", t=changes)
-    test = {f: f"not del and ({(sets or {}).get(f, f'`{f}` is not null')})" for f in fields}
-    aggs = ", ".join(f"max_by(`{f}`, struct(seq, `{f}`)) filter (where {test[f]}) as f{i}, max(seq) filter (where {test[f]}) as s{i}" for i, f in enumerate(fields))
+    n = range(len(fields))
+    aggs = ", ".join(f"max_by(v{i}, struct(seq, v{i})) filter (where b{i}) as f{i}, max(seq) filter (where b{i}) as s{i}" for i in n)
     latest = ", ".join(f"case when s{i} > floor_seq or floor_seq is null or (s{i} = floor_seq and not gone) then f{i} end as `{f}`" for i, f in enumerate(fields))
-    stands = " or ".join(["not gone and floor_seq is not null", *(f"s{i} > floor_seq or (s{i} is not null and floor_seq is null)" for i in range(len(fields)))])
+    stands = " or ".join(["not gone and floor_seq is not null", *(f"s{i} > floor_seq or (s{i} is not null and floor_seq is null)" for i in n)])
+    by = ", ".join(f"k{i}" for i in range(len(key)))
+    # the feed's own columns end here: what follows has names of its own
+    marks = f"{seq} as seq, coalesce({deletes}, false) as del, coalesce({replaces}, false) as rep"
+    named = ", ".join([*(f"`{c}` as k{i}" for i, c in enumerate(key)), *(f"`{f}` as v{i}" for i, f in enumerate(fields))])
+    set_by = ", ".join(f"coalesce(not coalesce({deletes}, false) and ({(sets or {}).get(f, f'`{f}` is not null')}), false) as b{i}" for i, f in enumerate(fields))
     return spark.sql(
         f"""
-        with marked as (
-          select *, {seq} as seq, coalesce({deletes}, false) as del, coalesce({replaces}, false) as rep from {{t}}),
+        with marked as (select {named}, {set_by}, {marks} from {{t}}),
         writers as (
-          select {keys}, max(seq) filter (where del) as del_seq, max(seq) filter (where del or rep) as floor_seq, {aggs}
-          from marked group by {keys}),
+          select {by}, max(seq) filter (where del) as del_seq, max(seq) filter (where del or rep) as floor_seq, {aggs}
+          from marked group by {by}),
         floors as (select *, coalesce(del_seq = floor_seq, false) as gone from writers)
-        select {keys}, {latest} from floors where {stands}
+        select {", ".join(f"k{i} as `{c}`" for i, c in enumerate(key))}, {latest} from floors where {stands}
         """,
         t=once,
     )

@@ -325,11 +325,11 @@ DEPTH = f"""{SNAPS}, lv as (select *, row_number() over (partition by coin, ts,
 
 
 @query(f"""with {DEPTH} select coin, ts, (b8 + a8) / 2.0 as mid8, round((a8 - b8) / ((b8 + a8) / 2) * 1e4, 6) as spread_bps, round((bid8 - ask8) / (bid8 + ask8), 9) as full_imbalance, round((b5 - a5) / (b5 + a5), 9) as top5_imbalance,
-  round((bw - aw) / (bw + aw), 9) as weighted_imbalance, round((b8::double * aq + a8::double * bq) / (bq + aq), 2) as micro8, bid_levels, ask_levels, bid8, ask8, round(b5 / bid8, 9) as bid_concentration, round(ask8 / bid8, 9) as cross_ask_ratio from dp""")
+  round((bw - aw) / (bw + aw), 9) as weighted_imbalance, round((b8::double * aq + a8::double * bq) / (bq + aq), -3) as micro8, bid_levels, ask_levels, bid8, ask8, round(b5 / bid8, 9) as bid_concentration, round(ask8 / bid8, 9) as cross_ask_ratio from dp""")
 def bars_features(spark: SparkSession, d: str) -> DataFrame:
     f = book.depth_features(book.depth_snapshot(snapshots(spark, d), "coin"), "coin")
     r = lambda c, k: F.round(c, k).alias(c)
-    return f.select("coin", "ts", "mid8", r("spread_bps", 6), r("full_imbalance", 9), r("top5_imbalance", 9), r("weighted_imbalance", 9), r("micro8", 2), "bid_levels", "ask_levels", "bid8", "ask8", r("bid_concentration", 9), r("cross_ask_ratio", 9))
+    return f.select("coin", "ts", "mid8", r("spread_bps", 6), r("full_imbalance", 9), r("top5_imbalance", 9), r("weighted_imbalance", 9), r("micro8", -3), "bid_levels", "ask_levels", "bid8", "ask8", r("bid_concentration", 9), r("cross_ask_ratio", 9))
 
 
 @query()
