@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = "struct<bin:bigint,vol8:bigint>"
-
 
 def profile_bins(trades: DataFrame, key: list[str], width8: int) -> DataFrame:
     """Volume by price bin of width8 from the group's lowest price: bin, buy8, sell8, vol8 and the bin's left edge."""
@@ -24,27 +23,36 @@ def even_bins(trades: DataFrame, key: list[str], n: int) -> DataFrame:
     return trades.join(span, key).groupBy(*key, "low8", "high8", b.cast("bigint").alias("bin")).agg(F.sum("q8").alias("vol8"))
 
 
+def grow_area(volumes: dict[int, int], poc: int, lo: int, hi: int, need: float, tie_low: bool) -> tuple[int, int]:
+    """The bins around poc that hold `need`: the fuller neighbour joins first, equal ones low or high; a side's end joins nothing."""
+    a = b = poc
+    held = volumes[poc]
+    while held < need and (a > lo or b < hi):
+        low = volumes.get(a - 1, 0) if a > lo else -1
+        high = volumes.get(b + 1, 0) if b < hi else -1
+        if low >= high if tie_low else low > high:
+            a, held = a - 1, held + low
+        else:
+            b, held = b + 1, held + high
+    return a, b
+
+
 def value_area(bins: DataFrame, key: list[str], share: float = 0.7, tie_low: bool = True, first_max: bool = False) -> DataFrame:
     """Per group: poc (the fullest bin, of equal ones the last, or the first), va_lo and va_hi, total volume, number of bins.
 
     The area grows from the poc by the fuller neighbour until it holds the share of the volume; equal
-    neighbours go low, or high. The bins of a group are bounded by its price range over the width, and
-    the growth is a fold over an array inside the JVM.
+    neighbours go low, or high. A group is its non-empty bins, bounded by its price range over the width; the
+    growth, step by step by nature, runs over Arrow batches of such groups.
     """
     best = F.max_by("bin", F.struct("vol8", -F.col("bin"))) if first_max else F.max_by("bin", F.struct("vol8", "bin"))
-    g = bins.groupBy(*key).agg(best.alias("poc"), F.max("vol8").alias("poc8"), F.sum("vol8").alias("total8"), F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.map_from_entries(F.collect_list(F.struct("bin", "vol8"))).alias("m"))
-    at = lambda b: F.coalesce(F.col("m")[b], F.lit(0).cast("bigint"))
-
-    def grow(s: Column, _: Column) -> Column:
-        low = F.when(s["a"] > F.col("lo"), at(s["a"] - 1)).otherwise(-1)
-        high = F.when(s["b"] < F.col("hi"), at(s["b"] + 1)).otherwise(-1)
-        down = (low >= high) if tie_low else (low > high)
-        nxt = F.when(down, F.struct((s["a"] - 1).alias("a"), s["b"].alias("b"), (s["v"] + low).alias("v"))).otherwise(F.struct(s["a"].alias("a"), (s["b"] + 1).alias("b"), (s["v"] + high).alias("v")))
-        return F.when((s["v"] >= F.col("total8") * share) | ((low < 0) & (high < 0)), s).otherwise(nxt)
-
-    start = F.struct(F.col("poc").alias("a"), F.col("poc").alias("b"), F.col("poc8").alias("v"))
-    area = F.aggregate(F.sequence("lo", "hi"), start, grow)
-    return g.withColumn("area", area).select(*key, "poc", "poc8", "total8", (F.col("hi") + 1).alias("n_bins"), F.col("area.a").alias("va_lo"), F.col("area.b").alias("va_hi"))
+    g = bins.groupBy(*key).agg(best.alias("poc"), F.max("vol8").alias("poc8"), F.sum("vol8").alias("total8"), (F.max("bin") + 1).alias("n_bins"), F.min("bin").alias("lo"), F.collect_list(F.struct("bin", "vol8")).alias("m"))
+
+    @F.pandas_udf("struct<va_lo:bigint,va_hi:bigint>")
+    def area(m: pd.Series, poc: pd.Series, lo: pd.Series, n: pd.Series, total: pd.Series) -> pd.DataFrame:
+        rows = [grow_area({x["bin"]: x["vol8"] for x in xs}, p, a, k - 1, t * share, tie_low) for xs, p, a, k, t in zip(m, poc, lo, n, total, strict=True)]
+        return pd.DataFrame(rows, columns=["va_lo", "va_hi"])
+
+    return g.withColumn("a", area("m", "poc", "lo", "n_bins", "total8")).select(*key, "poc", "poc8", "total8", "n_bins", "a.va_lo", "a.va_hi")
 
 
 def low_volume_nodes(bins: DataFrame, key: list[str], share: float) -> DataFrame:
