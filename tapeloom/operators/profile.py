@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +26,22 @@ def even_bins(trades: DataFrame, key: list[str], n: int) -> DataFrame:
 
 
 def grow_area(volumes: dict[int, int], poc: int, lo: int, hi: int, need: float, tie_low: bool) -> tuple[int, int]:
-    """The bins around poc that hold `need`: the fuller neighbour joins first, equal ones low or high; a side's end joins nothing."""
+    """The bins around poc that hold `need`: the fuller neighbour joins first, equal ones low or high; a side's end joins nothing.
+
+    Stretches of empty bins are crossed at once.
+    """
+    full = sorted(volumes)
     a = b = poc
     held = volumes[poc]
     while held < need and (a > lo or b < hi):
         low = volumes.get(a - 1, 0) if a > lo else -1
         high = volumes.get(b + 1, 0) if b < hi else -1
         if low >= high if tie_low else low > high:
-            a, held = a - 1, held + low
+            a = a - 1 if low else full[bisect_left(full, a) - 1] + 1
+            held += low
         else:
-            b, held = b + 1, held + high
+            b = b + 1 if high else full[bisect_right(full, b)] - 1
+            held += high
     return a, b
 
 
