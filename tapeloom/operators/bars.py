@@ -125,15 +125,15 @@ def mahalanobis(rows: DataFrame, key: str, columns: list[str], n: int, ridge: fl
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = [F.avg(c).over(w) for c in columns]
     prods = [F.covar_samp(columns[i], columns[j]).over(w) for i, j in pairs]
-    x = rows.select(key, "ts", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), F.array(*sums).alias("m"), F.array(*prods).alias("s"), F.count("*").over(w).alias("k"))
+    x = rows.select(key, "ts", F.array(*[F.col(c).cast("double") for c in columns]).alias("v__"), F.array(*sums).alias("m__"), F.array(*prods).alias("s__"), F.count("*").over(w).alias("k__"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = np.full(len(b), np.nan)
-            ok = np.nonzero((b["k"] >= n).to_numpy())[0]
+            ok = np.nonzero((b["k__"] >= n).to_numpy())[0]
             if len(ok):
-                diff = np.stack(b["v"].iloc[ok]) - np.stack(b["m"].iloc[ok])
-                flat = np.stack(b["s"].iloc[ok])
+                diff = np.stack(b["v__"].iloc[ok]) - np.stack(b["m__"].iloc[ok])
+                flat = np.stack(b["s__"].iloc[ok])
                 cov = np.zeros((len(ok), d, d))
                 for p, (i, j) in enumerate(pairs):
                     cov[:, i, j] = cov[:, j, i] = flat[:, p]

@@ -169,7 +169,7 @@ def depth_features(snaps: DataFrame, key: str, bands: tuple[int, ...] = (1, 3, 5
         F.coalesce(F.get(gaps(c("bid")), F.lit(0)), F.lit(0.0)).alias("best_bid_gap_bps"), F.coalesce(F.get(gaps(c("ask")), F.lit(0)), F.lit(0.0)).alias("best_ask_gap_bps"),
         conc("bid").alias("bid_concentration"), conc("ask").alias("ask_concentration"), skew("bid").alias("bid_depth_skew"), skew("ask").alias("ask_depth_skew"),
         ratio(c("ask8"), c("bid8")).alias("cross_ask_ratio"), (wavg(c("bid")) * c("ask8") / (c("bid8") + c("ask8")) + wavg(c("ask")) * c("bid8") / (c("bid8") + c("ask8"))).alias("vwap_mid8"),
-        "bid_levels", "ask_levels", "bid8", "ask8", *band,
+        b0["p8"].alias("b8"), a0["p8"].alias("a8"), "bid_levels", "ask_levels", "bid8", "ask8", *band,
     )
 
 

@@ -67,25 +67,25 @@ def overfit_probability(rows: DataFrame, sweep: str, config: str, order: str, x:
     spark = rows.sparkSession
     n = F.max(order).over(Window.partitionBy(sweep)) + 1
     block = F.floor(F.col(order) * blocks / n).cast("int")
-    sums = rows.withColumn("block", block).groupBy(sweep, config, "block").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
+    sums = rows.withColumn("block__", block).groupBy(sweep, config, "block__").agg(F.count(x).alias("n__"), F.sum(x).alias("s__"), F.sum(F.col(x) * F.col(x)).alias("q__"))
     masks = [(i, b, b in chosen) for i, chosen in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
-    mask = F.broadcast(spark.createDataFrame(masks, "split int, block int, inside boolean"))
+    mask = F.broadcast(spark.createDataFrame(masks, "split__ int, block__ int, inside__ boolean"))
 
     def sharpe(inside: bool) -> Column:
-        part = lambda c: F.sum(F.when(F.col("inside") == inside, F.col(c)).otherwise(0))
-        mean = part("s") / F.greatest(part("n"), F.lit(1))
-        var = F.greatest(part("q") / F.greatest(part("n"), F.lit(1)) - mean**2, F.lit(0.0))
+        part = lambda c: F.sum(F.when(F.col("inside__") == inside, F.col(c)).otherwise(0))
+        mean = part("s__") / F.greatest(part("n__"), F.lit(1))
+        var = F.greatest(part("q__") / F.greatest(part("n__"), F.lit(1)) - mean**2, F.lit(0.0))
         return F.when(var > 1e-24, mean / F.sqrt(var)).otherwise(0.0)
 
-    each = sums.join(mask, "block").groupBy(sweep, "split", config).agg(sharpe(True).alias("i"), sharpe(False).alias("o"))
-    w = Window.partitionBy(sweep, "split")
-    ranked = each.withColumns({"best": F.row_number().over(w.orderBy(F.desc("i"), config)), "rank": F.count("*").over(w.orderBy("o").rangeBetween(Window.unboundedPreceding, 0)), "configs": F.count("*").over(w)})
+    each = sums.join(mask, "block__").groupBy(sweep, "split__", config).agg(sharpe(True).alias("i__"), sharpe(False).alias("o__"))
+    w = Window.partitionBy(sweep, "split__")
+    ranked = each.withColumns({"best": F.row_number().over(w.orderBy(F.desc("i__"), config)), "rank": F.count("*").over(w.orderBy("o__").rangeBetween(Window.unboundedPreceding, 0)), "configs": F.count("*").over(w)})
     share = F.col("rank") / (F.col("configs") + 1)
     logit = ranked.where("best = 1").withColumn("logit", F.ln(share / (1 - share)))
-    nth = F.row_number().over(Window.partitionBy(sweep).orderBy("logit", "split"))
+    nth = F.row_number().over(Window.partitionBy(sweep).orderBy("logit", "split__"))
     k = F.count("*").over(Window.partitionBy(sweep))
-    x = logit.withColumns({"nth": nth, "k": k})
-    return x.groupBy(sweep).agg(F.count("*").alias("splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.max(F.when(F.col("nth") == F.floor(F.col("k") / 2) + 1, F.col("logit"))).alias("median_logit"))
+    z = logit.withColumns({"nth__": nth, "k__": k})
+    return z.groupBy(sweep).agg(F.count("*").alias("splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.max(F.when(F.col("nth__") == F.floor(F.col("k__") / 2) + 1, F.col("logit"))).alias("median_logit"))
 
 
 def verdict(net: Column, trips: Column, dsr: Column, pbo: Column) -> Column:
@@ -97,17 +97,16 @@ def verdict(net: Column, trips: Column, dsr: Column, pbo: Column) -> Column:
     )
 
 
-def nearest_rank(rows: DataFrame, key: list[str], x: str, percents: list[int], ties: list[str]) -> DataFrame:
+def nearest_rank(rows: DataFrame, key: list[str], x: str, percents: list[int]) -> DataFrame:
     """The values at index round(p/100 (n-1)) of each group's order, one column p{percent} each.
 
     Exact and without a sort per group: counts per value first, so that the ranks run over distinct values.
     """
-    del ties
-    c = rows.groupBy(*key, x).agg(F.count("*").alias("k"))
+    c = rows.groupBy(*key, x).agg(F.count("*").alias("k__"))
     w = Window.partitionBy(*key).orderBy(x)
-    c = c.withColumns({"upto": F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(Window.partitionBy(*key))})
-    at = lambda p: F.round(F.lit(p) / 100 * (F.col("n") - 1)).cast("bigint")
-    hit = lambda p: (F.col("upto") > at(p)) & (F.col("upto") - F.col("k") <= at(p))
+    c = c.withColumns({"upto__": F.sum("k__").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n__": F.sum("k__").over(Window.partitionBy(*key))})
+    at = lambda p: F.round(F.lit(p) / 100 * (F.col("n__") - 1)).cast("bigint")
+    hit = lambda p: (F.col("upto__") > at(p)) & (F.col("upto__") - F.col("k__") <= at(p))
     return c.groupBy(*key).agg(*[F.max(F.when(hit(p), F.col(x))).alias(f"p{p}") for p in percents])
 
 
@@ -156,11 +155,11 @@ def knob_bite(runs: DataFrame, axes: list[str], axis: str, fingerprint: list[str
 def purged_folds(bars: DataFrame, key: str, folds: int, purge: int) -> DataFrame:
     """Per fold the out-of-sample bar range and the in-sample ranges at `purge` bars from it, folds by whole dates."""
     w = Window.partitionBy(key)
-    dates = bars.groupBy(key, "date").agg(F.count("*").alias("k"))
-    d = dates.withColumns({"no": F.row_number().over(w.orderBy("date")) - 1, "n_dates": F.count("*").over(w), "end": F.sum("k").over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)), "bars": F.sum("k").over(w)})
+    dates = bars.groupBy(key, "date").agg(F.count("*").alias("k__"))
+    d = dates.withColumns({"no": F.row_number().over(w.orderBy("date")) - 1, "n_dates": F.count("*").over(w), "end": F.sum("k__").over(w.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)), "bars": F.sum("k__").over(w)})
     per = F.greatest(F.call_function("div", F.col("n_dates"), F.lit(folds).cast("bigint")), F.lit(1))
     fold = F.least(F.call_function("div", F.col("no").cast("bigint"), per), F.lit(folds - 1))
-    g = d.groupBy(key, fold.alias("fold")).agg(F.min(F.col("end") - F.col("k")).alias("oos_from"), F.max("end").alias("oos_to"), F.max("bars").alias("bars"))
+    g = d.groupBy(key, fold.alias("fold")).agg(F.min(F.col("end") - F.col("k__")).alias("oos_from"), F.max("end").alias("oos_to"), F.max("bars").alias("bars"))
     return g.select(key, "fold", "oos_from", "oos_to", F.greatest(F.col("oos_from") - purge, F.lit(0)).alias("is_left_to"), F.least(F.col("oos_to") + purge, F.col("bars")).alias("is_right_from"), "bars")
 
 

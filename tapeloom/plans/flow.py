@@ -27,7 +27,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    # + 0.0 makes -0.0 plain 0.0, here and in the SQL
+    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
 
 
 @query(f"""with {TRADES}, g as (
@@ -124,7 +125,7 @@ BASIS = f"""{TRADES}, {QUOTES}, qs as (select coin, ts // 60000 * 60000 as ts, a
 
 
 @query(f"""with {BASIS}
-select coin, ts, round(gap, 4) as gap, round(base, 4) as base, round(sd, 4) as sd, round(dev, 4) as dev, round(dev - lag(dev, 3) over (partition by coin, ts {DAY} order by ts), 4) as velocity from dv""")
+select coin, ts, round(gap, 4) + 0.0 as gap, round(base, 4) + 0.0 as base, round(sd, 4) + 0.0 as sd, round(dev, 4) + 0.0 as dev, round(dev - lag(dev, 3) over (partition by coin, ts {DAY} order by ts), 4) + 0.0 as velocity from dv""")
 def basis_gap_baseline(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flow.basis(_basis_samples(spark, d), "coin", 20, 3), 4, "gap", "base", "sd", "dev", "velocity")
 
@@ -162,7 +163,7 @@ p as (select sym, ts, case when ret is not null and prev is not null then ret en
 m as (select sym, ts, sum(a) over w as sa, sum(b) over w as sb, sum(a * b) over w as sab, sum(a * a) over w as saa, sum(b * b) over w as sbb, count(a) over w as k
   from p window w as (partition by sym, ts {DAY} order by ts rows 29 preceding)),
 v as (select *, greatest(saa / k - (sa / k) ** 2, 0) as va, greatest(sbb / k - (sb / k) ** 2, 0) as vb from m where k >= 29)
-select sym, ts, round(case when va * vb > 1e-18 then (sab / k - sa / k * sb / k) / sqrt(va * vb) else 0 end, 6) as rho, round(sqrt(va), 6) as sd,
+select sym, ts, round(case when va * vb > 1e-18 then (sab / k - sa / k * sb / k) / sqrt(va * vb) else 0 end, 6) + 0.0 as rho, round(sqrt(va), 6) + 0.0 as sd,
   case when sqrt(va) > 20 then 'volatile' when case when va * vb > 1e-18 then (sab / k - sa / k * sb / k) / sqrt(va * vb) else 0 end > 0.2 then 'trending' else 'ranging' end as regime from v""")
 def flow_autocorrelation_regime(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flow.autocorrelation_regime(flow.sampled(trades(spark, d), "sym", 60_000, F.col("p8")), "sym", 30, 20.0, 0.2), 6, "rho", "sd")
@@ -253,8 +254,8 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {BARS5}, {FUNDING}, {OI}, b as (select coin, tb.ts, vol8, buy8 from tb join instrument on symbol = sym),
 f as (select b.*, rate from b asof left join fu on b.coin = fu.coin and b.ts >= fu.ts), o as (select f.*, oi8 from f asof left join op on f.coin = op.coin and f.ts >= op.ts)
-select coin, ts, {", ".join(f'''cast(sum(vol8) over w{n} as bigint) as vol8_sum_{n}, cast(sum(buy8) over w{n} as bigint) as buy8_sum_{n}, round(avg(rate) over w{n}, 9) as rate_avg_{n},
-  round(case when lag(oi8, {n}) over s <> 0 then (oi8 / lag(oi8, {n}) over s - 1) * 100 end, 6) as oi8_change_{n}''' for n in (10, 25, 50, 100))}
+select coin, ts, {", ".join(f'''cast(sum(vol8) over w{n} as bigint) as vol8_sum_{n}, cast(sum(buy8) over w{n} as bigint) as buy8_sum_{n}, round(avg(rate) over w{n}, 9) + 0.0 as rate_avg_{n},
+  round(case when lag(oi8, {n}) over s <> 0 then (oi8 / lag(oi8, {n}) over s - 1) * 100 end, 6) + 0.0 as oi8_change_{n}''' for n in (10, 25, 50, 100))}
 from o window s as (partition by coin, ts {DAY} order by ts), {", ".join(f"w{n} as (partition by coin, ts {DAY} order by ts rows {n - 1} preceding)" for n in (10, 25, 50, 100))}""")
 def bars_enriched_rolling(spark: SparkSession, d: str) -> DataFrame:
     r = bars.rolling_enrichment(_enriched(spark, d), "coin", (10, 25, 50, 100), ["vol8", "buy8"], ["rate"], ["oi8"])
@@ -288,7 +289,7 @@ def profile_value_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {PROFILE}, t as (select *, cast(sum(vol8) over (partition by sym, day) as bigint) as total8 from pb)
-select sym, day, max(bin) + 1 as n_bins, round(case when max(bin) > 0 then 1 + sum(vol8 / total8 * log2(vol8 / total8)) / log2(max(bin) + 1) else 0 end, 6) as concentration from t group by sym, day""")
+select sym, day, max(bin) + 1 as n_bins, round(case when max(bin) > 0 then 1 + sum(vol8 / total8 * log2(vol8 / total8)) / log2(max(bin) + 1) else 0 end, 6) + 0.0 as concentration from t group by sym, day""")
 def profile_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(profile.concentration(_bins(spark, d), ["sym", "day"]), 6, "concentration")
 
@@ -309,9 +310,8 @@ def profile_even_bins(spark: SparkSession, d: str) -> DataFrame:
 def _book_bars(spark: SparkSession, d: str) -> DataFrame:
     """Depth snapshots with the trades of the minute before them."""
     f = book.depth_features(book.depth_snapshot(snapshots(spark, d), "coin"), "coin")
-    best = book.depth_snapshot(snapshots(spark, d), "coin").select("coin", "ts", F.col("bid")[0]["p8"].alias("b8"), F.col("ask")[0]["p8"].alias("a8"))
     t = bars.time_bars(trades(spark, d), "sym", 60_000).join(instruments(spark, d), "sym").select("coin", F.col("ts").alias("bar_ts"), "vol8", "buy8", "close8")
-    probe = f.join(best, ["coin", "ts"]).withColumn("seq", F.lit(0).cast("bigint"))
+    probe = f.withColumn("seq", F.lit(0).cast("bigint"))
     return asof_backward(probe, t.withColumnRenamed("bar_ts", "ts").withColumn("seq", F.lit(0).cast("bigint")), ["coin"], "ts", "seq", ["vol8", "buy8", "close8"]).where("vol8 is not null").drop("seq")
 
 
@@ -324,8 +324,8 @@ DEPTH = f"""{SNAPS}, lv as (select *, row_number() over (partition by coin, ts,
     from lv group by coin, ts having b8 < a8)"""
 
 
-@query(f"""with {DEPTH} select coin, ts, (b8 + a8) / 2.0 as mid8, round((a8 - b8) / ((b8 + a8) / 2) * 1e4, 6) as spread_bps, round((bid8 - ask8) / (bid8 + ask8), 9) as full_imbalance, round((b5 - a5) / (b5 + a5), 9) as top5_imbalance,
-  round((bw - aw) / (bw + aw), 9) as weighted_imbalance, round((b8::double * aq + a8::double * bq) / (bq + aq), -3) as micro8, bid_levels, ask_levels, bid8, ask8, round(b5 / bid8, 9) as bid_concentration, round(ask8 / bid8, 9) as cross_ask_ratio from dp""")
+@query(f"""with {DEPTH} select coin, ts, (b8 + a8) / 2.0 as mid8, round((a8 - b8) / ((b8 + a8) / 2) * 1e4, 6) + 0.0 as spread_bps, round((bid8 - ask8) / (bid8 + ask8), 9) + 0.0 as full_imbalance, round((b5 - a5) / (b5 + a5), 9) + 0.0 as top5_imbalance,
+  round((bw - aw) / (bw + aw), 9) + 0.0 as weighted_imbalance, round((b8::double * aq + a8::double * bq) / (bq + aq), -3) + 0.0 as micro8, bid_levels, ask_levels, bid8, ask8, round(b5 / bid8, 9) + 0.0 as bid_concentration, round(ask8 / bid8, 9) + 0.0 as cross_ask_ratio from dp""")
 def bars_features(spark: SparkSession, d: str) -> DataFrame:
     f = book.depth_features(book.depth_snapshot(snapshots(spark, d), "coin"), "coin")
     r = lambda c, k: F.round(c, k).alias(c)
@@ -354,7 +354,7 @@ FEATURES = ["ofi8", "ret_bps", "bid_absorption", "ask_absorption", "bid_vacuum",
 
 @query(f"""with {BARS5}, z as (select *, count(*) over w >= 20 as enough, avg(vol8) over w as m, stddev_pop(vol8) over w as s, avg(trades) over w as m2, stddev_pop(trades) over w as s2
   from tb window w as (partition by sym, ts {DAY} order by ts rows between 20 preceding and 1 preceding))
-select sym, ts, round(case when enough and s > 1e-12 then (vol8 - m) / s else 0 end, 5) as z_vol8, round(case when enough and s2 > 1e-12 then (trades - m2) / s2 else 0 end, 5) as z_trades from z""")
+select sym, ts, round(case when enough and s > 1e-12 then (vol8 - m) / s else 0 end, 5) + 0.0 as z_vol8, round(case when enough and s2 > 1e-12 then (trades - m2) / s2 else 0 end, 5) + 0.0 as z_trades from z""")
 def bar_zscores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars.zscores(bars.time_bars(trades(spark, d), "sym", 300_000), "sym", ["vol8", "trades"], 20), 5, "z_vol8", "z_trades")
 

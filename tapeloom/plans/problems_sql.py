@@ -39,7 +39,7 @@ joined as (
   from grid g left join spans s on s.feed = g.feed and s.coin = g.coin and s.day = g.day and s.t < g.p + 300000 and s.e > g.p),
 sums as (select feed, coin, p, count(*) filter (t >= p) as n, sum(v * held) as area, coalesce(sum(held), 0) as cov from joined group by all)
 select feed, coin, p as period_ms, case when n > 0 then 'observed' else 'gap' end as state, n as n_readings,
-       round(case when cov > 0 then area / cov end, 4) as twa, round(cov / 300000, 6) as coverage,
+       round(case when cov > 0 then area / cov end, 4) + 0.0 as twa, round(cov / 300000, 6) + 0.0 as coverage,
        (select arg_max(r.v, r.t) from readings r where r.feed = sums.feed and r.coin = sums.coin and r.t < sums.p + 300000) as fill
 from sums
 """
@@ -137,7 +137,7 @@ select distinct feed, tape_key, minute_ms, case when over_ >= 600000 then 'refus
 P4_BARS = f"""
 with {TAPES},
 kept as (select *, over_ < 600000 as ok, not isnan(price) and price is not null as pk from timed)
-select feed, tape_key, minute_ms, count(*) filter (ok) as events, round(coalesce(sum(qty) filter (ok and not isnan(qty)), 0.0), 4) as qty,
+select feed, tape_key, minute_ms, count(*) filter (ok) as events, round(coalesce(sum(qty) filter (ok and not isnan(qty)), 0.0), 4) + 0.0 as qty,
        min(price) filter (ok and pk) as low, max(price) filter (ok and pk) as high,
        arg_min(price, (t, o)) filter (ok and pk) as open, arg_max(price, (t, o)) filter (ok and pk) as close, count(*) filter (not ok) as refused
 from kept group by feed, tape_key, minute_ms

@@ -43,7 +43,7 @@ Z = "((rate - avg(rate) over w) / nullif(stddev_pop(rate) over w, 0))"
 
 @query(f"""with {FUNDING}, z as (select coin, ts, {Z} as z from fu window w as (partition by coin, ts {DAY})),
 c as (select coin, ts, z, 0.5 * (1 + {ERF('(z / sqrt(2))')}) as cdf, least(1.0, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * {_horner(f'(1 / (1 + {M.TAIL_P} * abs(z)))', (*reversed(M.TAIL_B), 0.0))}) as p from z where z is not null)
-select coin, ts, round(z, 5) as z, round(cdf, 5) as cdf, round(p, 5) as p from c where z <> 0""")
+select coin, ts, round(z, 5) + 0.0 as z, round(cdf, 5) + 0.0 as cdf, round(p, 5) + 0.0 as p from c where z <> 0""")
 def scalar_normal(spark: SparkSession, d: str) -> DataFrame:
     """z-scores of funding rates within coin and day, their normal CDF and two-sided p."""
     w = Window.partitionBy("coin", F.call_function("div", F.col("ts"), F.lit(DAY_MS).cast("bigint")))
@@ -192,7 +192,7 @@ def study_range_breaks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with recursive {BREAKS}, top as (select id, key, greatest(max(run), 0) as spike, max(run) as m from ru group by all),
 pk as (select ru.id, min(path_ts) as peak_ts from ru join top using (id) where run = m group by ru.id),
 af as (select ru.*, spike, peak_ts from ru join top using (id) join pk using (id) where path_ts >= peak_ts)
-select id, key, round(spike, 4) as spike_bps, peak_ts, round(least(coalesce(max(spike - run) / nullif(spike, 0), 0.0), 1.0), 4) as reverted, min(path_ts) filter (spike - run >= spike / 2) - peak_ts as half_ms, min(path_ts) filter (run <= 0) - peak_ts as full_ms
+select id, key, round(spike, 4) + 0.0 as spike_bps, peak_ts, round(least(coalesce(max(spike - run) / nullif(spike, 0), 0.0), 1.0), 4) + 0.0 as reverted, min(path_ts) filter (spike - run >= spike / 2) - peak_ts as half_ms, min(path_ts) filter (run <= 0) - peak_ts as full_ms
 from af group by id, key, spike, peak_ts""")
 def reversion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(studies.reversion(_paths(spark, d)[1]), 4, "spike_bps", "reverted")
@@ -202,7 +202,7 @@ def _touch_sql(delay: int, hold: int, target: float, stop: float, sign: int) ->
     return f"""with recursive {BREAKS}, la as (select * from pa where path_ts >= ts + {delay}), en as (select id, min(path_ts) as t0, arg_min(v8, path_ts) as e8 from la group by id),
   x as (select la.id, key, path_ts, (v8 / e8 - 1) * 1e4 * side * {sign} as gain from la join en using (id) where path_ts <= t0 + {hold}),
   t as (select id, key, min(path_ts) filter (gain >= {target} or gain <= -{stop}) as touch, max(path_ts) as last from x group by all)
-select t.id, t.key, round(x.gain, 4) as bps, coalesce(touch, last) as exit_ts, touch is not null as touched from t join x on x.id = t.id and x.path_ts = coalesce(touch, last)"""
+select t.id, t.key, round(x.gain, 4) + 0.0 as bps, coalesce(touch, last) as exit_ts, touch is not null as touched from t join x on x.id = t.id and x.path_ts = coalesce(touch, last)"""
 
 
 @query(_touch_sql(0, 600_000, 15.0, 10.0, 1))
@@ -264,7 +264,7 @@ LADDER_N = "least(3, greatest(cast(floor(far / 10.0) as integer), 0))"
 
 
 @query(f"""with recursive {BREAKS}, g as (select id, key, p8, side, max(run) as far, arg_max(v8, path_ts) as last8 from ru where path_ts <= ts + 900000 group by all)
-select id, key, {LADDER_N} as filled, round(case when {LADDER_N} > 0 then 10.0 * ({LADDER_N} + 1) / 2 - (last8 / p8 - 1) * 1e4 * side end, 4) as bps from g""")
+select id, key, {LADDER_N} as filled, round(case when {LADDER_N} > 0 then 10.0 * ({LADDER_N} + 1) / 2 - (last8 / p8 - 1) * 1e4 * side end, 4) + 0.0 as bps from g""")
 def ladder(spark: SparkSession, d: str) -> DataFrame:
     return rounded(studies.ladder(_paths(spark, d)[1], 3, 30.0, 900_000), 4, "bps")
 
@@ -312,7 +312,7 @@ def cascade_exhaustion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {BASIS}, x as (select coin as key, ts, dev, abs(dev) > 1 as out, lead(ts) over (partition by coin, ts {DAY} order by ts) as nxt, sum((abs(dev) <= 1)::int) over (partition by coin, ts {DAY} order by ts rows unbounded preceding) as isle from dv where dev is not null)
-select key, min(ts) as from_ts, min(ts) filter (abs(dev) >= 3) as fired_ts, arg_max(nxt, ts) filter (ts = mx) as end_ts, round(max(abs(dev)), 4) as peak, case when arg_min(dev, ts) > 0 then 1 else -1 end as side, count(*) as samples
+select key, min(ts) as from_ts, min(ts) filter (abs(dev) >= 3) as fired_ts, arg_max(nxt, ts) filter (ts = mx) as end_ts, round(max(abs(dev)), 4) + 0.0 as peak, case when arg_min(dev, ts) > 0 then 1 else -1 end as side, count(*) as samples
 from (select *, max(ts) over (partition by key, ts {DAY}, isle) as mx from x where out) group by key, ts {DAY}, isle having fired_ts is not null""")
 def dislocation_scan(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of the quote's deviation from the trades, from 1 bps on, that reach 3 bps."""
@@ -339,7 +339,7 @@ TB = f"""{NUMBERED}, x as (select sg.sym, sg.no, is_long, e.mid8 as e8, p.no as
   bt as (select sym, no, is_long, min(at_) as exit_no, arg_min(k, at_) as k, arg_min(m, at_) as m from z where k is not null group by all)"""
 
 
-@query(f"with {TB} select sym, no, is_long, exit_no, case k when 1 then 'target' when 2 then 'stop' else 'time' end as barrier, round(case k when 1 then 25.0 when 2 then -20.0 else m end, 4) as gross_bps from bt")
+@query(f"with {TB} select sym, no, is_long, exit_no, case k when 1 then 'target' when 2 then 'stop' else 'time' end as barrier, round(case k when 1 then 25.0 when 2 then -20.0 else m end, 4) + 0.0 as gross_bps from bt")
 def barrier_triple(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth bar, with the bar's flow: target 25, stop 20 bps, 12 bars."""
     return rounded(_barriers(spark, d), 4, "gross_bps")
@@ -367,7 +367,7 @@ MOM = f"""{TB}, g as (select sym, case k when 1 then 25.0 when 2 then -20.0 else
     case when std > 1e-12 then mean / std else 0 end as sharpe, case when std > 1e-12 then mean / (std * sqrt(n / (n - 1.0)) / sqrt(n)) else 0 end as t from ms)"""
 
 
-@query(f"""with {MOM} select sym, n, round(total, 4) as total, round(mean, 6) as mean, round(win_rate, 6) as win_rate, round(worst, 4) as worst, round(best, 4) as best, round(std, 5) as std, round(skew, 4) as skew, round(kurtosis, 4) as kurtosis, round(sharpe, 5) as sharpe, round(t, 4) as t from mt""")
+@query(f"""with {MOM} select sym, n, round(total, 4) + 0.0 as total, round(mean, 6) + 0.0 as mean, round(win_rate, 6) + 0.0 as win_rate, round(worst, 4) + 0.0 as worst, round(best, 4) + 0.0 as best, round(std, 5) + 0.0 as std, round(skew, 4) + 0.0 as skew, round(kurtosis, 4) + 0.0 as kurtosis, round(sharpe, 5) + 0.0 as sharpe, round(t, 4) + 0.0 as t from mt""")
 def stat_moments(spark: SparkSession, d: str) -> DataFrame:
     m = stats.moments(_barriers(spark, d), ["sym"], "gross_bps")
     digits = {"total": 4, "mean": 6, "win_rate": 6, "worst": 4, "best": 4, "std": 5, "skew": 4, "kurtosis": 4, "sharpe": 5, "t": 4}
@@ -377,7 +377,7 @@ def stat_moments(spark: SparkSession, d: str) -> DataFrame:
 CDF = lambda x: f"0.5 * (1 + {ERF(f'(({x}) / sqrt(2))')})"
 
 
-@query(f"with {MOM} select sym, n, round(sharpe, 5) as sharpe, round(case when n >= 2 then {CDF('sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe ** 2, 1e-12))')} else 0 end, 4) as psr from mt where sharpe <> 0")
+@query(f"with {MOM} select sym, n, round(sharpe, 5) + 0.0 as sharpe, round(case when n >= 2 then {CDF('sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe ** 2, 1e-12))')} else 0 end, 4) + 0.0 as psr from mt where sharpe <> 0")
 def stat_psr(spark: SparkSession, d: str) -> DataFrame:
     m = stats.moments(_barriers(spark, d), ["sym"], "gross_bps").where("sharpe <> 0")
     p = stats.probabilistic_sharpe(F.col("sharpe"), F.lit(0.0), F.col("n"), F.col("skew"), F.col("kurtosis"))
@@ -405,7 +405,7 @@ def stat_pbo(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {TRADES}, r as (select sym, q8, row_number() over (partition by sym order by q8) - 1 as i, count(*) over (partition by sym) as n from tr)
 select sym, {", ".join(f"max(q8) filter (i = round({p} / 100.0 * (n - 1))) as p{p}" for p in (10, 50, 90, 99))} from r group by sym""")
 def stat_percentile_nr(spark: SparkSession, d: str) -> DataFrame:
-    return stats.nearest_rank(trades(spark, d), ["sym"], "q8", [10, 50, 90, 99], ["seq"])
+    return stats.nearest_rank(trades(spark, d), ["sym"], "q8", [10, 50, 90, 99])
 
 
 @query(f"""with {TRADES} select sym, median(q8) as median, count(*) as n from tr group by sym""")
@@ -425,20 +425,20 @@ def drawdown(spark: SparkSession, d: str) -> DataFrame:
 SIGNALS = f"{TB}, sv as (select sym, case k when 1 then 25.0 when 2 then -20.0 else m end as ret, 10.0 + no % 7 as expected from bt)"
 
 
-@query(f"with {SIGNALS} select sym, count(*) as n, round(avg((ret > 0)::int::double), 6) as hit_rate, round(avg(ret), 5) as mean, round(median(ret), 5) as median, round(stddev_pop(ret), 5) as std, round(max(ret), 5) as best, round(min(ret), 5) as worst, round(avg(expected), 5) as expected, round(avg(ret) / avg(expected), 5) as realized from sv group by sym")
+@query(f"with {SIGNALS} select sym, count(*) as n, round(avg((ret > 0)::int::double), 6) + 0.0 as hit_rate, round(avg(ret), 5) + 0.0 as mean, round(median(ret), 5) + 0.0 as median, round(stddev_pop(ret), 5) + 0.0 as std, round(max(ret), 5) + 0.0 as best, round(min(ret), 5) + 0.0 as worst, round(avg(expected), 5) + 0.0 as expected, round(avg(ret) / avg(expected), 5) + 0.0 as realized from sv group by sym")
 def eval_signals(spark: SparkSession, d: str) -> DataFrame:
     x = _barriers(spark, d).select("sym", F.col("gross_bps").alias("ret"), (F.col("no") % 7 + 10.0).alias("expected"))
     r = stats.signal_evaluation(x, ["sym"], "ret", "expected")
     return r.withColumns({c: F.round(c, 6 if c == "hit_rate" else 5) for c in r.columns if c not in ("sym", "n")})
 
 
-@query(f"with {SIGNALS} select sym, count(*) as n, round(case when count(*) < 3 then 3.0 else greatest(sum(expected * abs(ret)) / sum(expected ** 2), 0) end, 5) as factor from sv group by sym")
+@query(f"with {SIGNALS} select sym, count(*) as n, round(case when count(*) < 3 then 3.0 else greatest(sum(expected * abs(ret)) / sum(expected ** 2), 0) end, 5) + 0.0 as factor from sv group by sym")
 def expected_move(spark: SparkSession, d: str) -> DataFrame:
     x = _barriers(spark, d).select("sym", F.col("gross_bps").alias("ret"), (F.col("no") % 7 + 10.0).alias("expected"))
     return rounded(stats.expected_move(x, ["sym"], "expected", "ret"), 5, "factor")
 
 
-@query(f"with {TB} select bt.sym, nb.ts {DAY} as day, count(*) as trades, round(sum(case k when 1 then 25.0 when 2 then -20.0 else m end), 4) as net_bps, round(avg((case k when 1 then 25.0 when 2 then -20.0 else m end > 0)::int::double), 6) as win_rate from bt join nb using (sym, no) group by all")
+@query(f"with {TB} select bt.sym, nb.ts {DAY} as day, count(*) as trades, round(sum(case k when 1 then 25.0 when 2 then -20.0 else m end), 4) + 0.0 as net_bps, round(avg((case k when 1 then 25.0 when 2 then -20.0 else m end > 0)::int::double), 6) + 0.0 as win_rate from bt join nb using (sym, no) group by all")
 def per_date(spark: SparkSession, d: str) -> DataFrame:
     n = _numbered(spark, d).select("sym", "no", F.call_function("div", F.col("ts"), F.lit(DAY_MS).cast("bigint")).alias("day"))
     g = _barriers(spark, d).join(n, ["sym", "no"]).groupBy("sym", "day")
