@@ -60,7 +60,7 @@ def bar_cells(lines: DataFrame) -> DataFrame:
 def column_catalogue(cells: DataFrame) -> DataFrame:
     """The schema of every file: feed_id, file_seq, file_no (1 for the first of the feed), field, type (int, double or string; int if it has no values)."""
     fields = cells.groupBy(*FILE, "field").agg(F.coalesce(F.max("kind"), F.lit(0)).alias("k"))
-    order = cells.select(*FILE).distinct().withColumn("file_no", F.row_number().over(Window.partitionBy("feed_id").orderBy("file_seq")))
+    order = cells.select(*FILE).distinct().withColumn("file_no", F.row_number().over(Window.partitionBy("feed_id").orderBy("file_seq")).cast("bigint"))
     return fields.join(order, FILE).select(*FILE, "file_no", "field", F.element_at(F.array(F.lit("int"), F.lit("double"), F.lit("string")), F.col("k") + 1).alias("type"))
 
 
