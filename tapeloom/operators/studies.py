@@ -105,10 +105,10 @@ def outcome_class(path: DataFrame, edge: str, run_bps: float) -> DataFrame:
 
 def flow_metrics(episodes: DataFrame, trades: DataFrame, width_ms: int) -> DataFrame:
     """Volume forced in the episode's direction, in the early and late half of the width, the displacement, their ratios and the state they say."""
-    x = range_join(episodes.select(*EPISODE), trades.select("key", "ts", "sgn", "q8", F.col("p8").alias("v8")), ["key"], "ts", width_ms)
+    x = range_join(episodes.select(*EPISODE), trades.select("key", "ts", "seq", "sgn", "q8", F.col("p8").alias("v8")), ["key"], "ts", width_ms)
     forced = F.when(F.col("sgn") == F.col("side"), F.col("q8")).otherwise(0)
     early = F.col("path_ts") < F.col("ts") + width_ms / 2
-    g = x.groupBy(*EPISODE).agg(F.sum(forced).alias("forced8"), F.sum(F.when(early, forced).otherwise(0)).alias("early8"), F.sum(F.when(~early, forced).otherwise(0)).alias("late8"), F.max_by("v8", "path_ts").alias("last8"))
+    g = x.groupBy(*EPISODE).agg(F.sum(forced).alias("forced8"), F.sum(F.when(early, forced).otherwise(0)).alias("early8"), F.sum(F.when(~early, forced).otherwise(0)).alias("late8"), F.max_by("v8", F.struct("path_ts", "seq")).alias("last8"))
     push = bps(F.col("last8"), F.col("p8")) * F.col("side")
     g = g.withColumns({"push_bps": push, "late_share": ratio(F.col("late8"), F.col("forced8"))})
     state = F.when((F.col("push_bps") >= 5) & (F.col("late_share") >= 0.5), "continuation").when((F.col("forced8") > 0) & (F.col("push_bps") < 1), "absorbed").when(F.col("late_share") < 0.3, "exhausted").otherwise("unclassified")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.clean import DAY_MS
+from tapeloom.functions.market import TAIL_B, TAIL_P
 from tapeloom.operators import bars, book, flow, profile
 from tapeloom.operators.asof import asof_backward, asof_forward, interval_bins, nearest_horizon
 from tapeloom.plans.base import DELTAS, FUNDING, OI, QUOTES, SNAPS, TRADES, deltas, funding, instruments, open_interest, quotes, snapshots, trades
@@ -308,9 +309,9 @@ def profile_even_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _book_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Depth snapshots with the trades of the minute before them."""
+    """Depth snapshots with the trades of the last whole minute before them."""
     f = book.depth_features(book.depth_snapshot(snapshots(spark, d), "coin"), "coin")
-    t = bars.time_bars(trades(spark, d), "sym", 60_000).join(instruments(spark, d), "sym").select("coin", F.col("ts").alias("bar_ts"), "vol8", "buy8", "close8")
+    t = bars.time_bars(trades(spark, d), "sym", 60_000).join(instruments(spark, d), "sym").select("coin", (F.col("ts") + 60_000).alias("bar_ts"), "vol8", "buy8", "close8")
     probe = f.withColumn("seq", F.lit(0).cast("bigint"))
     return asof_backward(probe, t.withColumnRenamed("bar_ts", "ts").withColumn("seq", F.lit(0).cast("bigint")), ["coin"], "ts", "seq", ["vol8", "buy8", "close8"]).where("vol8 is not null").drop("seq")
 
@@ -343,10 +344,30 @@ def _bar_features(spark: SparkSession, d: str) -> DataFrame:
     return bars.bar_features(x, "coin")
 
 
-@query()
+BARSIG = f"""{DEPTH}, {TRADES},
+  gp as (select lv.coin, lv.ts, side, n, abs(p8 - lag(p8) over (partition by lv.coin, lv.ts, side order by n)) / ((b8 + a8) / 2.0) * 1e4 as g from lv join dp on lv.coin = dp.coin and lv.ts = dp.ts where n <= 20),
+  gm as (select coin, ts, coalesce(avg(g) filter (side = 'bid'), 0.0) as bg, coalesce(avg(g) filter (side = 'ask'), 0.0) as ag from gp group by all),
+  mb as (select coin, tr.ts // 60000 * 60000 + 60000 as bt, cast(sum(q8) as bigint) as vol8, cast(sum(case when sgn > 0 then q8 else 0 end) as bigint) as buy8, arg_max(p8, (tr.ts, seq)) as close8 from tr join instrument on symbol = sym group by coin, tr.ts // 60000),
+  bx as (select dp.coin, dp.ts, b8, a8, bid8, ask8, (a8 - b8) / ((b8 + a8) / 2) * 1e4 as sp, bg, ag, vol8, buy8, close8 from dp join gm on dp.coin = gm.coin and dp.ts = gm.ts asof join mb on dp.coin = mb.coin and dp.ts >= mb.bt),
+  bl as (select *, {", ".join(f"lag({c}) over (partition by coin, ts {DAY} order by ts) as l_{c}" for c in ("b8", "a8", "bid8", "ask8", "sp", "bg", "ag", "close8"))} from bx),
+  br as (select *, (close8 / l_close8 - 1) * 1e4 as ret, 2 * buy8 - vol8 as dl from bl where l_b8 is not null),
+  bs_ as (select coin, ts,
+    ((case when b8 >= l_b8 then bid8 else 0 end) - (case when b8 <= l_b8 then l_bid8 else 0 end) - (case when a8 <= l_a8 then ask8 else 0 end) + (case when a8 >= l_a8 then l_ask8 else 0 end)) as ofi8, ret as ret_bps,
+    case when b8 >= l_b8 then (vol8 - buy8) / vol8 * least(1 + abs(ret) / 100, 3.0) else 0.0 end as bid_absorption, case when a8 <= l_a8 then buy8 / vol8 * least(1 + abs(ret) / 100, 3.0) else 0.0 end as ask_absorption,
+    {", ".join(f"""0.5 * (case when l_{d_} > 0 then least(greatest((l_{d_} - {d_}) / l_{d_}, 0.0), 1.0) else 0.0 end) + 0.3 * (case when l_{g_} > 0 then least(greatest(({g_} - l_{g_}) / l_{g_}, 0.0), 1.0) when {g_} > 0 then 1.0 else 0.0 end)
+      + 0.2 * (case when l_sp > 0 then least(greatest((sp - l_sp) / l_sp, 0.0), 1.0) when sp > 0 then 1.0 else 0.0 end) as {n_}""" for d_, g_, n_ in (("bid8", "bg", "bid_vacuum"), ("ask8", "ag", "ask_vacuum")))},
+    case when (ret >= 0) <> (dl >= 0) then abs(dl / vol8) else 0.0 end as divergence from br)"""
+ROUND = {"ofi8": 0, "ret_bps": 5, "bid_absorption": 6, "ask_absorption": 6, "bid_vacuum": 6, "ask_vacuum": 6, "divergence": 6}
+_W = f"over (partition by coin, ts {DAY} order by ts rows between 20 preceding and 1 preceding)"
+ZSIG = f"""{BARSIG}, zs as (select coin, ts, {", ".join(f"case when count(*) {_W} >= 20 and stddev_pop({c}) {_W} > 1e-12 then ({c} - avg({c}) {_W}) / stddev_pop({c}) {_W} else 0.0 end as z_{c}" for c in ROUND)} from bs_),
+  zu as (unpivot zs on columns('z_.*') into name kind value z)"""
+
+
+@query(f"""with {BARSIG} select coin, ts, {", ".join(f"round({c}, {k}) + 0.0 as {c}" if k else c for c, k in ROUND.items())} from bs_""")
 def bar_signals(spark: SparkSession, d: str) -> DataFrame:
     """Bar OFI, absorption, vacuum and divergence of each snapshot against the one before."""
-    return _bar_features(spark, d)
+    f = _bar_features(spark, d)
+    return f.withColumns({c: F.round(c, k) + F.lit(0.0) for c, k in ROUND.items() if k})
 
 
 FEATURES = ["ofi8", "ret_bps", "bid_absorption", "ask_absorption", "bid_vacuum", "ask_vacuum", "divergence"]
@@ -359,16 +380,27 @@ def bar_zscores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars.zscores(bars.time_bars(trades(spark, d), "sym", 300_000), "sym", ["vol8", "trades"], 20), 5, "z_vol8", "z_trades")
 
 
-@query()
+def _tail(z: str) -> str:
+    t = f"(1 / (1 + {TAIL_P} * abs({z})))"
+    poly = "0"
+    for b in reversed(TAIL_B):
+        poly = f"({poly} + {b}) * {t}"
+    return f"least(1.0, 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * ({poly}))"
+
+
+@query(f"""with {ZSIG}, t as (select *, {_tail("z")} as p from zu), r as (select *, row_number() over (partition by coin, ts order by p, kind, z) as i from t),
+c as (select *, coalesce(max(case when p <= i / 7 * 0.05 then i end) over (partition by coin, ts), 0) as cut from r)
+select coin, ts, kind, round(z, 4) + 0.0 as z, round(p, 5) + 0.0 as p, i <= cut as discovered from c""")
 def bar_fdr(spark: SparkSession, d: str) -> DataFrame:
     z = bars.zscores(_bar_features(spark, d), "coin", FEATURES, 20)
-    return bars.false_discovery(z, "coin", [f"z_{c}" for c in FEATURES], 0.05)
+    f = bars.false_discovery(z, "coin", [f"z_{c}" for c in FEATURES], 0.05)
+    return f.withColumns({"z": F.round("z", 4) + F.lit(0.0), "p": F.round("p", 5) + F.lit(0.0)})
 
 
-@query()
+@query(f"""with {ZSIG}, a as (select *, case when kind in ('z_bid_vacuum', 'z_ask_vacuum') then 1.8 else 2.0 end as lim from zu) select coin, ts, kind, round(z, 4) + 0.0 as z, lim::double as "limit" from a where abs(z) >= lim""")
 def bar_anomalies(spark: SparkSession, d: str) -> DataFrame:
     z = bars.zscores(_bar_features(spark, d), "coin", FEATURES, 20)
-    return bars.z_anomalies(z, "coin", [f"z_{c}" for c in FEATURES], 2.0, {"z_bid_vacuum": 1.8, "z_ask_vacuum": 1.8})
+    return rounded(bars.z_anomalies(z, "coin", [f"z_{c}" for c in FEATURES], 2.0, {"z_bid_vacuum": 1.8, "z_ask_vacuum": 1.8}), 4, "z")
 
 
 @query()
@@ -381,7 +413,8 @@ def bar_rolling_median(spark: SparkSession, d: str) -> DataFrame:
     return bars.rolling_mad(bars.time_bars(trades(spark, d), "sym", 300_000), "sym", "vol8", 20).select("sym", "ts", "median")
 
 
-@query()
+@query(f"""with {BARS5}, l as (select sym, ts, list(vol8::double) over (partition by sym, ts {DAY} order by ts rows 19 preceding) as a from tb), m as (select *, list_median(a) as median from l)
+select sym, ts, median, list_median([abs(v - median) for v in a]) as mad from m""")
 def bar_rolling_mad(spark: SparkSession, d: str) -> DataFrame:
     return bars.rolling_mad(bars.time_bars(trades(spark, d), "sym", 300_000), "sym", "vol8", 20)
 
@@ -457,7 +490,13 @@ def _touch_events(spark: SparkSession, d: str) -> DataFrame:
     return tops.join(v, ["coin", "ts"], "left").fillna(0, ["bid_traded8", "ask_traded8"])
 
 
-@query()
+@query(f"""with {TOPS}, {TRADES}, tk as (select coin, tr.ts, sgn, p8, q8 from tr join instrument on symbol = sym), hit as (select tk.coin, tops.ts, sgn, p8, q8, b8, a8 from tk asof join tops on tk.coin = tops.coin and tk.ts <= tops.ts),
+v as (select coin, ts, coalesce(sum(q8) filter (sgn < 0 and p8 <= b8), 0) as bt, coalesce(sum(q8) filter (sgn > 0 and p8 >= a8), 0) as at_ from hit group by all),
+e as (select tops.*, coalesce(bt, 0) as bt, coalesce(at_, 0) as at_ from tops left join v on tops.coin = v.coin and tops.ts = v.ts),
+l as (select *, coalesce(case when b8 = lag(b8) over s then greatest(lag(bq8) over s - bq8, 0) end, 0) as bl, coalesce(case when a8 = lag(a8) over s then greatest(lag(aq8) over s - aq8, 0) end, 0) as al from e window s as (partition by coin, ts {DAY} order by ts)),
+w as (select coin, ts, cast(sum(least(bl, bt) + least(al, at_)) over r as bigint) as executed8, cast(sum(bl + al) over r as bigint) as lost, cast(sum(bl - least(bl, bt) - al + least(al, at_)) over r as bigint) as cancel_skew8
+  from l window r as (partition by coin, ts {DAY} order by ts rows 19 preceding))
+select coin, ts, executed8, lost - executed8 as cancelled8, coalesce((lost - executed8) / nullif(lost, 0), 0.0) as cancel_ratio, cancel_skew8 from w""")
 def flow_wall_split(spark: SparkSession, d: str) -> DataFrame:
     """Of what the touch lost, how much trades explain and how much was cancelled, over 20 observations."""
     return flow.wall_flow(_touch_events(spark, d), "coin", 20)

@@ -52,11 +52,19 @@ def scalar_normal(spark: SparkSession, d: str) -> DataFrame:
     return x.select("coin", "ts", F.round("z", 5).alias("z"), F.round(M.normal_cdf(F.col("z")), 5).alias("cdf"), F.round(M.two_sided_p(F.col("z")), 5).alias("p"))
 
 
-@query()
+def _inverse(p: str) -> str:
+    tail = lambda q: f"({_horner(q, M.ACKLAM_C)} / {_horner(q, (*M.ACKLAM_D, 1.0))})"
+    m = f"({p} - 0.5)"
+    mid = f"({_horner(f'({m} * {m})', M.ACKLAM_A)} * {m} / {_horner(f'({m} * {m})', (*M.ACKLAM_B, 1.0))})"
+    return f"(case when {p} < {M.ACKLAM_LOW} then {tail(f'sqrt(-2 * ln({p}))')} when {p} > {1 - M.ACKLAM_LOW} then -{tail(f'sqrt(-2 * ln(1 - {p}))')} else {mid} end)"
+
+
+@query(f"""with g as (select i / 1000.0::double as p from range(1, 1000) t(i)), z as (select p, {_inverse("p")} as z from g) select p, round(z, 6) + 0.0 as z, round(0.5 * (1 + {ERF("(z / sqrt(2))")}), 6) + 0.0 as back from z""")
 def scalar_normal_inverse(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles and the way back through the CDF, over a grid of probabilities."""
     p = spark.range(1, 1000).select((F.col("id") / 1000.0).alias("p"))
-    return p.withColumn("z", M.normal_inverse(F.col("p"))).withColumn("back", M.normal_cdf(F.col("z")))
+    z = p.withColumn("z", M.normal_inverse(F.col("p")))
+    return z.select("p", F.round("z", 6) + F.lit(0.0), F.round(M.normal_cdf(F.col("z")), 6) + F.lit(0.0)).toDF("p", "z", "back")
 
 
 @query(f"""with {TRADES} select sym, seq, cast(p8::hugeint * q8 // 100000000 as varchar) as notional, cast((p8::hugeint * q8 // 100000000) * 50000 // 100000000 as varchar) as taker_fee, cast(-((p8::hugeint * q8 // 100000000) * 4000 // 100000000) as varchar) as maker_fee from tr""")
@@ -240,12 +248,21 @@ def flow_forced(spark: SparkSession, d: str) -> DataFrame:
     return studies.flow_metrics(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 600_000).select("id", "key", "forced8", "early8", "late8")
 
 
-@query()
+FLOWM = f"""{BREAKS}, fx as (select ep.*, tr.ts as path_ts, sgn, q8, tr.p8 as v8, seq from ep join tr on tr.sym = ep.key and tr.ts between ep.ts and ep.ts + 600000),
+  fg as (select id, key, p8, side, cast(sum(case when sgn = side then q8 else 0 end) as bigint) as forced8, cast(sum(case when sgn = side and path_ts < ts + 300000 then q8 else 0 end) as bigint) as early8, arg_max(v8, (path_ts, seq)) as last8 from fx group by all),
+  fm as (select id, key, forced8, early8, forced8 - early8 as late8, (last8 / p8 - 1) * 1e4 * side as push_bps, coalesce((forced8 - early8) / nullif(forced8, 0), 0.0) as late_share from fg)"""
+
+
+@query(f"""with recursive {FLOWM} select id, key, forced8, early8, late8, round(push_bps, 5) + 0.0 as push_bps, round(late_share, 9) + 0.0 as late_share,
+  case when push_bps >= 5 and late_share >= 0.5 then 'continuation' when forced8 > 0 and push_bps < 1 then 'absorbed' when late_share < 0.3 then 'exhausted' else 'unclassified' end as state from fm""")
 def flow_metrics_states(spark: SparkSession, d: str) -> DataFrame:
-    return studies.flow_metrics(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 600_000)
+    m = studies.flow_metrics(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 600_000)
+    return m.withColumns({"push_bps": F.round("push_bps", 5) + F.lit(0.0), "late_share": F.round("late_share", 9) + F.lit(0.0)})
 
 
-@query()
+@query(f"""with recursive {FLOWM}, oc as (select id, key, min(path_ts) filter (run >= 10) as on_ts, min(path_ts) filter ((v8 - edge8) * side < 0) as back_ts from ru group by all),
+x as (select fm.key, late_share < 0.3 as s, case when on_ts is null and back_ts is null then 0 when back_ts is null or on_ts < back_ts then 1 else -1 end < 0 as y from fm join oc using (id))
+select key, count(*) filter (s) as with_signal, count(*) filter (not s) as without, avg(y::int::double) filter (s) as p_with, avg(y::int::double) filter (not s) as p_without, avg(y::int::double) as p_all from x group by key""")
 def separation(spark: SparkSession, d: str) -> DataFrame:
     """Whether forced flow that ends early says that a break fails."""
     e, p = _paths(spark, d)
@@ -255,9 +272,11 @@ def separation(spark: SparkSession, d: str) -> DataFrame:
     return stats.separation(x, ["key"], F.col("late_share") < 0.3, F.col("outcome") < 0)
 
 
-@query()
+@query(f"""with recursive {BREAKS}, wk as (select id, key, side, arg_max(v8, v8 * side) as w8, arg_max(v8, path_ts) as e8 from pa where path_ts <= ts + 60000 group by all), rk as (select *, (w8 / e8 - 1) * 1e4 * side + 2 as risk from wk),
+x as (select pa.id, pa.key, risk, path_ts, -((v8 / e8 - 1) * 1e4) * pa.side / risk as r from pa join rk on pa.id = rk.id where path_ts > ts + 60000)
+select id, key, round(risk, 5) + 0.0 as risk_bps, round(coalesce(arg_min(r, path_ts) filter (r >= 2 or r <= -1), arg_max(r, path_ts)), 5) + 0.0 as r from x group by id, key, risk""")
 def struct_stop(spark: SparkSession, d: str) -> DataFrame:
-    return studies.structural_stop(_paths(spark, d)[1], 60_000, 2.0, 2.0)
+    return rounded(studies.structural_stop(_paths(spark, d)[1], 60_000, 2.0, 2.0), 5, "risk_bps", "r")
 
 
 LADDER_N = "least(3, greatest(cast(floor(far / 10.0) as integer), 0))"
@@ -284,7 +303,9 @@ def through_trade_fill(spark: SparkSession, d: str) -> DataFrame:
     return studies.through_trades(o, trades(spark, d).withColumnRenamed("sym", "key"), 900_000)
 
 
-@query()
+@query(f"""with recursive {BREAKS}, x as (select ep.id, ep.key, tr.ts as path_ts, case when sgn = side then q8 else 0 end as f from ep join tr on tr.sym = ep.key and tr.ts between ep.ts and ep.ts + 900000),
+y as (select *, sum(f) over (partition by id order by path_ts range between 60000 preceding and current row) as trail, sum(f) over (partition by id) as total from x)
+select id, key, min(path_ts) as exit_ts from y where trail >= 2.0 * total * 60000 / 900000 and trail > 0 group by id, key""")
 def flow_exit(spark: SparkSession, d: str) -> DataFrame:
     return studies.flow_exit(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 900_000, 60_000, 2.0)
 
@@ -298,9 +319,18 @@ def _cascades(spark: SparkSession, d: str) -> DataFrame:
     return studies.cascades(oi, _coin_prices(spark, d), 1_800_000, 0.002, 5.0, 3_600_000)
 
 
-@query()
+CASC = f"""{TRADES}, {OI}, pr as (select coin as key, tr.ts, p8 as v8, seq from tr join instrument on symbol = sym), p1 as (select * from pr qualify row_number() over (partition by key, ts order by seq desc) = 1),
+  o as (select op.coin as key, op.ts, op.seq, oi8, v8 from op asof join p1 on op.coin = p1.key and op.ts >= p1.ts),
+  ow as (select *, first_value(oi8) over w as oi0, first_value(v8) over w as v0, min(ts) over w as t0 from o window w as (partition by key, ts {DAY} order by ts range between 1800000 preceding and current row)),
+  cc as (select key, ts, seq as id, (oi0 - oi8) / oi0 as oi_drop, (v8 / v0 - 1) * 1e4 as move_bps, v8 as p8, ts {DAY} as day from ow where ts - t0 >= 900000 and (oi0 - oi8) / oi0 >= 0.002 and abs((v8 / v0 - 1) * 1e4) >= 5),
+  ck as (select key, day, min(ts) as ts from cc group by all union all select k.key, k.day, (select min(c.ts) from cc c where c.key = k.key and c.day = k.day and c.ts > k.ts + 3600000) from ck k where k.ts is not null),
+  ca as (select key, ts, id, round(oi_drop, 8) + 0.0 as oi_drop, round(move_bps, 5) + 0.0 as move_bps, case when move_bps > 0 then 1 else -1 end as side, p8, ts + 3600000 as until, day from cc join (select key, ts from ck where ts is not null) using (key, ts))"""
+
+
+@query(f"with recursive {CASC} select * exclude (day) from ca")
 def cascade_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _cascades(spark, d)
+    c = _cascades(spark, d)
+    return c.withColumns({"oi_drop": F.round("oi_drop", 8) + F.lit(0.0), "move_bps": F.round("move_bps", 5) + F.lit(0.0)})
 
 
 @query()
@@ -351,13 +381,19 @@ def _barriers(spark: SparkSession, d: str) -> DataFrame:
     return sim.triple_barrier(n, s, "sym", 12, 25.0, 20.0)
 
 
-@query()
+GREEDY = f"""{TB}, gt as (select bt.sym, a.ts as entry_ts, b.ts as exit_ts, bt.is_long, case bt.k when 1 then 'target' when 2 then 'stop' else 'time' end as barrier, case bt.k when 1 then 25.0 when 2 then -20.0 else bt.m end - 5 as x, a.ts {DAY} as day
+    from bt join nb a on a.sym = bt.sym and a.no = bt.no join nb b on b.sym = bt.sym and b.no = bt.exit_no),
+  gk as (select sym, day, min(entry_ts) as ts, arg_min(exit_ts, entry_ts) as e from gt group by all
+    union all select n.sym, n.day, n.ts, n.e from (select k.sym, k.day, min(g.entry_ts) as ts, arg_min(g.exit_ts, g.entry_ts) as e from gk k join gt g on g.sym = k.sym and g.day = k.day and g.entry_ts > k.e group by k.sym, k.day, k.e) n)"""
+
+
+@query(f"with recursive {GREEDY} select gt.sym, entry_ts, exit_ts, is_long, barrier, round(x, 4) + 0.0 as net_bps from gt join (select distinct sym, ts from gk) k on k.sym = gt.sym and k.ts = gt.entry_ts")
 def grid_backtest(spark: SparkSession, d: str) -> DataFrame:
     """The barrier trades without overlap, net of 5 bps: one row each."""
     n = _numbered(spark, d).select("sym", "no", "ts")
     x = _barriers(spark, d).join(n, ["sym", "no"]).join(n.select("sym", F.col("no").alias("exit_no"), F.col("ts").alias("exit_ts")), ["sym", "exit_no"])
     x = x.select("sym", F.col("ts").alias("entry_ts"), "exit_ts", "is_long", "barrier", (F.col("gross_bps") - 5).alias("net_bps"))
-    return sim.non_overlapping(x, "sym", "entry_ts", "exit_ts")
+    return rounded(sim.non_overlapping(x, "sym", "entry_ts", "exit_ts"), 4, "net_bps")
 
 
 MOM = f"""{TB}, g as (select sym, case k when 1 then 25.0 when 2 then -20.0 else m end as x from bt),
@@ -384,10 +420,19 @@ def stat_psr(spark: SparkSession, d: str) -> DataFrame:
     return m.select("sym", "n", F.round("sharpe", 5).alias("sharpe"), F.round(p, 4).alias("psr"))
 
 
-@query()
+def _dsr(of: str) -> str:
+    """CTEs ds: the rows of `of` with trials, benchmark and dsr."""
+    return f"""dv as (select *, count(*) over () as trials, var_pop(sharpe) over () as vs from {of}),
+  db as (select *, sqrt(vs) * ((1 - {stats.EULER}) * {_inverse("(1 - 1 / greatest(trials, 2))")} + {stats.EULER} * {_inverse("(1 - 1 / (greatest(trials, 2) * exp(1)))")}) as benchmark from dv),
+  dz as (select *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe ** 2, 1e-12)) as zz from db),
+  ds as (select *, case when n >= 2 then {CDF("zz")} else 0 end as dsr from dz)"""
+
+
+@query(f"with {MOM}, {_dsr('mt')} select sym, n, round(sharpe, 5) + 0.0 as sharpe, trials, round(vs, 7) + 0.0 as var_sharpe, round(benchmark, 5) + 0.0 as benchmark, round(dsr, 4) + 0.0 as dsr from ds")
 def stat_dsr(spark: SparkSession, d: str) -> DataFrame:
     m = stats.moments(_barriers(spark, d), ["sym"], "gross_bps").withColumn("sweep", F.lit(1))
-    return stats.deflated_sharpe(m, ["sweep"]).select("sym", "n", "sharpe", "trials", "var_sharpe", "benchmark", "dsr")
+    x = stats.deflated_sharpe(m, ["sweep"]).select("sym", "n", "sharpe", "trials", "var_sharpe", "benchmark", "dsr")
+    return x.withColumns({c: F.round(c, k) + F.lit(0.0) for c, k in (("sharpe", 5), ("var_sharpe", 7), ("benchmark", 5), ("dsr", 4))})
 
 
 def _sweep_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -397,9 +442,23 @@ def _sweep_returns(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.lit("hourly").alias("sweep"), F.col("sym").alias("config"), (F.row_number().over(w) - 1).alias("no"), "x")
 
 
-@query()
+PBO_TAIL = f"""hb as (select sym, ts // 3600000 * 3600000 as ts, (arg_max(p8, (ts, seq)) / arg_min(p8, (ts, seq)) - 1) * 1e4 as x from tr group by sym, tr.ts // 3600000),
+  hn as (select sym, x, row_number() over (partition by sym order by ts) - 1 as no from hb), hk as (select *, cast(floor(no * 8 / (max(no) over () + 1)) as integer) as b from hn),
+  hs as (select sym, b, count(x) as n, sum(x) as s, sum(x * x) as q from hk group by all), ms_ as (select i from range(256) t(i) where bit_count(i) = 4),
+  hp as (select sym, i, sum(case when (i >> b) & 1 = 1 then n else 0 end) as n1, sum(case when (i >> b) & 1 = 1 then s else 0 end) as s1, sum(case when (i >> b) & 1 = 1 then q else 0 end) as q1,
+    sum(case when (i >> b) & 1 = 0 then n else 0 end) as n0, sum(case when (i >> b) & 1 = 0 then s else 0 end) as s0, sum(case when (i >> b) & 1 = 0 then q else 0 end) as q0 from hs, ms_ group by sym, i),
+  hr as (select sym, i, case when q1 / greatest(n1, 1) - (s1 / greatest(n1, 1)) ** 2 > 1e-24 then s1 / greatest(n1, 1) / sqrt(q1 / greatest(n1, 1) - (s1 / greatest(n1, 1)) ** 2) else 0 end as a,
+    case when q0 / greatest(n0, 1) - (s0 / greatest(n0, 1)) ** 2 > 1e-24 then s0 / greatest(n0, 1) / sqrt(q0 / greatest(n0, 1) - (s0 / greatest(n0, 1)) ** 2) else 0 end as o from hp),
+  hw as (select *, row_number() over (partition by i order by a desc, sym) as best, count(*) over (partition by i order by o range unbounded preceding) as rk, count(*) over (partition by i) as cf from hr),
+  hl as (select i, ln(rk / (cf + 1) / (1 - rk / (cf + 1))) as lg from hw where best = 1),
+  hq as (select lg, row_number() over (order by lg) as nth, count(*) over () as k from hl),
+  pb_ as (select 'hourly' as sweep, count(*) as splits, avg((lg <= 0)::int::double) as pbo, round(max(lg) filter (nth = k // 2 + 1), 6) + 0.0 as median_logit from hq)"""
+PBO = f"{TRADES}, {PBO_TAIL}"
+
+
+@query(f"with {PBO} select * from pb_")
 def stat_pbo(spark: SparkSession, d: str) -> DataFrame:
-    return stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x", 8)
+    return rounded(stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x", 8), 6, "median_logit")
 
 
 @query(f"""with {TRADES}, r as (select sym, q8, row_number() over (partition by sym order by q8) - 1 as i, count(*) over (partition by sym) as n from tr)
@@ -454,18 +513,29 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("name").agg(F.sum("gross_bps").alias("net"), F.sum(F.when(half, F.col("gross_bps")).otherwise(0.0)).alias("oos_net"), F.count_distinct("day").alias("dates"), F.count("*").alias("trips")).join(dd, "name")
 
 
-@query()
+CELLS = f"""{TB}, cx as (select bt.sym || case when is_long then '_long_01' else '_short_01' end as name, bt.no, case k when 1 then 25.0 when 2 then -20.0 else m end as x, nb.ts {DAY} as day from bt join nb on nb.sym = bt.sym and nb.no = bt.no),
+  ce as (select *, sum(x) over (partition by name order by no) as eq from cx), cd as (select *, greatest(max(eq) over (partition by name order by no), 0) - eq as dd from ce),
+  cl as (select name, sum(x) as net, sum(case when day % 2 = 1 then x else 0.0 end) as oos, count(distinct day) as dates, max(dd) as dd from cd group by name)"""
+
+
+@query(f"""with {CELLS} select regexp_replace(regexp_replace(name, '_\\d+$', ''), '_(long|short)$', '') as family, count(*) as cells, round(max(net), 4) + 0.0 as best_net, round(min(dd), 4) + 0.0 as min_drawdown, round(max(oos), 4) + 0.0 as best_oos, max(dates) as dates,
+  count(distinct regexp_extract(name, '_(long|short)_', 1)) as sides, max(net) > 0 and max(oos) > 0 and max(dates) >= 3 and count(distinct regexp_extract(name, '_(long|short)_', 1)) = 2 and min(dd) <= max(net) as promote from cl group by family""")
 def family_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return stats.family_rollup(_cells(spark, d))
+    return rounded(stats.family_rollup(_cells(spark, d)), 4, "best_net", "min_drawdown", "best_oos")
 
 
-@query()
+NAMED = MOM.replace("g as (select sym, case", "g as (select sym || case when is_long then '_long' else '_short' end as sym, case")
+
+
+@query(f"""with {NAMED}, {PBO_TAIL}, {_dsr('mt')} select sym as name, n, round(total, 4) + 0.0 as total, round(sharpe, 5) + 0.0 as sharpe, round(dsr, 4) + 0.0 as dsr, pbo,
+  case when total <= 0 or n < {stats.MIN_TRIPS} or dsr < {stats.RETIRE_DSR} then 'retire' when dsr >= {stats.PROMOTE_DSR} and pbo <= {stats.PROMOTE_PBO} then 'promote' when dsr >= {stats.PARK_DSR} and pbo <= {stats.PARK_PBO} then 'park' else 'retire' end as verdict from ds, pb_""")
 def sweep_report(spark: SparkSession, d: str) -> DataFrame:
     """Cells with their deflated Sharpe, the sweep's overfitting probability and the verdict."""
     x = _barriers(spark, d).withColumn("name", F.concat_ws("_", "sym", F.when(F.col("is_long"), "long").otherwise("short")))
     m = stats.deflated_sharpe(stats.moments(x, ["name"], "gross_bps").withColumn("sweep", F.lit("hourly")), ["sweep"])
     p = stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x", 8).select("sweep", "pbo")
-    return m.join(F.broadcast(p), "sweep").select("name", "n", "total", "sharpe", "dsr", "pbo", stats.verdict(F.col("total"), F.col("n"), F.col("dsr"), F.col("pbo")).alias("verdict"))
+    r = lambda c, k: (F.round(c, k) + F.lit(0.0)).alias(c)
+    return m.join(F.broadcast(p), "sweep").select("name", "n", r("total", 4), r("sharpe", 5), r("dsr", 4), "pbo", stats.verdict(F.col("total"), F.col("n"), F.col("dsr"), F.col("pbo")).alias("verdict"))
 
 
 @query(f"""with {TRADES}, g as (select sym, make_date(cast(ts {DAY} as integer)) as date, ts // 300000 as b from tr), k as (select sym, date, count(distinct b) as k from g group by all),
