@@ -1,48 +1,61 @@
-"""As-of, interval and range joins as unions with windows, one shuffle each."""
+"""As-of, interval and range joins as unions with windows per key and day."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.clean import DAY_MS
 
-def _tagged(df: DataFrame, key: list[str], ts: str, tie: str, left: bool, payload: list[str], side: str) -> DataFrame:
-    return df.select(*key, F.col(ts).alias("t__"), F.col(tie).alias("tie__"), F.lit(left).alias("left__"), F.struct(*payload).alias(side))
 
+def _bucket(c: str, width: int) -> Column:
+    return F.col(c) - F.pmod(F.col(c), F.lit(width))
 
-def _merged(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, payload: list[str]) -> DataFrame:
+
+def _merged(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, payload: list[str], width: int, back: bool) -> DataFrame:
+    """Left and right rows by (key, bucket of ts), each bucket with the right row that its neighbours carry into it.
+
+    Only the last (first) right row of a bucket can matter beyond it; these, one per bucket, are carried on
+    over the key's buckets, so that no task sees more of a key than one bucket and the list of its buckets.
+    """
     own = [c for c in left.columns if c not in key]
-    a = _tagged(left, key, ts, tie, True, own, "l__")
-    b = _tagged(right, key, ts, tie, False, payload, "r__")
-    return a.unionByName(b, allowMissingColumns=True)
+    a = left.select(*key, F.col(ts).alias("t__"), F.col(tie).alias("tie__"), F.lit(True).alias("left__"), F.struct(*own).alias("l__")).withColumn("b__", _bucket("t__", width))
+    r = right.select(*key, F.col(ts).alias("t__"), F.col(tie).alias("tie__"), F.lit(False).alias("left__"), F.struct(*payload).alias("r__")).withColumn("b__", _bucket("t__", width))
+    edge = F.struct("t__", "tie__", "r__")
+    edges = r.groupBy(*key, "b__").agg((F.max if back else F.min)(edge).alias("e__"))
+    slots = edges.unionByName(a.select(*key, "b__").distinct(), allowMissingColumns=True).groupBy(*key, "b__").agg(F.max("e__").alias("e__"))
+    w = Window.partitionBy(*key).orderBy(F.asc("b__") if back else F.desc("b__")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.withColumn("e__", F.last("e__", ignorenulls=True).over(w)).where("e__ is not null").select(*key, "b__", "e__.*").withColumn("left__", F.lit(False))
+    return a.unionByName(r, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
 
 
 def _opened(df: DataFrame, left: DataFrame, key: list[str], extra: list[Column]) -> DataFrame:
     return df.where("left__").select(*key, *[F.col("l__")[c].alias(c) for c in left.columns if c not in key], *extra)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, take: list[str], strict: bool = False, clip: bool = False, keep_right_ts: str | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, take: list[str], strict: bool = False, clip: bool = False, keep_right_ts: str | None = None, width: int = DAY_MS) -> DataFrame:
     """left with the take columns of the last right row at or before it (before it, if strict).
 
     Rows of equal ts go by tie on the right side; clip gives left rows before the first right row that
-    row's values instead of null. One union, one shuffle by key, one sort; no nested loop.
+    row's values instead of null. A union and a window per key and bucket of `width`; no nested loop.
     """
     payload = [*take, F.col(ts).alias("t__")]
-    m = _merged(left, right, key, ts, tie, payload)
+    m = _merged(left, right, key, ts, tie, payload, width, True)
     rank = F.when(F.col("left__"), 0 if strict else 1).otherwise(1 if strict else 0)
-    w = Window.partitionBy(*key).orderBy("t__", rank, "tie__")
-    got = F.last("r__", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy(*key, "b__").orderBy("t__", rank, "tie__")
+    m = m.withColumn("g__", F.last("r__", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("left__")
     if clip:
-        got = F.coalesce(got, F.min(F.when(~F.col("left__"), F.struct("t__", "tie__", "r__"))).over(Window.partitionBy(*key))["r__"])
+        firsts = right.groupBy(*key).agg(F.min(F.struct(F.col(ts).alias("t__"), F.col(tie).alias("tie__"), F.struct(*payload).alias("r__"))).alias("f__"))
+        m = m.join(firsts, key, "left").withColumn("g__", F.coalesce("g__", "f__.r__"))
     extra = [F.col("g__")[c].alias(c) for c in take] + ([F.col("g__.t__").alias(keep_right_ts)] if keep_right_ts else [])
-    return _opened(m.withColumn("g__", got), left, key, extra)
+    return _opened(m, left, key, extra)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, take: list[str], strict: bool = False) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, key: list[str], ts: str, tie: str, take: list[str], strict: bool = False, width: int = DAY_MS) -> DataFrame:
     """left with the take columns of the first right row at or after it (after it, if strict)."""
-    m = _merged(left, right, key, ts, tie, take)
+    m = _merged(left, right, key, ts, tie, take, width, False)
     rank = F.when(F.col("left__"), 0 if strict else 1).otherwise(1 if strict else 0)
-    w = Window.partitionBy(*key).orderBy(F.desc("t__"), rank, F.desc("tie__"))
+    w = Window.partitionBy(*key, "b__").orderBy(F.desc("t__"), rank, F.desc("tie__"))
     got = F.last("r__", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return _opened(m.withColumn("g__", got), left, key, [F.col("g__")[c].alias(c) for c in take])
 

@@ -97,17 +97,38 @@ def verdict(net: Column, trips: Column, dsr: Column, pbo: Column) -> Column:
     )
 
 
-def nearest_rank(rows: DataFrame, key: list[str], x: str, percents: list[int]) -> DataFrame:
-    """The values at index round(p/100 (n-1)) of each group's order, one column p{percent} each.
+def exact_ranks(rows: DataFrame, key: list[str], x: str, wanted: dict[str, Column]) -> DataFrame:
+    """The values at given indexes (0 is the smallest) of each group's order, exact, one column per name in wanted.
 
-    Exact and without a sort per group: counts per value first, so that the ranks run over distinct values.
+    wanted: expressions over n__, the group's rows. Two levels of counts: 64 buckets per octave of |x| find each index's
+    bucket, and only that bucket's values are counted one by one. No group is sorted or gathered as a whole. x is
+    numeric; nulls and NaN are left out.
     """
-    c = rows.groupBy(*key, x).agg(F.count("*").alias("k__"))
-    w = Window.partitionBy(*key).orderBy(x)
-    c = c.withColumns({"upto__": F.sum("k__").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n__": F.sum("k__").over(Window.partitionBy(*key))})
-    at = lambda p: F.round(F.lit(p) / 100 * (F.col("n__") - 1)).cast("bigint")
-    hit = lambda p: (F.col("upto__") > at(p)) & (F.col("upto__") - F.col("k__") <= at(p))
-    return c.groupBy(*key).agg(*[F.max(F.when(hit(p), F.col(x))).alias(f"p{p}") for p in percents])
+    v = F.col(x)
+    octave = F.floor(F.log2(1 + F.abs(v.cast("double"))) * 64).cast("int")
+    r = rows.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*key, v.alias("x__"), F.when(v < 0, -1 - octave).otherwise(octave).alias("b__"))
+    c = r.groupBy(*key, "b__").agg(F.count("*").alias("k__"))
+    w = Window.partitionBy(*key).orderBy("b__")
+    c = c.withColumns({"from__": F.coalesce(F.sum("k__").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n__": F.sum("k__").over(Window.partitionBy(*key))})
+    asks = F.array(*[F.struct(F.lit(name).alias("name__"), i.cast("bigint").alias("i__")) for name, i in wanted.items()])
+    hits = c.select(*key, "b__", "k__", "from__", F.inline(asks)).where((F.col("i__") >= F.col("from__")) & (F.col("i__") < F.col("from__") + F.col("k__")))
+    inside = r.join(hits.select(*key, "b__").distinct(), [*key, "b__"], "left_semi").groupBy(*key, "b__", "x__").agg(F.count("*").alias("m__"))
+    up = F.sum("m__").over(Window.partitionBy(*key, "b__").orderBy("x__").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("upto__", up).join(hits, [*key, "b__"])
+    at = F.col("i__") - F.col("from__")
+    found = found.where((F.col("upto__") > at) & (F.col("upto__") - F.col("m__") <= at))
+    return found.groupBy(*key).agg(*[F.max(F.when(F.col("name__") == name, F.col("x__"))).alias(name) for name in wanted])
+
+
+def nearest_rank(rows: DataFrame, key: list[str], x: str, percents: list[int]) -> DataFrame:
+    """The values at index round(p/100 (n-1)) of each group's order, one column p{percent} each."""
+    return exact_ranks(rows, key, x, {f"p{p}": F.round(F.lit(p) / 100 * (F.col("n__") - 1)) for p in percents})
+
+
+def median(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """The exact median of each group, the middle two averaged."""
+    half = {"lo__": F.floor((F.col("n__") - 1) / 2), "hi__": F.ceil((F.col("n__") - 1) / 2)}
+    return exact_ranks(rows, key, x, half).select(*key, ((F.col("lo__") + F.col("hi__")) / 2).alias("median"))
 
 
 def drawdown(equity: DataFrame, key: list[str], order: list[str], x: str) -> DataFrame:

@@ -470,7 +470,8 @@ def stat_percentile_nr(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {TRADES} select sym, median(q8) as median, count(*) as n from tr group by sym""")
 def stat_median(spark: SparkSession, d: str) -> DataFrame:
     """Exact medians, even numbers averaged."""
-    return trades(spark, d).groupBy("sym").agg(F.percentile("q8", 0.5).alias("median"), F.count("*").alias("n"))
+    t = trades(spark, d)
+    return stats.median(t, ["sym"], "q8").join(t.groupBy("sym").agg(F.count("*").alias("n")), "sym")
 
 
 @query(f"""with {BARS5}, e as (select sym, ts, cast(sum(2 * buy8 - vol8) over w as bigint) as eq from tb window w as (partition by sym order by ts)), p as (select *, greatest(max(eq) over (partition by sym order by ts), 0) - eq as dd from e)

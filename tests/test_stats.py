@@ -74,6 +74,36 @@ def test_ranks_folds_and_streaks(spark):
     assert (x.max_losses, x.wins, x.losses) == (3, 2, 4)
 
 
+def test_exact_ranks_over_all_magnitudes(spark):
+    r = random.Random(6)
+    data = {"a": [r.choice([-1, 1]) * r.randrange(10 ** r.randrange(1, 12)) for _ in range(500)], "b": [7], "c": [0, 0, 0, 1]}
+    rows = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs] + [("a", None)], "k__x string, x bigint")
+    got = {q.k__x: q for q in stats.nearest_rank(rows, ["k__x"], "x", [0, 3, 50, 97, 100]).collect()}
+    for k, xs in data.items():
+        s = sorted(xs)
+        assert [got[k][f"p{p}"] for p in (0, 3, 50, 97, 100)] == [s[math.floor(p / 100 * (len(s) - 1) + 0.5)] for p in (0, 3, 50, 97, 100)]
+    assert {q.k__x: q.median for q in stats.median(rows, ["k__x"], "x").collect()} == {k: float(np.median(xs)) for k, xs in data.items()}
+
+
+def test_asof_over_many_buckets_against_brute_force(spark):
+    r = random.Random(7)
+    left = [(r.choice("AB"), r.randrange(400), k, 0) for k in range(120)]
+    right = [(r.choice("ABC"), r.randrange(400), k, k) for k in range(60)]
+    schema = "k string, ts bigint, o bigint, v bigint"
+    lf, rt = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema).withColumnRenamed("v", "w")
+    for strict in (False, True):
+        ok_b = lambda u, t: u < t if strict else u <= t  # noqa: B023, E731
+        ok_f = lambda u, t: u > t if strict else u >= t  # noqa: B023, E731
+        back = {x.o: x.w for x in asof_backward(lf, rt, ["k"], "ts", "o", ["w"], strict=strict, width=25).collect()}
+        fore = {x.o: x.w for x in asof_forward(lf, rt, ["k"], "ts", "o", ["w"], strict=strict, width=25).collect()}
+        clip = {x.o: x.w for x in asof_backward(lf, rt, ["k"], "ts", "o", ["w"], strict=strict, clip=True, width=25).collect()}
+        for k, t, o, _ in left:
+            b = [(u, p, w) for q, u, p, w in right if q == k and ok_b(u, t)]
+            f = [(u, p, w) for q, u, p, w in right if q == k and ok_f(u, t)]
+            assert back[o] == (max(b)[2] if b else None) and fore[o] == (min(f)[2] if f else None)
+            assert clip[o] == (max(b)[2] if b else min((u, p, w) for q, u, p, w in right if q == k)[2])
+
+
 def test_asof_and_intervals(spark):
     schema = "k string, ts bigint, o bigint, v bigint"
     left = spark.createDataFrame([("A", 5, 1, 0), ("A", 10, 2, 0), ("A", 12, 3, 0), ("B", 1, 4, 0)], schema)
