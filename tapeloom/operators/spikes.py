@@ -143,18 +143,25 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
 
     med = lambda c, p=0.5: F.percentile_approx(c, p, 1000)
 
-    def outside(i: int, tag: int, k: int = 0) -> Column:
+    def ellipse(i: int, tag: int, x: Column, dx: Column, ddx: Column) -> Column:
+        """Whether a point lies outside of the source's ellipsoid of that fit."""
         e = F.col(f"e{i}_{tag}")
-        part = lambda num, axis: F.coalesce(F.when(axis > 0, (num / axis) ** 2).when(num != 0, F.lit(float("inf"))), F.lit(0.0))
-        return part(u(i, k) - e["c"], e["a"]) + part(d1(i, k), e["b"]) + part(d2(i, k), e["d"]) > 1
+        part = lambda num, axis: F.coalesce(F.when(axis > 0, (num / axis) * (num / axis)).when(num != 0, F.lit(float("inf"))), F.lit(0.0))
+        return part(x - e["c"], e["a"]) + part(dx, e["b"]) + part(ddx, e["d"]) > 1
+
+    def outside(i: int, tag: int, k: int = 0) -> Column:
+        return ellipse(i, tag, u(i, k), d1(i, k), d2(i, k))
 
     def fitted(points: DataFrame, tag: int, kept: list[str]) -> DataFrame:
         """Per source and field the ellipsoid over the points that lie inside the one before, or over all; kept are the columns of those before."""
         aggs = [F.first(c).alias(c) for c in kept]
+        # each coordinate is worked out once per row, then masked, then summed up
+        points = points.withColumns({f"{n}{i}": e for i in spiky for n, e in (("u_", u(i, 0)), ("x_", d1(i)), ("y_", d2(i)))})
+        if tag:
+            beyond = {f"out{i}": F.coalesce(ellipse(i, tag - 1, F.col(f"u_{i}"), F.col(f"x_{i}"), F.col(f"y_{i}")), F.lit(False)) for i in spiky}
+            points = points.withColumns(beyond).withColumns({f"{n}{i}": F.when(~F.col(f"out{i}"), F.col(f"{n}{i}")) for i in spiky for n in ("u_", "x_", "y_")})
         for i in spiky:
-            inside = F.lit(True) if not tag else ~F.coalesce(outside(i, tag - 1), F.lit(False))
-            on = lambda c: F.when(inside, c)  # noqa: B023, E731
-            aggs += [F.count(on(u(i, 0))).alias(f"n{i}"), med(on(u(i, 0)), [0.25, 0.5, 0.75]).alias(f"q{i}"), med(F.abs(on(d1(i)))).alias(f"s{i}"), med(F.abs(on(d2(i)))).alias(f"t{i}")]
+            aggs += [F.count(f"u_{i}").alias(f"n{i}"), med(f"u_{i}", [0.25, 0.5, 0.75]).alias(f"q{i}"), med(F.abs(f"x_{i}")).alias(f"s{i}"), med(F.abs(f"y_{i}")).alias(f"t{i}")]
             if not tag:
                 aggs.append(med(far(i, F.col(name(i, 0)), F.col(name(i, -1)))).alias(f"m{i}"))
         if not tag:
