@@ -104,11 +104,11 @@ def schema_changes(cells: DataFrame) -> DataFrame:
     key = ["feed_id", "file_no"]
     starts = spans.where("first_no > 1").select("feed_id", F.col("first_no").alias("file_no"), "field", F.col("type").alias("new_type"))
     ends = spans.join(last, "feed_id").where("last_no < n_files").select("feed_id", (F.col("last_no") + 1).alias("file_no"), "field", F.col("type").alias("old_type"))
-    log = starts.join(ends, [*key, "field"], "full")
+    log = cut(starts.join(ends, [*key, "field"], "full"))
     retyped = log.where("new_type is not null and old_type is not null").select(*key, F.lit("retyped").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
     come = log.where("old_type is null").select(*key, F.col("field").alias("new_field"), "new_type")
     gone = log.where("new_type is null").select(*key, F.col("field").alias("old_field"), "old_type")
-    alias = _aliases(cells, gone, come, order)
+    alias = cut(_aliases(cells, gone, come, order))
     renamed = alias.join(gone, [*key, "old_field"]).join(come, [*key, "new_field"])
     kinds = F.when(F.col("old_type") != F.col("new_type"), F.array(F.lit("renamed"), F.lit("retyped"))).otherwise(F.array(F.lit("renamed")))
     parts = [
