@@ -254,13 +254,13 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {BARS5}, {FUNDING}, {OI}, b as (select coin, tb.ts, vol8, buy8 from tb join instrument on symbol = sym),
-f as (select b.*, rate from b asof left join fu on b.coin = fu.coin and b.ts >= fu.ts), o as (select f.*, oi8 from f asof left join op on f.coin = op.coin and f.ts >= op.ts)
-select coin, ts, {", ".join(f'''cast(sum(vol8) over w{n} as bigint) as vol8_sum_{n}, cast(sum(buy8) over w{n} as bigint) as buy8_sum_{n}, round(avg(rate) over w{n}, 13) + 0.0 as rate_avg_{n},
+f as (select b.*, cast(round(rate * 1e12) as bigint) as rate12 from b asof left join fu on b.coin = fu.coin and b.ts >= fu.ts), o as (select f.*, oi8 from f asof left join op on f.coin = op.coin and f.ts >= op.ts)
+select coin, ts, {", ".join(f'''cast(sum(vol8) over w{n} as bigint) as vol8_sum_{n}, cast(sum(buy8) over w{n} as bigint) as buy8_sum_{n}, avg(rate12) over w{n} as rate12_avg_{n},
   round(case when lag(oi8, {n}) over s <> 0 then (oi8 / lag(oi8, {n}) over s - 1) * 100 end, 6) + 0.0 as oi8_change_{n}''' for n in (10, 25, 50, 100))}
 from o window s as (partition by coin, ts {DAY} order by ts), {", ".join(f"w{n} as (partition by coin, ts {DAY} order by ts rows {n - 1} preceding)" for n in (10, 25, 50, 100))}""")
 def bars_enriched_rolling(spark: SparkSession, d: str) -> DataFrame:
-    r = bars.rolling_enrichment(_enriched(spark, d), "coin", (10, 25, 50, 100), ["vol8", "buy8"], ["rate"], ["oi8"])
-    return r.withColumns({c: F.round(c, 13 if "rate" in c else 6) + F.lit(0.0) for c in r.columns if "avg" in c or "change" in c})
+    r = bars.rolling_enrichment(_enriched(spark, d).withColumn("rate12", F.round(F.col("rate") * 1e12).cast("bigint")), "coin", (10, 25, 50, 100), ["vol8", "buy8"], ["rate12"], ["oi8"])
+    return r.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in r.columns if "change" in c})
 
 
 PROFILE = f"""{TRADES}, pl as (select sym, ts {DAY} as day, min(p8) as low8, max(p8) as high8 from tr group by all),
