@@ -20,7 +20,8 @@ def snapshot_diff(rows: DataFrame, series: list[str], at: str, key: list[str], v
     rows: one row per record and snapshot; at: epoch ms of the snapshot; key: the record's key;
     values: the compared columns; version: of several rows of a record in a snapshot the one with
     the largest version counts, and of equal versions the one with the largest values; absent: true
-    for a row that says the record is not there. Null series, at or key: the row is ignored.
+    for a row that says the record is not there. A row with a null series or at is ignored; one with a null key
+    only says that the snapshot was taken.
     The first snapshot of a day has no cases. Unchanged records give no row.
 
     Result: series, at, key, change_kind ('added', 'removed', 'changed').
@@ -31,7 +32,7 @@ def snapshot_diff(rows: DataFrame, series: list[str], at: str, key: list[str], v
     """
     cols = [*series, at, *key]
     r = rows.select(*cols, F.struct(*version, *values).alias("ver"), F.when(~F.coalesce(absent, F.lit(False)), F.xxhash64(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")) for v in values])).alias("h")).dropna(subset=cols)
-    index = snapshot_index(r, series, at, day_start(F.col(at)))
+    index = snapshot_index(rows, series, at, day_start(F.col(at)))
     sides = F.array(F.struct(F.col("own_at").alias("target"), F.lit(True).alias("new")), F.struct(F.col("next_at").alias("target"), F.lit(False).alias("new")))
     tagged = r.join(index, [*series, at]).select(*series, *key, "ver", "h", F.inline(sides)).where("target is not null")
     both = tagged.groupBy(*series, "target", *key).agg(F.expr("max_by(h, ver) filter (where new)").alias("hn"), F.expr("max_by(h, ver) filter (where not new)").alias("ho"))
