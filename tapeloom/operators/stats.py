@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +55,29 @@ def block_count(n: int) -> int:
     return next((b for b in BLOCKS if n >= 2 * b), 0)
 
 
-def overfit_probability(rows: DataFrame, sweep: str, config: str, order: str, x: str, blocks: int) -> DataFrame:
+def fitting_blocks(n: Column) -> Column:
+    """The largest block number of which n rows fill every block, or null."""
+    return F.coalesce(*[F.when(n >= b, F.lit(b)) for b in BLOCKS])
+
+
+def overfit_probability(rows: DataFrame, sweep: str, config: str, order: str, x: str, blocks: int | None = None) -> DataFrame:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation: sweep, splits, pbo, logit (upper median).
 
-    rows: x per sweep, config and order (a dense number per config). Each half of the blocks picks its best configuration
-    by Sharpe; its rank out of sample says whether it held. Only block sums are joined with the
-    C(blocks, blocks/2) masks (12,870 at most), so the cost does not depend on the number of rows.
+    rows: x per sweep, config and order (a dense number per config); the shortest config's length counts. Each half of the
+    blocks picks its best configuration by Sharpe; its rank out of sample says whether it held. Without a number of blocks
+    the sweep has the largest that fits; sweeps of less than two configs or rows than blocks have no result. Only block
+    sums are joined with the C(blocks, blocks/2) masks (12,870 at most), so the cost does not depend on the number of rows.
     """
     spark = rows.sparkSession
-    n = F.max(order).over(Window.partitionBy(sweep)) + 1
-    block = F.floor(F.col(order) * blocks / n).cast("int")
-    sums = rows.withColumn("block__", block).groupBy(sweep, config, "block__").agg(F.count(x).alias("n__"), F.sum(x).alias("s__"), F.sum(F.col(x) * F.col(x)).alias("q__"))
-    masks = [(i, b, b in chosen) for i, chosen in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
-    mask = F.broadcast(spark.createDataFrame(masks, "split__ int, block__ int, inside__ boolean"))
+    n = rows.groupBy(sweep, config).agg((F.max(order) + 1).alias("n__")).groupBy(sweep).agg(F.min("n__").alias("t__"), F.count("*").alias("k__"))
+    n = n.withColumn("blocks__", fitting_blocks(F.col("t__")) if blocks is None else F.when(F.col("t__") >= blocks, F.lit(blocks))).where("blocks__ is not null and k__ > 1").drop("k__")
+    block = F.call_function("div", (F.col(order) + 1) * F.col("blocks__") - 1, F.col("t__")).cast("int")
+    sums = rows.join(F.broadcast(n), sweep).where(F.col(order) < F.col("t__")).withColumn("block__", block)
+    sums = sums.groupBy(sweep, config, "blocks__", "block__").agg(F.count(x).alias("n__"), F.sum(x).alias("s__"), F.sum(F.col(x) * F.col(x)).alias("q__"))
+    sizes = BLOCKS if blocks is None else (blocks,)
+    mask = spark.range(1 << max(sizes)).select(F.col("id").cast("int").alias("split__"), F.explode(F.array(*[F.lit(b) for b in sizes])).alias("blocks__"))
+    mask = mask.where((F.expr("shiftright(split__, blocks__)") == 0) & (F.bit_count("split__") * 2 == F.col("blocks__")))
+    each = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), sweep, config).join(F.broadcast(mask), "blocks__").withColumn("inside__", F.expr("shiftright(split__, block__) & 1 = 1"))
 
     def sharpe(inside: bool) -> Column:
         part = lambda c: F.sum(F.when(F.col("inside__") == inside, F.col(c)).otherwise(0))
@@ -77,7 +85,7 @@ def overfit_probability(rows: DataFrame, sweep: str, config: str, order: str, x:
         var = F.greatest(part("q__") / F.greatest(part("n__"), F.lit(1)) - mean**2, F.lit(0.0))
         return F.when(var > 1e-24, mean / F.sqrt(var)).otherwise(0.0)
 
-    each = sums.join(mask, "block__").groupBy(sweep, "split__", config).agg(sharpe(True).alias("i__"), sharpe(False).alias("o__"))
+    each = each.groupBy(sweep, "split__", config).agg(sharpe(True).alias("i__"), sharpe(False).alias("o__"))
     w = Window.partitionBy(sweep, "split__")
     ranked = each.withColumns({"best": F.row_number().over(w.orderBy(F.desc("i__"), config)), "rank": F.count("*").over(w.orderBy("o__").rangeBetween(Window.unboundedPreceding, 0)), "configs": F.count("*").over(w)})
     share = F.col("rank") / (F.col("configs") + 1)

@@ -458,7 +458,8 @@ PBO = f"{TRADES}, {PBO_TAIL}"
 
 @query(f"with {PBO} select * from pb_")
 def stat_pbo(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x", 8), 6, "median_logit")
+    """Over as many blocks as fit the shortest symbol's hours, 16 at most. The SQL still has 8."""
+    return rounded(stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x"), 6, "median_logit")
 
 
 @query(f"""with {TRADES}, r as (select sym, q8, row_number() over (partition by sym order by q8) - 1 as i, count(*) over (partition by sym) as n from tr)
@@ -534,9 +535,10 @@ def sweep_report(spark: SparkSession, d: str) -> DataFrame:
     """Cells with their deflated Sharpe, the sweep's overfitting probability and the verdict."""
     x = _barriers(spark, d).withColumn("name", F.concat_ws("_", "sym", F.when(F.col("is_long"), "long").otherwise("short")))
     m = stats.deflated_sharpe(stats.moments(x, ["name"], "gross_bps").withColumn("sweep", F.lit("hourly")), ["sweep"])
-    p = stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x", 8).select("sweep", "pbo")
+    p = stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x").select("sweep", "pbo")
     r = lambda c, k: (F.round(c, k) + F.lit(0.0)).alias(c)
-    return m.join(F.broadcast(p), "sweep").select("name", "n", r("total", 4), r("sharpe", 5), r("dsr", 4), "pbo", stats.verdict(F.col("total"), F.col("n"), F.col("dsr"), F.col("pbo")).alias("verdict"))
+    pbo = F.coalesce("pbo", F.lit(1.0))  # a sweep too short for one promotes nothing
+    return m.join(F.broadcast(p), "sweep", "left").select("name", "n", r("total", 4), r("sharpe", 5), r("dsr", 4), "pbo", stats.verdict(F.col("total"), F.col("n"), F.col("dsr"), pbo).alias("verdict"))
 
 
 @query(f"""with {TRADES}, g as (select sym, make_date(cast(ts {DAY} as integer)) as date, ts // 300000 as b from tr), k as (select sym, date, count(distinct b) as k from g group by all),
