@@ -56,21 +56,32 @@ def _deliveries(feed: Feed, no: int, width: int) -> DataFrame:
     return feed.rows.select(F.lit(no).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
 
 
-def _with_halo(once: DataFrame, halo: int, block_ms: int, values: list[str]) -> DataFrame:
-    """Blocks of block_ms per source, each with up to halo readings of every field before and after it (own = false)."""
+def _with_halo(once: DataFrame, halo: int, block_ms: int, values: list[str], widths: list[int]) -> DataFrame:
+    """Blocks of block_ms per source, each with the halo readings of every field before and after it (own = false), whatever nulls lie between.
+
+    widths: how many fields each feed has.
+    """
     a = once.withColumn("block", F.col("t") - F.pmod("t", F.lit(block_ms))).repartition(*KEY, "block")
     part = Window.partitionBy(*KEY, "block")
     order = part.orderBy("t", "o")
     ranks = {f"n_{v}": F.count(v).over(order) for v in values} | {f"c_{v}": F.count(v).over(part) for v in values}
-    near_edge = reduce(lambda x, y: x | y, [(F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo) for v in values])
+    has = [F.col("feed").isin([no for no, n in enumerate(widths) if i < n]) for i in range(len(values))]
+    near_edge = reduce(lambda x, y: x | y, [h & F.col(v).isNotNull() & ((F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo)) for h, v in zip(has, values, strict=True)])
     row = F.struct("t", "o", "h", "copies", *values)
     edges = a.withColumns(ranks).withColumns({"first": F.row_number().over(order) == 1, "last": F.lead("t").over(order).isNull()}).where(near_edge | F.col("first") | F.col("last"))
-    line = Window.partitionBy(*KEY).orderBy("t", "o")
-    reach = halo * len(values)
-    near = edges.withColumns({"prev": F.collect_list(row).over(line.rowsBetween(-reach, -1)), "next": F.collect_list(row).over(line.rowsBetween(1, reach))})
-    none = F.filter("prev", lambda _: F.lit(False))
-    sides = F.concat(F.when(F.col("first"), F.col("prev")).otherwise(none), F.when(F.col("last"), F.col("next")).otherwise(none))
-    copies = near.where("first or last").select(*KEY, "block", F.inline(sides)).repartition(*KEY, "block")
+    source = Window.partitionBy(*KEY)
+    # a field's readings are counted along the edges, so that a frame holds halo of them and not of the rows
+    near = edges.withColumns({f"k_{v}": F.count(v).over(source.orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)) for v in values})
+    for v in values:
+        reading, line = F.when(F.col(v).isNotNull(), row), source.orderBy(f"k_{v}")
+        near = near.withColumns({f"prev_{v}": F.collect_list(reading).over(line.rangeBetween(-halo, 0)), f"next_{v}": F.collect_list(reading).over(line.rangeBetween(1, halo))})
+    near = near.where("first or last")
+    here = F.struct("t", "o")
+    prev = F.filter(F.array_distinct(F.concat(*[f"prev_{v}" for v in values])), lambda x: F.struct(x["t"], x["o"]) < here)
+    after = F.array_distinct(F.concat(*[f"next_{v}" for v in values]))
+    none = F.filter(prev, lambda _: F.lit(False))
+    sides = F.concat(F.when(F.col("first"), prev).otherwise(none), F.when(F.col("last"), after).otherwise(none))
+    copies = near.select(*KEY, "block", F.inline(sides)).repartition(*KEY, "block")
     cols = [*KEY, "block", "t", "o", "h", "copies", *values]
     return a.select(*cols, F.lit(True).alias("own")).union(copies.select(*cols, F.lit(False)))
 
@@ -109,7 +120,7 @@ def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2)
     once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
     n_sources = raw.select(*KEY).distinct().count()
     halo = max(3, *(r.stuck_run - 1 for f in feeds for r in f.rules)) + 3
-    rows = _with_halo(once, halo, block_ms, values)
+    rows = _with_halo(once, halo, block_ms, values, [len(f.rules) for f in feeds])
 
     def rule(i: int, pick: Callable[[FieldRule], Column]) -> Column:
         cases = [(F.col("feed") == no, pick(f.rules[i])) for no, f in enumerate(feeds) if i < len(f.rules)]

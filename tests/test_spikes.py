@@ -120,3 +120,15 @@ def test_many_copies_of_one_delivery(spark):
     rows = spark.range(5_000).select(F.lit("A").alias("src"), F.lit(7).cast("bigint").alias("ts"), F.lit(-1.0).alias("v"), F.lit(1.0).alias("w"), F.col("id").alias("o"), F.col("id").alias("arr"))
     got = flag_faults([Feed("f", rows, "src", "ts", "o", RULES, ["arr"])])
     assert got.where("fault = 'impossible'").count() == 5_000
+
+
+def test_outage_of_one_field_at_a_block_edge(spark):
+    """60 rows on each side of the edge have no v, and its stuck run and spike lie across them; w has readings all along."""
+    rows = [("A", k * 1000, None if 340 <= k < 460 else 100 + (k % 3) * 0.01, 1.0 + k % 7, k, 0) for k in range(800)]
+    for k in (338, 339, 460, 461, 462, 463):
+        rows[k] = ("A", k * 1000, 55.0 if k > 461 else 100.5, 1.0, k, 0)
+    rows[464] = ("A", 464_000, 100.5, 1.0, 464, 0)
+    for k in (336, 337):
+        rows[k] = ("A", k * 1000, 100.5, 1.0, k, 0)
+    got = run(spark, rows, block_ms=400_000)
+    assert got == brute(rows) and {"stuck", "spike"} <= {x[3] for x in got}
