@@ -150,9 +150,13 @@ def consistent_table(cells: DataFrame) -> DataFrame:
     The casts come from the alias table: every spelling of a field is read as a quantity, units
     and notation removed. A bar that several files repeat is one row, with the value of the latest
     file that has one. Bars without a readable ts are left out. No lines give a table without fields.
+    More than MAX_NAMES distinct names raise ValueError.
     """
+    fields = cells.select("field").distinct().limit(MAX_NAMES + 1).collect()
+    if len(fields) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} field names")
     canon = alias_table(schema_changes(cells))
-    names = sorted({canon.get(r[0], r[0]) for r in cells.select("field").distinct().limit(MAX_NAMES).collect()})
+    names = sorted({canon.get(r[0], r[0]) for r in fields})
     field = F.col("field")
     if canon:
         field = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(canon.items()) for x in kv])[F.col("field")], F.col("field"))

@@ -1,3 +1,6 @@
+import pytest
+
+from tapeloom.operators import drift
 from tapeloom.operators.drift import alias_table, bar_cells, column_catalogue, consistent_table, lifespans, schema_changes
 
 SCHEMA = "file_id bigint, feed_id bigint, file_seq bigint, symbol string, line_no int, raw_line string, ts bigint, field string, kind int"
@@ -39,3 +42,10 @@ def test_quoted_delimiters_and_long_lines(spark):
     cells = bar_cells(lines(spark, [(1, 1, wide)]))
     r = cells.where("field = 'c2999' and line_no = 1").collect()[0]
     assert (r.value, r.qty, r.kind, r.ts) == ("2999,000", 2999000.0, 2, 1)
+
+
+def test_more_names_than_allowed_raise(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_NAMES", 3)
+    assert len(consistent_table(bar_cells(lines(spark, [(1, 1, ["ts,a,b,c", "1,2,3,4"])]))).columns) == 7
+    with pytest.raises(ValueError, match="more than 3 field names"):
+        consistent_table(bar_cells(lines(spark, [(1, 1, ["ts,a,b,c,d", "1,2,3,4,5"])])))
