@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.clean import DAY_MS, known
+from tapeloom.functions.clean import known
 from tapeloom.session import cut, small
 
 
@@ -41,6 +45,9 @@ class Feed:
 
 KEY = ["feed", "src"]
 COMBOS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
+BLOCK_ROWS = 20_000
+IN_BLOCK = "(partition by feed, src, block order by t, o)"
+CELL_SCHEMA = "feed int, src string, slot int, c double, cos double, sin double, a double, b double, d double, rounds int"
 
 
 def _deliveries(feed: Feed, no: int, width: int) -> DataFrame:
@@ -56,178 +63,269 @@ def _deliveries(feed: Feed, no: int, width: int) -> DataFrame:
     return feed.rows.select(F.lit(no).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
 
 
-def _with_halo(once: DataFrame, halo: int, block_ms: int, values: list[str], widths: list[int]) -> DataFrame:
-    """Blocks of block_ms per source, each with the halo readings of every field before and after it (own = false), whatever nulls lie between.
+def _with_halo(a: DataFrame, halo: int, values: list[str]) -> DataFrame:
+    """The blocks of a, each with the halo readings of every field before and after it (own = false), whatever nulls or blocks lie between.
 
-    widths: how many fields each feed has.
+    Only the rows near a block's edges are looked at for it. A list with one line per block says
+    where the readings of each block begin, counted along the source, and so which blocks want which edge rows.
     """
-    a = once.withColumn("block", F.col("t") - F.pmod("t", F.lit(block_ms))).repartition(*KEY, "block")
+    a = a.repartition(*KEY, "block")
     part = Window.partitionBy(*KEY, "block")
     order = part.orderBy("t", "o")
     ranks = {f"n_{v}": F.count(v).over(order) for v in values} | {f"c_{v}": F.count(v).over(part) for v in values}
-    has = [F.col("feed").isin([no for no, n in enumerate(widths) if i < n]) for i in range(len(values))]
-    near_edge = reduce(lambda x, y: x | y, [h & F.col(v).isNotNull() & ((F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo)) for h, v in zip(has, values, strict=True)])
-    row = F.struct("t", "o", "h", "copies", *values)
-    edges = a.withColumns(ranks).withColumns({"first": F.row_number().over(order) == 1, "last": F.lead("t").over(order).isNull()}).where(near_edge | F.col("first") | F.col("last"))
-    source = Window.partitionBy(*KEY)
-    # a field's readings are counted along the edges, so that a frame holds halo of them and not of the rows
-    near = edges.withColumns({f"k_{v}": F.count(v).over(source.orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)) for v in values})
-    for v in values:
-        reading, line = F.when(F.col(v).isNotNull(), row), source.orderBy(f"k_{v}")
-        near = near.withColumns({f"prev_{v}": F.collect_list(reading).over(line.rangeBetween(-halo, 0)), f"next_{v}": F.collect_list(reading).over(line.rangeBetween(1, halo))})
-    near = near.where("first or last")
-    here = F.struct("t", "o")
-    prev = F.filter(F.array_distinct(F.concat(*[f"prev_{v}" for v in values])), lambda x: F.struct(x["t"], x["o"]) < here)
-    after = F.array_distinct(F.concat(*[f"next_{v}" for v in values]))
-    none = F.filter(prev, lambda _: F.lit(False))
-    sides = F.concat(F.when(F.col("first"), prev).otherwise(none), F.when(F.col("last"), after).otherwise(none))
-    copies = near.select(*KEY, "block", F.inline(sides)).repartition(*KEY, "block")
-    cols = [*KEY, "block", "t", "o", "h", "copies", *values]
-    return a.select(*cols, F.lit(True).alias("own")).union(copies.select(*cols, F.lit(False)))
-
-
-def flag_faults(feeds: list[Feed], block_ms: int = DAY_MS, iterations: int = 2) -> DataFrame:
+    near_edge = reduce(lambda x, y: x | y, [(F.col(f"c_{v}") > 0) & ((F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo)) for v in values])
+    edges = a.withColumns(ranks | {"first": F.row_number().over(order) == 1}).where(near_edge | F.col("first")).repartition(*KEY, "block")
+
+    starts = edges.where("first").select(*KEY, "block", *[f"c_{v}" for v in values])
+    source = Window.partitionBy(*KEY).orderBy("block")
+    wanted = []
+    for k, v in enumerate(values):
+        at = starts.where(F.col(f"c_{v}") > 0).select(*KEY, "block", F.col(f"c_{v}").alias("c"))
+        at = at.withColumn("end", F.sum("c").over(source)).withColumn("here", F.struct("block", "c", "end"))
+        at = at.withColumns({"prev": F.collect_list("here").over(source.rowsBetween(-halo, -1)), "next": F.collect_list("here").over(source.rowsBetween(1, halo))})
+        # the readings of `block` are wanted in `into` if their rank there is above lo or up to hi
+        prev = at.select(*KEY, F.col("block").alias("into"), (F.col("end") - F.col("c")).alias("begin"), F.inline("prev")).select(*KEY, "block", "into", (F.col("begin") - halo - (F.col("end") - F.col("c"))).alias("lo"), F.lit(None).cast("bigint").alias("hi"))
+        after = at.select(*KEY, F.col("block").alias("into"), F.col("end").alias("stop"), F.inline("next")).select(*KEY, "block", "into", F.lit(None).cast("bigint").alias("lo"), (F.col("stop") + halo - (F.col("end") - F.col("c"))).alias("hi"))
+        wanted.append(prev.unionByName(after).withColumn("slot", F.lit(k)))
+    bounds = [F.min(F.when(F.col("slot") == k, F.col("lo"))).alias(f"lo_{v}") for k, v in enumerate(values)] + [F.max(F.when(F.col("slot") == k, F.col("hi"))).alias(f"hi_{v}") for k, v in enumerate(values)]
+    pairs = reduce(DataFrame.unionByName, wanted).groupBy(*KEY, "block", "into").agg(*bounds)
+    cols = ["t", "o", "h", "copies", *values]
+    take = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"n_{v}") > F.col(f"lo_{v}"), F.lit(False)) | F.coalesce(F.col(f"n_{v}") <= F.col(f"hi_{v}"), F.lit(False)) for v in values])
+    copies = edges.join(pairs, [*KEY, "block"]).where(take).select(*KEY, F.col("into").alias("block"), *cols).repartition(*KEY, "block")
+    return a.select(*KEY, "block", *cols, F.lit(True).alias("own")).union(copies.select(*KEY, "block", *cols, F.lit(False)))
+
+
+def fit_ellipsoid(n: np.ndarray, u: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float, float, float, int]:
+    """(c, cos, sin, a, b, d, rounds) of the ellipsoid around cells of n points with values u, first differences x and second differences y.
+
+    Semi-axes are sqrt(2 ln n) robust deviations (1.4826 median absolute deviations); the plane of value
+    against second difference is turned to its regression line. Points outside go and the rest is
+    fitted again, until no point goes. The axis of the first difference never grows.
+    """
+
+    def mid(v: np.ndarray, w: np.ndarray) -> float:
+        at = np.argsort(v, kind="stable")
+        return float(v[at[np.searchsorted(np.cumsum(w[at]), w.sum() / 2)]])
+
+    inside, rounds, turn, most = np.ones(len(n), dtype=bool), 0, 0.0, np.inf
+    while True:
+        w, q = n[inside], np.abs(x[inside])
+        lam = math.sqrt(2 * math.log(max(2.0, float(w.sum()))))
+        c = mid(u[inside], w)
+        if rounds:
+            turn = math.atan2(float((w * (u[inside] - c) * y[inside]).sum()), float((w * (u[inside] - c) ** 2).sum()) or 1.0)
+        cos, sin = math.cos(turn), math.sin(turn)
+        along, across = (u - c) * cos + y * sin, y * cos - (u - c) * sin
+        a, d = (lam * 1.4826 * mid(np.abs(v[inside]), w) for v in (along, across))
+        most = b = min(most, lam * 1.4826 * mid(q, w))
+        far = np.zeros(len(n))
+        for v, axis in ((along, a), (x, b), (across, d)):
+            far += (v / axis) ** 2 if axis > 0 else np.where(v != 0, np.inf, 0.0)
+        rounds, kept = rounds + 1, inside & (far <= 1)
+        if kept.sum() == inside.sum() or not kept.any():
+            return c, cos, sin, a, b, d, rounds
+        inside = kept
+
+
+def _fit_cells(cells: pd.DataFrame) -> pd.DataFrame:
+    fit = fit_ellipsoid(*(cells[k].to_numpy(dtype=float) for k in ("n", "u", "x", "y")))
+    return pd.DataFrame([(int(cells.feed.iat[0]), cells.src.iat[0], int(cells.slot.iat[0]), *fit)], columns=[x.split()[0] for x in CELL_SCHEMA.split(", ")])
+
+
+def _bin(v: Column) -> Column:
+    """A number of the readings' order: 1,024 bins to a doubling of size."""
+    at = F.floor(F.log2(F.abs(v)) * 1024) + 2_000_000
+    return F.when(v > 0, at).when(v < 0, -at).otherwise(F.when(v == 0, F.lit(0).cast("bigint")))
+
+
+def _grade(v: Column, per: int) -> Column:
+    """Sign and size of a coordinate, `per` to a doubling; 0 stays 0."""
+    at = (F.greatest(F.floor(F.log2(F.abs(v)) * per), F.lit(-60 * per)) + 60 * per + 1).cast("int")
+    return F.when(v > 0, at).when(v < 0, -at).otherwise(0)
+
+
+class _Judge:
+    """The steps of flag_faults; suspects() stands apart, so that what the ellipsoids leave to test can be counted."""
+
+    def __init__(self, feeds: list[Feed], block_ms: int | None):
+        self.feeds = feeds
+        width = max(len(f.rules) for f in feeds)
+        self.slots = range(width)
+        self.values = [f"v{i}" for i in self.slots]
+        self.raw = reduce(DataFrame.unionByName, [_deliveries(f, no, width) for no, f in enumerate(feeds)])
+        self.spiky = [i for i in self.slots if any(i < len(f.rules) and f.rules[i].spike_factor is not None for f in feeds)]
+        self.high = [i for i in self.slots if any(i < len(f.rules) and f.rules[i].high_factor is not None for f in feeds)]
+        self.block_ms = block_ms
+
+    def rule(self, i: int, pick: Callable[[FieldRule], Column]) -> Column:
+        cases = [(F.col("feed") == no, pick(f.rules[i])) for no, f in enumerate(self.feeds) if i < len(f.rules)]
+        return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
+
+    def relative(self, i: int, yes: Column, no: Column) -> Column:
+        kinds = {f.rules[i].relative for f in self.feeds if i < len(f.rules)}
+        return (yes if kinds == {True} else no) if len(kinds) == 1 else F.when(self.rule(i, lambda r: F.lit(r.relative)), yes).otherwise(no)
+
+    def far(self, i: int, x: Column, y: Column) -> Column:
+        return self.relative(i, F.abs(x / y - 1), F.abs(x - y))
+
+    def readings(self) -> DataFrame:
+        """Each delivery once, in blocks with halo, in time order; kept on disk for the passes over it until it is unpersisted."""
+        q = F.percentile_approx("t", [0.05, 0.95], 100)
+        span = self.raw.groupBy(*KEY).agg(F.count("*").alias("n"), q.alias("q"))
+        # blocks of about BLOCK_ROWS rows by the middle nine tenths of a source's time, so that stray stamps do not widen them
+        width = F.lit(self.block_ms) if self.block_ms else F.greatest(F.ceil((F.col("q")[1] - F.col("q")[0]) / (F.col("n") * 0.9) * BLOCK_ROWS), F.lit(1))
+        widths = cut(span.select(*KEY, width.cast("bigint").alias("wide")))
+        self.n_sources = widths.count()
+        once = self.raw.groupBy(*KEY, "t", "h", *self.values).agg(F.min("o").alias("o"), F.count("*").alias("copies"))
+        once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
+        once = once.join(small(widths, self.n_sources), KEY).withColumn("block", F.col("t") - F.pmod("t", "wide")).drop("wide")
+        halo = max(3, *(r.stuck_run - 1 for f in self.feeds for r in f.rules)) + 3
+        return _with_halo(once, halo, self.values).sortWithinPartitions(*KEY, "block", "t", "o").persist(StorageLevel.DISK_ONLY)
+
+    def points(self, rows: DataFrame) -> DataFrame:
+        """bad{i}: impossible; g{i}: the reading if it is not and spikes are looked for; u{i}, x{i}, y{i}: its value and its first and second difference, in the units of the rule (logarithm, steps relative to the reading before)."""
+        rows = rows.withColumns({f"bad{i}": F.coalesce(self.rule(i, lambda r, i=i: r.impossible(F.col(f"v{i}"))), F.lit(False)) for i in self.slots})
+        rows = rows.withColumns({f"g{i}": F.when(~F.col(f"bad{i}") & self.rule(i, lambda r: F.lit(r.spike_factor is not None)), F.col(f"v{i}")) for i in self.spiky})
+        rows = rows.withColumns({f"{n}{i}": F.expr(f"{f}(g{i}) ignore nulls over {IN_BLOCK}") for i in self.spiky for n, f in (("l", "lag"), ("r", "lead"))})
+        step = lambda i, x, y: self.relative(i, x / y - 1, x - y)
+        rows = rows.withColumns({f"x{i}": F.when(F.col(f"g{i}").isNotNull(), step(i, F.col(f"g{i}"), F.col(f"l{i}"))) for i in self.spiky})
+        value = {f"u{i}": self.relative(i, F.when(F.col(f"g{i}") > 0, F.ln(f"g{i}")), F.col(f"g{i}")) for i in self.spiky}
+        return rows.withColumns(value | {f"y{i}": step(i, F.col(f"r{i}"), F.col(f"g{i}")) - F.col(f"x{i}") for i in self.spiky}).drop(*[f"{n}{i}" for i in self.spiky for n in "lr"])
+
+    def limits(self, points: DataFrame) -> DataFrame:
+        """Per source: e{i} the ellipsoid; m{i} and mv{i} the bins that hold the median step and, for high_factor, the median, as (bin, rank in it, its least and largest value)."""
+        none = lambda kind: F.lit(None).cast(kind)
+        lines = []
+        for i in self.spiky:
+            u, x, y = (F.col(f"{n}{i}") for n in "uxy")
+            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), _grade(F.col(f"g{i}"), 32).cast("bigint").alias("k"), _grade(F.abs(x), 4).alias("kx"), _grade(y, 4).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
+            lines.append(F.when(u.isNotNull() & x.isNotNull() & y.isNotNull(), cell))
+            lines.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("m").alias("kind"), _bin(F.abs(x)).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), F.abs(x).alias("x"), none("double").alias("y"))))
+        for i in self.high:
+            v = F.when(self.rule(i, lambda r: F.lit(r.high_factor is not None)), F.col(f"v{i}"))
+            lines.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("v").alias("kind"), _bin(v).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), v.alias("x"), none("double").alias("y"))))
+        cells = points.where("own").select(*KEY, F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+        cells = cells.groupBy(*KEY, "slot", "kind", "k", "kx", "ky").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "uxy"], F.min("x").alias("least"), F.max("x").alias("most"))
+        cells = cut(cells)
+        fits = cells.where("kind = 'e'").groupBy(*KEY, "slot").applyInPandas(_fit_cells, CELL_SCHEMA)
+        fits = fits.groupBy(*KEY).agg(*[F.max(F.when(F.col("slot") == i, F.struct("c", "cos", "sin", "a", "b", "d", "rounds"))).alias(f"e{i}") for i in self.spiky])
+        series = Window.partitionBy(*KEY, "slot", "kind")
+        mids = cells.where("kind <> 'e'").withColumns({"upto": F.sum("n").over(series.orderBy("k")), "half": F.ceil(F.sum("n").over(series) / 2)})
+        mids = mids.withColumn("rank", F.col("half") - F.col("upto") + F.col("n")).where("upto >= half and rank > 0")
+        mid = lambda i, kind: F.max(F.when((F.col("slot") == i) & (F.col("kind") == kind), F.struct("k", "rank", "least", "most")))
+        mids = mids.groupBy(*KEY).agg(*[mid(i, "m").alias(f"m{i}") for i in self.spiky], *[mid(i, "v").alias(f"mv{i}") for i in self.high])
+        return cut(mids.join(fits, KEY, "left"))
+
+    def outside(self, i: int) -> Column:
+        """Whether a point lies outside its source's ellipsoid; a missing coordinate counts as in the middle."""
+        e, u, y = F.col(f"e{i}"), F.coalesce(F.col(f"u{i}") - F.col(f"e{i}.c"), F.lit(0.0)), F.coalesce(F.col(f"y{i}"), F.lit(0.0))
+        part = lambda v, axis: F.when(axis > 0, (v / axis) * (v / axis)).when(v != 0, F.lit(float("inf"))).otherwise(0.0)
+        distance = part(u * e["cos"] + y * e["sin"], e["a"]) + part(F.col(f"x{i}"), e["b"]) + part(y * e["cos"] - u * e["sin"], e["d"])
+        return F.coalesce(distance > 1, F.col(f"x{i}").isNotNull())
+
+    def suspects(self, rows: DataFrame) -> DataFrame:
+        """The few rows that any test may flag, and those around them.
+
+        out{i}: outside the ellipsoid; near{i}: such a reading, or up to three behind or one before it; eq{i}, run{i}:
+        equal to the reading before, in which run; high{i}: perhaps too high; mid{i}, midv{i}: in the bin of a median.
+        """
+        points = self.points(rows)
+        judged = points.join(small(self.limits(points), self.n_sources), KEY)
+        w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
+        judged = judged.withColumns({f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {IN_BLOCK}") for i in self.slots} | {f"out{i}": F.when(F.col(f"g{i}").isNotNull(), self.outside(i)) for i in self.spiky})
+        judged = judged.withColumns({f"eq{i}": F.coalesce(F.col(f"v{i}") == F.col(f"b{i}"), F.lit(False)) for i in self.slots})
+        beside = {f"{n}{i}": F.expr(f"{f}(out{i}, {k}) ignore nulls over {IN_BLOCK}") for i in self.spiky for n, f, k in (("p1", "lag", 1), ("p2", "lag", 2), ("p3", "lag", 3), ("q1", "lead", 1))}
+        runs = {f"run{i}": F.sum(F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"eq{i}"), 1).otherwise(0)).over(w) for i in self.slots}
+        judged = judged.withColumns(beside | runs)
+        near = lambda i: F.col(f"g{i}").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(F.col(f"{n}{i}"), F.lit(False)) for n in ("out", "p1", "p2", "p3", "q1")])
+        marks = {f"near{i}": near(i) for i in self.spiky}
+        marks |= {f"high{i}": F.coalesce(F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"mv{i}.least"), F.lit(False)) for i in self.high}
+        mid = lambda v, m: F.coalesce(F.col("own") & (m["least"] < m["most"]) & (_bin(v) == m["k"]), F.lit(False))
+        marks |= {f"mid{i}": mid(F.abs(f"x{i}"), F.col(f"m{i}")) for i in self.spiky} | {f"midv{i}": mid(F.col(f"v{i}"), F.col(f"mv{i}")) for i in self.high}
+        any_of = [*marks, *[f"{n}{i}" for i in self.slots for n in ("bad", "eq")]]
+        judged = judged.withColumns(marks).where(reduce(lambda x, y: x | y, [F.col(c) for c in any_of]))
+        return judged.select(*KEY, "block", "own", "t", "o", "h", "copies", *self.values, *any_of, *[f"run{i}" for i in self.slots], *[f"{n}{i}" for i in self.spiky for n in ("g", "x", "out", "m")], *[f"mv{i}" for i in self.high])
+
+    def _median(self, few: DataFrame, mark: str, value: Column, at: str, name: str) -> DataFrame:
+        """Per source the exact median: counts of the values in its bin, taken up to its rank there, or the bin's only value."""
+        series = Window.partitionBy(*KEY)
+        seen = few.where(mark).groupBy(*KEY, value.alias("value")).agg(F.count("*").alias("n"), F.first(f"{at}.rank").alias("rank"))
+        return seen.withColumn("upto", F.sum("n").over(series.orderBy("value"))).where("upto >= rank").groupBy(*KEY).agg(F.min("value").alias(name))
+
+    def faults(self, rows: DataFrame) -> DataFrame:
+        few = cut(self.suspects(rows))
+        medians = [(f"median{i}", self._median(few, f"mid{i}", F.abs(f"x{i}"), f"m{i}", f"median{i}"), f"m{i}") for i in self.spiky]
+        medians += [(f"vmedian{i}", self._median(few, f"midv{i}", F.col(f"v{i}"), f"mv{i}", f"vmedian{i}"), f"mv{i}") for i in self.high]
+        for name, median, at in medians:
+            few = few.join(small(median, self.n_sources), KEY, "left").withColumn(name, F.coalesce(name, f"{at}.least"))
+        head = [*KEY, "t", "h", "o", "copies", *self.values]
+        fault = lambda i, kind: F.struct(self.rule(i, lambda r: F.lit(r.field)).alias("field"), F.lit(kind).alias("fault"))
+        parts = []
+        for i in self.slots:
+            parts.append(few.where(F.col("own") & F.col(f"bad{i}")).select(*head, F.inline(F.array(fault(i, "impossible")))))
+            run = few.where(f"eq{i}").withColumn("len", 1 + F.count("*").over(Window.partitionBy(*KEY, "block", f"run{i}")))
+            parts.append(run.where(F.col("own") & (F.col("len") >= self.rule(i, lambda r: F.lit(r.stuck_run)))).select(*head, F.inline(F.array(fault(i, "stuck")))))
+        for i in self.high:
+            parts.append(few.where(F.col("own") & (F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"vmedian{i}"))).select(*head, F.inline(F.array(fault(i, "high")))))
+        w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
+        for i in self.spiky:
+            at = {k: F.col(f"g{i}") if k == 0 else F.col(f"at{k + 3}") for k in range(-3, 4)}
+            near = few.where(f"near{i}").withColumns({f"at{k + 3}": F.lag(f"g{i}", -k).over(w) if k < 0 else F.lead(f"g{i}", k).over(w) for k in at if k} | {f"begins{k}": F.lag(f"out{i}", k).over(w) for k in (1, 2)})
+            limit = self.rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"median{i}")
+
+            def spike(a: int, b: int, i=i, at=at, limit=limit) -> Column:
+                """The reading stands in a run from offset 1-a to b-1, between the readings at -a and b; the run's first reading lies outside the ellipsoid."""
+                away = [self.far(i, at[j], at[e]) > limit for j in range(1 - a, b) for e in (-a, b)]
+                return reduce(lambda x, y: x & y, [*away, self.far(i, at[b], at[-a]) < limit, F.col(f"begins{a - 1}" if a > 1 else f"out{i}")])
+
+            hit = reduce(lambda x, y: x | y, [F.coalesce(spike(a, b), F.lit(False)) for a, b in COMBOS])
+            parts.append(near.where(F.col("own") & hit).select(*head, F.inline(F.array(fault(i, "spike")))))
+        return cut(reduce(DataFrame.unionByName, parts))
+
+
+def suspects(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
+    """The rows that flag_faults tests exactly, with the marks that brought them there."""
+    judge = _Judge(feeds, block_ms)
+    return judge.suspects(judge.readings())
+
+
+def flag_faults(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
     """The readings that carry an implausible value, judged by what is normal for their source.
 
     Repeated deliveries (equal in all but ordinal and the ignored columns) are one reading at the smallest
     ordinal; every copy of a faulty reading is reported. Null, NaN (and 0.0 if zero_missing) are no
     readings; rows with a null source or ts are ignored. Readings of one instant go by ordinal.
+    Empty tables give an empty result.
 
     fault: 'impossible' (the rule's bound), 'spike' (one to three readings in a row, impossible ones set
     aside, away from the reading before and the one after by more than spike_factor median steps,
     while these two are closer), 'high' (above high_factor medians), 'stuck' (all but the first of
     stuck_run or more equal readings in a row). A reading may have several.
 
-    Phase-space thresholding: each reading is a point (value, first, second difference), in logs
-    for relative fields. A robust ellipsoid, semi-axes sqrt(2 ln n) times the robust deviations, is fitted
-    per source, refitted to the points inside it `iterations` times; a point outside any of them is a
-    candidate. A step of more than 25 medians is outside for any n below e^140, so the exact check
-    of the run that the candidate starts decides, and loses nothing.
-    Medians are percentile_approx sketches of bounded size, rank error 1e-3.
+    Phase-space thresholding: each reading is a point (value, first, second difference), in logarithms
+    and relative steps for relative fields. Per source a robust ellipsoid, turned in the plane of value and
+    second difference, is fitted to the points, those outside go, and it is fitted again until none goes. Only
+    readings outside the last one can start a run of wrong readings: they and their neighbours are
+    written, a few per cent of all, and tested exactly there. A step of more than 25 medians is
+    outside for any n below e^140, as the axis of the first difference is at most sqrt(2 ln n) times 1.4826 medians; nothing is lost.
+    The fit works on counts per cell of the phase space, so its size does not grow with the rows. Medians are
+    exact (the lower one of an even number): counts of 1,024 bins to a doubling find the bin, counts of the values in it the median.
 
     Result: feed, field, src, t, ordinal, fault.
 
-    Plan: sources are cut into blocks of block_ms with a halo of neighbours, so that a source with
-    a third of the rows is many tasks; the pass per source sees the block edges only. All fields of a
-    feed are judged in one row; the passes for the ellipsoids and the last one read one shuffle.
+    Plan: sources are cut into blocks of about BLOCK_ROWS rows (or of block_ms) with a halo of neighbours, so
+    that a source with a third of the rows is many tasks; a list with a line per block is all that meets per source.
+    All fields of a feed are judged in one row. The sorted blocks are kept on the executors' disks (lost ones are made again
+    from the shuffle), so that the two passes over them neither shuffle nor sort.
     What is normal for a source is broadcast if the counted sources are few, joined otherwise.
     """
-    width = max(len(f.rules) for f in feeds)
-    slots = range(width)
-    values = [f"v{i}" for i in slots]
-    raw = reduce(DataFrame.unionByName, [_deliveries(f, no, width) for no, f in enumerate(feeds)])
-    once = raw.groupBy(*KEY, "t", "h", *values).agg(F.min("o").alias("o"), F.count("*").alias("copies"))
-    once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
-    n_sources = raw.select(*KEY).distinct().count()
-    halo = max(3, *(r.stuck_run - 1 for f in feeds for r in f.rules)) + 3
-    rows = _with_halo(once, halo, block_ms, values, [len(f.rules) for f in feeds])
-
-    def rule(i: int, pick: Callable[[FieldRule], Column]) -> Column:
-        cases = [(F.col("feed") == no, pick(f.rules[i])) for no, f in enumerate(feeds) if i < len(f.rules)]
-        return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
-
-    spiky = [i for i in slots if any(i < len(f.rules) and f.rules[i].spike_factor is not None for f in feeds)]
-    high = [i for i in slots if any(i < len(f.rules) and f.rules[i].high_factor is not None for f in feeds)]
-    part = "(partition by feed, src, block order by t, o)"
-    w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
-
-    def name(i: int, k: int) -> str:
-        return f"g{i}" if k == 0 else f"g{i}_m{-k}" if k < 0 else f"g{i}_p{k}"
-
-    rows = rows.withColumns({f"bad{i}": F.coalesce(rule(i, lambda r, i=i: r.impossible(F.col(f"v{i}"))), F.lit(False)) for i in slots})
-    rows = rows.withColumns({f"g{i}": F.when(~F.col(f"bad{i}") & rule(i, lambda r: F.lit(r.spike_factor is not None)), F.col(f"v{i}")) for i in spiky})
-    near = {name(i, s * k): F.expr(f"{'lag' if s < 0 else 'lead'}(g{i}, {k}) ignore nulls over {part}") for i in spiky for s in (-1, 1) for k in (1, 2, 3)}
-    seen = rows.withColumns(near)
-
-    def u(i: int, k: int) -> Column:
-        x = F.col(name(i, k))
-        return F.when(rule(i, lambda r: F.lit(r.relative)), F.when(x > 0, F.ln(x))).otherwise(x)
-
-    def d1(i: int, k: int = 0) -> Column:
-        return u(i, k) - u(i, k - 1)
-
-    def d2(i: int, k: int = 0) -> Column:
-        return u(i, k + 1) - 2 * u(i, k) + u(i, k - 1)
-
-    def far(i: int, x: Column, y: Column) -> Column:
-        return F.when(rule(i, lambda r: F.lit(r.relative)), F.abs(x / y - 1)).otherwise(F.abs(x - y))
-
-    med = lambda c, p=0.5: F.percentile_approx(c, p, 1000)
-
-    def ellipse(i: int, tag: int, x: Column, dx: Column, ddx: Column) -> Column:
-        """Whether a point lies outside of the source's ellipsoid of that fit."""
-        e = F.col(f"e{i}_{tag}")
-        part = lambda num, axis: F.coalesce(F.when(axis > 0, (num / axis) * (num / axis)).when(num != 0, F.lit(float("inf"))), F.lit(0.0))
-        return part(x - e["c"], e["a"]) + part(dx, e["b"]) + part(ddx, e["d"]) > 1
-
-    def outside(i: int, tag: int, k: int = 0) -> Column:
-        return ellipse(i, tag, u(i, k), d1(i, k), d2(i, k))
-
-    def fitted(points: DataFrame, tag: int, kept: list[str]) -> DataFrame:
-        """Per source and field the ellipsoid over the points that lie inside the one before, or over all; kept are the columns of those before."""
-        aggs = [F.first(c).alias(c) for c in kept]
-        # each coordinate is worked out once per row, then masked, then summed up
-        points = points.withColumns({f"{n}{i}": e for i in spiky for n, e in (("u_", u(i, 0)), ("x_", d1(i)), ("y_", d2(i)))})
-        if tag:
-            beyond = {f"out{i}": F.coalesce(ellipse(i, tag - 1, F.col(f"u_{i}"), F.col(f"x_{i}"), F.col(f"y_{i}")), F.lit(False)) for i in spiky}
-            points = points.withColumns(beyond).withColumns({f"{n}{i}": F.when(~F.col(f"out{i}"), F.col(f"{n}{i}")) for i in spiky for n in ("u_", "x_", "y_")})
-        for i in spiky:
-            aggs += [F.count(f"u_{i}").alias(f"n{i}"), med(f"u_{i}", [0.25, 0.5, 0.75]).alias(f"q{i}"), med(F.abs(f"x_{i}")).alias(f"s{i}"), med(F.abs(f"y_{i}")).alias(f"t{i}")]
-            if not tag:
-                aggs.append(med(far(i, F.col(name(i, 0)), F.col(name(i, -1)))).alias(f"m{i}"))
-        if not tag:
-            aggs += [med(f"v{i}").alias(f"mv{i}") for i in high]
-        # every pass asks for all columns, so that all of them read one shuffle
-        fit = points.groupBy(*KEY).agg(*aggs, *[F.max(c).alias(f"max_{c}") for c in ("h", "copies", *values)])
-        whole = reduce(lambda x, y: x | y, [F.col(f"max_{c}").isNotNull() for c in ("h", "copies", *values)])
-        out = [*KEY, *kept]
-        for i in spiky:
-            lam = F.sqrt(2 * F.ln(F.greatest(F.col(f"n{i}"), F.lit(2))))
-            q = F.col(f"q{i}")
-            out.append(F.struct(F.when(whole, q[1]).alias("c"), (lam * (q[2] - q[0]) / 1.349).alias("a"), (lam * 1.4826 * F.col(f"s{i}")).alias("b"), (lam * 1.4826 * F.col(f"t{i}")).alias("d")).alias(f"e{i}_{tag}"))
-        if not tag:
-            out += [F.col(f"m{i}") for i in spiky] + [F.col(f"mv{i}") for i in high]
-        return fit.select(*out)
-
-    def spike(i: int, a: int, b: int) -> Column:
-        """The reading stands in a run from offset 1-a to b-1, between the readings at -a and b."""
-        at = lambda k: F.col(name(i, k))
-        limit = rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"m{i}")
-        candidate = reduce(lambda x, y: x | y, [outside(i, tag, 1 - a) for tag in range(iterations)])
-        away = [far(i, at(j), at(e)) > limit for j in range(1 - a, b) for e in (-a, b)]
-        return reduce(lambda x, y: x & y, [*away, far(i, at(b), at(-a)) < limit, candidate])
-
-    # stuck: readings equal to the one before, counted per run; the few of them are all that is sorted by run
-    before = {f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {part}") for i in slots}
-    starts = {f"run{i}": F.sum(F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"v{i}").eqNullSafe(F.col(f"b{i}")), 1).otherwise(0)).over(w) for i in slots}
-    equal = F.array(*[F.when(F.col(f"v{i}") == F.col(f"b{i}"), F.struct(F.lit(i).alias("slot"), F.col(f"run{i}").alias("run"))) for i in slots])
-    repeats = rows.withColumns(before).withColumns(starts).withColumn("equal", F.filter(equal, lambda x: x.isNotNull())).where(F.size("equal") > 0)
-    repeats = repeats.select(*KEY, "block", "t", "h", "o", "copies", *values, "own", F.inline("equal"))
-    repeats = repeats.withColumn("len", 1 + F.count("*").over(Window.partitionBy(*KEY, "block", "slot", "run"))).where("own")
-    per_slot = lambda pick: reduce(lambda acc, i: acc.when(F.col("slot") == i, rule(i, pick)), slots[1:], F.when(F.col("slot") == 0, rule(0, pick)))
-    stuck = repeats.where(F.col("len") >= per_slot(lambda r: F.lit(r.stuck_run)))
-    stuck = stuck.select(*KEY, "t", "h", "o", "copies", *values, F.array(F.struct(per_slot(lambda r: F.lit(r.field)).alias("field"), F.lit("stuck").alias("fault"))).alias("faults"))
-
-    base = seen.where("own")
-    fit, kept = None, []
-    for tag in range(iterations):
-        fit = fitted(base if fit is None else base.join(small(fit, n_sources), KEY), tag, kept)
-        kept = [c for c in fit.columns if c not in KEY]
-    judged = seen.where("own").join(small(fit, n_sources), KEY)
-
-    faults = []
-    for i in slots:
-        label = rule(i, lambda r: F.lit(r.field))
-        mark = lambda cond, kind: F.when(cond, F.struct(label.alias("field"), F.lit(kind).alias("fault")))  # noqa: B023, E731
-        faults.append(mark(F.col(f"bad{i}"), "impossible"))
-        if i in spiky:
-            faults.append(mark(F.col(f"g{i}").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(spike(i, a, b), F.lit(False)) for a, b in COMBOS]), "spike"))
-        if i in high:
-            faults.append(mark(F.col(f"v{i}") > rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"mv{i}"), "high"))
-    found = F.filter(F.array(*faults), lambda x: x.isNotNull())
-    flagged = cut(judged.select(*KEY, "t", "h", "o", "copies", *values, found.alias("faults")).where(F.size("faults") > 0).union(stuck))
+    judge = _Judge(feeds, block_ms)
+    rows = judge.readings()
+    flagged = judge.faults(rows)
+    rows.unpersist()
+    values = judge.values
     same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) if c in values else F.col(f"r.{c}") == F.col(f"f.{c}") for c in [*KEY, "t", "h", *values]])
-    again = raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.faults")
-    every = flagged.where("copies = 1").select(*KEY, "t", "o", "faults").unionByName(again)
+    again = judge.raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.field", "f.fault")
+    every = flagged.where("copies = 1").select(*KEY, "t", "o", "field", "fault").unionByName(again)
     names = F.array(*[F.lit(f.name) for f in feeds])
-    return every.select(names[F.col("feed")].alias("feed"), "src", "t", F.col("o").alias("ordinal"), F.inline("faults"))
+    return every.select(names[F.col("feed")].alias("feed"), "src", "t", F.col("o").alias("ordinal"), "field", "fault")
