@@ -133,8 +133,8 @@ def _fit_cells(cells: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bin(v: Column) -> Column:
-    """A number of the readings' order: 1,024 bins to a doubling of size."""
-    at = F.floor(F.log2(F.abs(v)) * 1024) + 2_000_000
+    """A number of the readings' order: 64 bins to a doubling of size."""
+    at = F.floor(F.log2(F.abs(v)) * 64) + 100_000
     return F.when(v > 0, at).when(v < 0, -at).otherwise(F.when(v == 0, F.lit(0).cast("bigint")))
 
 
@@ -198,7 +198,7 @@ class _Judge:
         lines = []
         for i in self.spiky:
             u, x, y = (F.col(f"{n}{i}") for n in "uxy")
-            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), _grade(F.col(f"g{i}"), 32).cast("bigint").alias("k"), _grade(F.abs(x), 4).alias("kx"), _grade(y, 4).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
+            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), _grade(F.col(f"g{i}"), 8).cast("bigint").alias("k"), _grade(F.abs(x), 2).alias("kx"), _grade(y, 2).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
             lines.append(F.when(u.isNotNull() & x.isNotNull() & y.isNotNull(), cell))
             lines.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("m").alias("kind"), _bin(F.abs(x)).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), F.abs(x).alias("x"), none("double").alias("y"))))
         for i in self.high:
@@ -309,7 +309,7 @@ def flag_faults(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
     written, a few per cent of all, and tested exactly there. A step of more than 25 medians is
     outside for any n below e^140, as the axis of the first difference is at most sqrt(2 ln n) times 1.4826 medians; nothing is lost.
     The fit works on counts per cell of the phase space, so its size does not grow with the rows. Medians are
-    exact (the lower one of an even number): counts of 1,024 bins to a doubling find the bin, counts of the values in it the median.
+    exact (the lower one of an even number): counts of 64 bins to a doubling find the bin, counts of the values in it the median.
 
     Result: feed, field, src, t, ordinal, fault.
 
