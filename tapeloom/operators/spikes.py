@@ -63,18 +63,17 @@ def _deliveries(feed: Feed, no: int, width: int) -> DataFrame:
     return feed.rows.select(F.lit(no).alias("feed"), F.col(feed.source).cast("string").alias("src"), F.col(feed.ts).alias("t"), F.col(feed.ordinal).alias("o"), h.alias("h"), *[v.alias(f"v{i}") for i, v in enumerate(values)]).where("src is not null and t is not null")
 
 
-def _with_halo(a: DataFrame, halo: int, values: list[str]) -> DataFrame:
-    """The blocks of a, each with the halo readings of every field before and after it (own = false), whatever nulls or blocks lie between.
+def _halo(a: DataFrame, halo: int, values: list[str]) -> DataFrame:
+    """For each block of a the halo readings of every field before and after it, whatever nulls or blocks lie between.
 
     Only the rows near a block's edges are looked at for it. A list with one line per block says
     where the readings of each block begin, counted along the source, and so which blocks want which edge rows.
     """
-    a = a.repartition(*KEY, "block")
     part = Window.partitionBy(*KEY, "block")
     order = part.orderBy("t", "o")
     ranks = {f"n_{v}": F.count(v).over(order) for v in values} | {f"c_{v}": F.count(v).over(part) for v in values}
     near_edge = reduce(lambda x, y: x | y, [(F.col(f"c_{v}") > 0) & ((F.col(f"n_{v}") <= halo) | (F.col(f"n_{v}") > F.col(f"c_{v}") - halo)) for v in values])
-    edges = a.withColumns(ranks | {"first": F.row_number().over(order) == 1}).where(near_edge | F.col("first")).repartition(*KEY, "block")
+    edges = cut(a.withColumns(ranks | {"first": F.row_number().over(order) == 1}).where(near_edge | F.col("first")))
 
     starts = edges.where("first").select(*KEY, "block", *[f"c_{v}" for v in values])
     source = Window.partitionBy(*KEY).orderBy("block")
@@ -91,8 +90,7 @@ def _with_halo(a: DataFrame, halo: int, values: list[str]) -> DataFrame:
     pairs = reduce(DataFrame.unionByName, wanted).groupBy(*KEY, "block", "into").agg(*bounds)
     cols = ["t", "o", "h", "copies", *values]
     take = reduce(lambda x, y: x | y, [F.coalesce(F.col(f"n_{v}") > F.col(f"lo_{v}"), F.lit(False)) | F.coalesce(F.col(f"n_{v}") <= F.col(f"hi_{v}"), F.lit(False)) for v in values])
-    copies = edges.join(pairs, [*KEY, "block"]).where(take).select(*KEY, F.col("into").alias("block"), *cols).repartition(*KEY, "block")
-    return a.select(*KEY, "block", *cols, F.lit(True).alias("own")).union(copies.select(*KEY, "block", *cols, F.lit(False)))
+    return cut(edges.join(pairs, [*KEY, "block"]).where(take).select(*KEY, F.col("into").alias("block"), *cols))
 
 
 def fit_ellipsoid(n: np.ndarray, u: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float, float, float, int]:
@@ -169,7 +167,7 @@ class _Judge:
         return self.relative(i, F.abs(x / y - 1), F.abs(x - y))
 
     def readings(self) -> DataFrame:
-        """Each delivery once, in blocks with halo, in time order; kept on disk for the passes over it until it is unpersisted."""
+        """Each delivery once, in blocks with halo (own = false); self.kept stays on the executors' disks for the passes until it is unpersisted."""
         q = F.percentile_approx("t", [0.05, 0.95], 100)
         span = self.raw.groupBy(*KEY).agg(F.count("*").alias("n"), q.alias("q"))
         # blocks of about BLOCK_ROWS rows by the middle nine tenths of a source's time, so that stray stamps do not widen them
@@ -180,7 +178,12 @@ class _Judge:
         once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
         once = once.join(small(widths, self.n_sources), KEY).withColumn("block", F.col("t") - F.pmod("t", "wide")).drop("wide")
         halo = max(3, *(r.stuck_run - 1 for f in self.feeds for r in f.rules)) + 3
-        return _with_halo(once, halo, self.values).sortWithinPartitions(*KEY, "block", "t", "o").persist(StorageLevel.DISK_ONLY)
+        # as many partitions on both sides, so that their union is still parted by block
+        parted = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "block")
+        cols = [*KEY, "block", "t", "o", "h", "copies", *self.values]
+        self.kept = parted(once.select(*cols)).persist(StorageLevel.DISK_ONLY)
+        beside = _halo(self.kept, halo, self.values)
+        return self.kept.withColumn("own", F.lit(True)).union(parted(beside.select(*cols)).withColumn("own", F.lit(False)))
 
     def points(self, rows: DataFrame) -> DataFrame:
         """bad{i}: impossible; g{i}: the reading if it is not and spikes are looked for; u{i}, x{i}, y{i}: its value and its first and second difference, in the units of the rule (logarithm, steps relative to the reading before)."""
@@ -315,14 +318,13 @@ def flag_faults(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
 
     Plan: sources are cut into blocks of about BLOCK_ROWS rows (or of block_ms) with a halo of neighbours, so
     that a source with a third of the rows is many tasks; a list with a line per block is all that meets per source.
-    All fields of a feed are judged in one row. The sorted blocks are kept on the executors' disks (lost ones are made again
-    from the shuffle), so that the two passes over them neither shuffle nor sort.
+    All fields of a feed are judged in one row. The blocks are kept on the executors' disks (lost ones are made again
+    from the shuffle), so that the passes over them do not shuffle.
     What is normal for a source is broadcast if the counted sources are few, joined otherwise.
     """
     judge = _Judge(feeds, block_ms)
-    rows = judge.readings()
-    flagged = judge.faults(rows)
-    rows.unpersist()
+    flagged = judge.faults(judge.readings())
+    judge.kept.unpersist()
     values = judge.values
     same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) if c in values else F.col(f"r.{c}") == F.col(f"f.{c}") for c in [*KEY, "t", "h", *values]])
     again = judge.raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.field", "f.fault")
