@@ -209,7 +209,7 @@ class _Judge:
             lines.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("v").alias("kind"), _bin(v).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), v.alias("x"), none("double").alias("y"))))
         cells = points.where("own").select(*KEY, F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
         cells = cells.groupBy(*KEY, "slot", "kind", "k", "kx", "ky").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "uxy"], F.min("x").alias("least"), F.max("x").alias("most"))
-        cells = cut(cells)
+        cells = cells.persist(StorageLevel.DISK_ONLY)
         fits = cells.where("kind = 'e'").groupBy(*KEY, "slot").applyInPandas(_fit_cells, CELL_SCHEMA)
         fits = fits.groupBy(*KEY).agg(*[F.max(F.when(F.col("slot") == i, F.struct("c", "cos", "sin", "a", "b", "d", "rounds"))).alias(f"e{i}") for i in self.spiky])
         series = Window.partitionBy(*KEY, "slot", "kind")
@@ -217,7 +217,9 @@ class _Judge:
         mids = mids.withColumn("rank", F.col("half") - F.col("upto") + F.col("n")).where("upto >= half and rank > 0")
         mid = lambda i, kind: F.max(F.when((F.col("slot") == i) & (F.col("kind") == kind), F.struct("k", "rank", "least", "most")))
         mids = mids.groupBy(*KEY).agg(*[mid(i, "m").alias(f"m{i}") for i in self.spiky], *[mid(i, "v").alias(f"mv{i}") for i in self.high])
-        return cut(mids.join(fits, KEY, "left"))
+        found = cut(mids.join(fits, KEY, "left"))
+        cells.unpersist()
+        return found
 
     def outside(self, i: int) -> Column:
         """Whether a point lies outside its source's ellipsoid; a missing coordinate counts as in the middle."""
@@ -233,7 +235,7 @@ class _Judge:
         equal to the reading before, in which run; high{i}: perhaps too high; mid{i}, midv{i}: in the bin of a median.
         """
         points = self.points(rows)
-        judged = points.join(small(self.limits(points), self.n_sources), KEY)
+        judged = points.join(small(self.limits(points), self.n_sources), KEY, "left")
         w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
         judged = judged.withColumns({f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {IN_BLOCK}") for i in self.slots} | {f"out{i}": F.when(F.col(f"g{i}").isNotNull(), self.outside(i)) for i in self.spiky})
         judged = judged.withColumns({f"eq{i}": F.coalesce(F.col(f"v{i}") == F.col(f"b{i}"), F.lit(False)) for i in self.slots})
@@ -249,6 +251,37 @@ class _Judge:
         judged = judged.withColumns(marks).where(reduce(lambda x, y: x | y, [F.col(c) for c in any_of]))
         return judged.select(*KEY, "block", "own", "t", "o", "h", "copies", *self.values, *any_of, *[f"run{i}" for i in self.slots], *[f"{n}{i}" for i in self.spiky for n in ("g", "x", "out", "m")], *[f"mv{i}" for i in self.high])
 
+    def tested(self, few: DataFrame) -> DataFrame:
+        """The suspects that the exact tests flag, and those that the medians need.
+
+        spike{i}: (lo, hi) for each run of one to three readings that would hold this one as a spike for a limit between lo and hi.
+        A run's neighbours are all among the suspects, so that the windows over these few rows see them; they keep the rows' order.
+        """
+        lags = {f"at{i}_{k + 3}": F.expr(f"{'lag' if k < 0 else 'lead'}(g{i}, {abs(k)}) ignore nulls over {IN_BLOCK}") for i in self.spiky for k in (-3, -2, -1, 1, 2, 3)}
+        lags |= {f"begins{i}_{k}": F.expr(f"lag(out{i}, {k}) ignore nulls over {IN_BLOCK}") for i in self.spiky for k in (1, 2)}
+        few = few.withColumns(lags)
+
+        def runs(i: int) -> Column:
+            at = {k: F.col(f"g{i}") if k == 0 else F.col(f"at{i}_{k + 3}") for k in range(-3, 4)}
+            factor = self.rule(i, lambda r: F.lit(r.spike_factor))
+            found = []
+            for a, b in COMBOS:
+                lo, hi = self.far(i, at[b], at[-a]), F.least(*[self.far(i, at[j], at[e]) for j in range(1 - a, b) for e in (-a, b)])
+                begins = F.col(f"out{i}") if a == 1 else F.col(f"begins{i}_{a - 1}")
+                whole = F.col(f"near{i}") & begins & at[-a].isNotNull() & at[b].isNotNull()
+                found.append(F.when(whole & (lo < hi) & (hi > factor * F.col(f"m{i}.least")) & (lo < factor * F.col(f"m{i}.most")), F.struct(lo.alias("lo"), hi.alias("hi"))))
+            return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+        few = few.withColumns({f"spike{i}": runs(i) for i in self.spiky}).drop(*lags)
+        for i in self.slots:
+            inside = F.sum(F.col(f"eq{i}").cast("int")).over(Window.partitionBy(*KEY, "block", f"run{i}"))
+            few = few.withColumn(f"stuck{i}", F.col(f"eq{i}") & (1 + inside >= self.rule(i, lambda r: F.lit(r.stuck_run))))
+        hits = [F.col(f"{n}{i}") for i in self.slots for n in ("bad", "stuck")] + [F.col(f"high{i}") for i in self.high] + [F.size(f"spike{i}") > 0 for i in self.spiky]
+        medians = [F.col(f"mid{i}") for i in self.spiky] + [F.col(f"midv{i}") for i in self.high]
+        few = few.where(F.col("own") & reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in hits + medians]))
+        names = [f"{n}{i}" for i in self.slots for n in ("bad", "stuck")] + [f"{n}{i}" for i in self.high for n in ("high", "midv", "mv")] + [f"{n}{i}" for i in self.spiky for n in ("spike", "mid", "m", "x")]
+        return few.select(*KEY, "t", "h", "o", "copies", *self.values, *names)
+
     def _median(self, few: DataFrame, mark: str, value: Column, at: str, name: str) -> DataFrame:
         """Per source the exact median: counts of the values in its bin, taken up to its rank there, or the bin's only value."""
         series = Window.partitionBy(*KEY)
@@ -256,34 +289,24 @@ class _Judge:
         return seen.withColumn("upto", F.sum("n").over(series.orderBy("value"))).where("upto >= rank").groupBy(*KEY).agg(F.min("value").alias(name))
 
     def faults(self, rows: DataFrame) -> DataFrame:
-        few = cut(self.suspects(rows))
+        few = cut(self.tested(self.suspects(rows)))
         medians = [(f"median{i}", self._median(few, f"mid{i}", F.abs(f"x{i}"), f"m{i}", f"median{i}"), f"m{i}") for i in self.spiky]
         medians += [(f"vmedian{i}", self._median(few, f"midv{i}", F.col(f"v{i}"), f"mv{i}", f"vmedian{i}"), f"mv{i}") for i in self.high]
         for name, median, at in medians:
             few = few.join(small(median, self.n_sources), KEY, "left").withColumn(name, F.coalesce(name, f"{at}.least"))
-        head = [*KEY, "t", "h", "o", "copies", *self.values]
-        fault = lambda i, kind: F.struct(self.rule(i, lambda r: F.lit(r.field)).alias("field"), F.lit(kind).alias("fault"))
-        parts = []
+        faults = []
         for i in self.slots:
-            parts.append(few.where(F.col("own") & F.col(f"bad{i}")).select(*head, F.inline(F.array(fault(i, "impossible")))))
-            run = few.where(f"eq{i}").withColumn("len", 1 + F.count("*").over(Window.partitionBy(*KEY, "block", f"run{i}")))
-            parts.append(run.where(F.col("own") & (F.col("len") >= self.rule(i, lambda r: F.lit(r.stuck_run)))).select(*head, F.inline(F.array(fault(i, "stuck")))))
-        for i in self.high:
-            parts.append(few.where(F.col("own") & (F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"vmedian{i}"))).select(*head, F.inline(F.array(fault(i, "high")))))
-        w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
-        for i in self.spiky:
-            at = {k: F.col(f"g{i}") if k == 0 else F.col(f"at{k + 3}") for k in range(-3, 4)}
-            near = few.where(f"near{i}").withColumns({f"at{k + 3}": F.lag(f"g{i}", -k).over(w) if k < 0 else F.lead(f"g{i}", k).over(w) for k in at if k} | {f"begins{k}": F.lag(f"out{i}", k).over(w) for k in (1, 2)})
-            limit = self.rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"median{i}")
-
-            def spike(a: int, b: int, i=i, at=at, limit=limit) -> Column:
-                """The reading stands in a run from offset 1-a to b-1, between the readings at -a and b; the run's first reading lies outside the ellipsoid."""
-                away = [self.far(i, at[j], at[e]) > limit for j in range(1 - a, b) for e in (-a, b)]
-                return reduce(lambda x, y: x & y, [*away, self.far(i, at[b], at[-a]) < limit, F.col(f"begins{a - 1}" if a > 1 else f"out{i}")])
-
-            hit = reduce(lambda x, y: x | y, [F.coalesce(spike(a, b), F.lit(False)) for a, b in COMBOS])
-            parts.append(near.where(F.col("own") & hit).select(*head, F.inline(F.array(fault(i, "spike")))))
-        return cut(reduce(DataFrame.unionByName, parts))
+            label = self.rule(i, lambda r: F.lit(r.field))
+            mark = lambda hit, kind: faults.append(F.when(hit, F.struct(label.alias("field"), F.lit(kind).alias("fault"))))  # noqa: B023, E731
+            mark(F.col(f"bad{i}"), "impossible")
+            mark(F.col(f"stuck{i}"), "stuck")
+            if i in self.high:
+                mark(F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"vmedian{i}"), "high")
+            if i in self.spiky:
+                limit = self.rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"median{i}")
+                mark(F.exists(f"spike{i}", lambda x: (x["lo"] < limit) & (limit < x["hi"])), "spike")  # noqa: B023
+        found = F.filter(F.array(*faults), lambda x: x.isNotNull())
+        return cut(few.select(*KEY, "t", "h", "o", "copies", *self.values, F.inline(found)))
 
 
 def suspects(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
@@ -327,7 +350,8 @@ def flag_faults(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:
     judge.kept.unpersist()
     values = judge.values
     same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) if c in values else F.col(f"r.{c}") == F.col(f"f.{c}") for c in [*KEY, "t", "h", *values]])
-    again = judge.raw.alias("r").join(flagged.where("copies > 1").alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.field", "f.fault")
+    repeated = flagged.where("copies > 1")
+    again = judge.raw.alias("r").join(small(repeated, repeated.count()).alias("f"), same).select(*[F.col(f"r.{c}") for c in [*KEY, "t", "o"]], "f.field", "f.fault")
     every = flagged.where("copies = 1").select(*KEY, "t", "o", "field", "fault").unionByName(again)
     names = F.array(*[F.lit(f.name) for f in feeds])
     return every.select(names[F.col("feed")].alias("feed"), "src", "t", F.col("o").alias("ordinal"), "field", "fault")
