@@ -169,11 +169,15 @@ class _Judge:
     def readings(self) -> DataFrame:
         """Each delivery once, in blocks with halo (own = false); self.kept stays on the executors' disks for the passes until it is unpersisted."""
         q = F.percentile_approx("t", [0.05, 0.95], 100)
-        span = self.raw.groupBy(*KEY).agg(F.count("*").alias("n"), q.alias("q"))
+        scale = [F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 100).alias(f"q{i}") for i in self.spiky]
+        span = self.raw.groupBy(*KEY).agg(F.count("*").alias("n"), q.alias("q"), *scale)
         # blocks of about BLOCK_ROWS rows by the middle nine tenths of a source's time, so that stray stamps do not widen them
         width = F.lit(self.block_ms) if self.block_ms else F.greatest(F.ceil((F.col("q")[1] - F.col("q")[0]) / (F.col("n") * 0.9) * BLOCK_ROWS), F.lit(1))
-        widths = cut(span.select(*KEY, width.cast("bigint").alias("wide")))
-        self.n_sources = widths.count()
+        spans = cut(span.select(*KEY, width.cast("bigint").alias("wide"), *[f"q{i}" for i in self.spiky]))
+        self.n_sources = spans.count()
+        # only the width of the fit's cells depends on these quartiles
+        self.scales = spans.select(*KEY, *[f"q{i}" for i in self.spiky])
+        widths = spans.select(*KEY, "wide")
         once = self.raw.groupBy(*KEY, "t", "h", *self.values).agg(F.min("o").alias("o"), F.count("*").alias("copies"))
         once = once.withColumn("h", F.when(F.col("copies") > 1, F.col("h")))  # only copies are looked for again
         once = once.join(small(widths, self.n_sources), KEY).withColumn("block", F.col("t") - F.pmod("t", "wide")).drop("wide")
@@ -193,21 +197,22 @@ class _Judge:
         step = lambda i, x, y: self.relative(i, x / y - 1, x - y)
         rows = rows.withColumns({f"x{i}": F.when(F.col(f"g{i}").isNotNull(), step(i, F.col(f"g{i}"), F.col(f"l{i}"))) for i in self.spiky})
         value = {f"u{i}": self.relative(i, F.when(F.col(f"g{i}") > 0, F.ln(f"g{i}")), F.col(f"g{i}")) for i in self.spiky}
-        return rows.withColumns(value | {f"y{i}": step(i, F.col(f"r{i}"), F.col(f"g{i}")) - F.col(f"x{i}") for i in self.spiky}).drop(*[f"{n}{i}" for i in self.spiky for n in "lr"])
+        return rows.withColumns(value | {f"y{i}": step(i, F.col(f"r{i}"), F.col(f"g{i}")) - F.col(f"x{i}") for i in self.spiky}).drop(*[f"r{i}" for i in self.spiky])
 
     def limits(self, points: DataFrame) -> DataFrame:
         """Per source: e{i} the ellipsoid; m{i} and mv{i} the bins that hold the median step and, for high_factor, the median, as (bin, rank in it, its least and largest value)."""
         none = lambda kind: F.lit(None).cast(kind)
+        place = lambda i: F.least(F.greatest(F.coalesce(F.floor((F.col(f"g{i}") - F.col(f"q{i}")[1]) / (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 8), F.lit(0)), F.lit(-200)), F.lit(200))
         lines = []
         for i in self.spiky:
             u, x, y = (F.col(f"{n}{i}") for n in "uxy")
-            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), _grade(F.col(f"g{i}"), 8).cast("bigint").alias("k"), _grade(F.abs(x), 2).alias("kx"), _grade(y, 2).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
+            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), place(i).alias("k"), _grade(F.abs(x), 2).alias("kx"), _grade(y, 2).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
             lines.append(F.when(u.isNotNull() & x.isNotNull() & y.isNotNull(), cell))
             lines.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("m").alias("kind"), _bin(F.abs(x)).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), F.abs(x).alias("x"), none("double").alias("y"))))
         for i in self.high:
             v = F.when(self.rule(i, lambda r: F.lit(r.high_factor is not None)), F.col(f"v{i}"))
             lines.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("v").alias("kind"), _bin(v).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), v.alias("x"), none("double").alias("y"))))
-        cells = points.where("own").select(*KEY, F.inline(F.filter(F.array(*lines), lambda x: x.isNotNull())))
+        cells = points.where("own").join(small(self.scales, self.n_sources), KEY).select(*KEY, F.inline(F.array(*lines))).where("slot is not null")
         cells = cells.groupBy(*KEY, "slot", "kind", "k", "kx", "ky").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "uxy"], F.min("x").alias("least"), F.max("x").alias("most"))
         cells = cells.persist(StorageLevel.DISK_ONLY)
         fits = cells.where("kind = 'e'").groupBy(*KEY, "slot").applyInPandas(_fit_cells, CELL_SCHEMA)
@@ -231,56 +236,61 @@ class _Judge:
     def suspects(self, rows: DataFrame) -> DataFrame:
         """The few rows that any test may flag, and those around them.
 
-        out{i}: outside the ellipsoid; near{i}: such a reading, or up to three behind or one before it; eq{i}, run{i}:
-        equal to the reading before, in which run; high{i}: perhaps too high; mid{i}, midv{i}: in the bin of a median.
+        out{i}: outside the ellipsoid; near{i}: such a reading, or up to three behind one; l{i}: the reading before; eq{i},
+        run{i}: equal to it, in which run; high{i}: perhaps too high; mid{i}, midv{i}: in the bin of a median.
         """
-        points = self.points(rows)
-        judged = points.join(small(self.limits(points), self.n_sources), KEY, "left")
         w = Window.partitionBy(*KEY, "block").orderBy("t", "o")
-        judged = judged.withColumns({f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {IN_BLOCK}") for i in self.slots} | {f"out{i}": F.when(F.col(f"g{i}").isNotNull(), self.outside(i)) for i in self.spiky})
-        judged = judged.withColumns({f"eq{i}": F.coalesce(F.col(f"v{i}") == F.col(f"b{i}"), F.lit(False)) for i in self.slots})
-        beside = {f"{n}{i}": F.expr(f"{f}(out{i}, {k}) ignore nulls over {IN_BLOCK}") for i in self.spiky for n, f, k in (("p1", "lag", 1), ("p2", "lag", 2), ("p3", "lag", 3), ("q1", "lead", 1))}
+        points = self.points(rows)
+        limits = small(self.limits(points), self.n_sources)
+        judged = points.withColumns({f"b{i}": F.expr(f"lag(v{i}) ignore nulls over {IN_BLOCK}") for i in self.slots} | {f"at{i}": F.count(f"g{i}").over(w) for i in self.spiky})
+        judged = judged.join(limits, KEY, "left")
+        judged = judged.withColumns({f"out{i}": F.when(F.col(f"g{i}").isNotNull(), self.outside(i)) for i in self.spiky} | {f"eq{i}": F.coalesce(F.col(f"v{i}") == F.col(f"b{i}"), F.lit(False)) for i in self.slots})
+        latest = {f"latest{i}": F.max(F.when(F.col(f"out{i}"), F.col(f"at{i}"))).over(w) for i in self.spiky}
         runs = {f"run{i}": F.sum(F.when(F.col(f"v{i}").isNotNull() & ~F.col(f"eq{i}"), 1).otherwise(0)).over(w) for i in self.slots}
-        judged = judged.withColumns(beside | runs)
-        near = lambda i: F.col(f"g{i}").isNotNull() & reduce(lambda x, y: x | y, [F.coalesce(F.col(f"{n}{i}"), F.lit(False)) for n in ("out", "p1", "p2", "p3", "q1")])
-        marks = {f"near{i}": near(i) for i in self.spiky}
+        judged = judged.withColumns(latest | runs)
+        marks = {f"near{i}": F.coalesce(F.col(f"g{i}").isNotNull() & (F.col(f"at{i}") - F.col(f"latest{i}") <= 3), F.lit(False)) for i in self.spiky}
         marks |= {f"high{i}": F.coalesce(F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"mv{i}.least"), F.lit(False)) for i in self.high}
         mid = lambda v, m: F.coalesce(F.col("own") & (m["least"] < m["most"]) & (_bin(v) == m["k"]), F.lit(False))
         marks |= {f"mid{i}": mid(F.abs(f"x{i}"), F.col(f"m{i}")) for i in self.spiky} | {f"midv{i}": mid(F.col(f"v{i}"), F.col(f"mv{i}")) for i in self.high}
         any_of = [*marks, *[f"{n}{i}" for i in self.slots for n in ("bad", "eq")]]
         judged = judged.withColumns(marks).where(reduce(lambda x, y: x | y, [F.col(c) for c in any_of]))
-        return judged.select(*KEY, "block", "own", "t", "o", "h", "copies", *self.values, *any_of, *[f"run{i}" for i in self.slots], *[f"{n}{i}" for i in self.spiky for n in ("g", "x", "out", "m")], *[f"mv{i}" for i in self.high])
+        return judged.select(*KEY, "block", "own", "t", "o", "h", "copies", *self.values, *any_of, *[f"run{i}" for i in self.slots], *[f"{n}{i}" for i in self.spiky for n in ("g", "l", "x", "out", "m")], *[f"mv{i}" for i in self.high])
 
     def tested(self, few: DataFrame) -> DataFrame:
-        """The suspects that the exact tests flag, and those that the medians need.
+        """The suspects that the exact tests flag, and those that the medians or the length of a run need.
 
         spike{i}: (lo, hi) for each run of one to three readings that would hold this one as a spike for a limit between lo and hi.
-        A run's neighbours are all among the suspects, so that the windows over these few rows see them; they keep the rows' order.
+        A run's readings and the one behind it are all among the suspects and the one before it is known to its
+        first, so the windows over these few rows see all; they keep the rows' order.
         """
-        lags = {f"at{i}_{k + 3}": F.expr(f"{'lag' if k < 0 else 'lead'}(g{i}, {abs(k)}) ignore nulls over {IN_BLOCK}") for i in self.spiky for k in (-3, -2, -1, 1, 2, 3)}
-        lags |= {f"begins{i}_{k}": F.expr(f"lag(out{i}, {k}) ignore nulls over {IN_BLOCK}") for i in self.spiky for k in (1, 2)}
-        few = few.withColumns(lags)
-
-        def runs(i: int) -> Column:
-            at = {k: F.col(f"g{i}") if k == 0 else F.col(f"at{i}_{k + 3}") for k in range(-3, 4)}
-            factor = self.rule(i, lambda r: F.lit(r.spike_factor))
-            found = []
+        behind = lambda c, k: F.expr(f"lag({c}, {k}) ignore nulls over {IN_BLOCK}")
+        ahead = lambda c, k: F.expr(f"lead({c}, {k}) ignore nulls over {IN_BLOCK}")
+        few = few.withColumns({f"eqrun{i}": F.when(F.col(f"eq{i}"), F.col(f"run{i}")) for i in self.slots} | {f"before{i}": F.when(F.col(f"g{i}").isNotNull(), F.coalesce(f"l{i}", F.lit(float("nan")))) for i in self.spiky})
+        seen = {}
+        for i in self.spiky:
+            seen |= {f"g{i}_{k}": behind(f"g{i}", k) for k in (1, 2)} | {f"before{i}_{k}": behind(f"before{i}", k) for k in (1, 2)} | {f"out{i}_{k}": behind(f"out{i}", k) for k in (1, 2)} | {f"next{i}_{k}": ahead(f"g{i}", k) for k in (1, 2, 3)}
+        half = {i: (min(f.rules[i].stuck_run for f in self.feeds if i < len(f.rules)) - 1) // 2 for i in self.slots}
+        # of a run of r readings any one but the first has r/2-1 others on one side
+        seen |= {f"{n}eq{i}": f(f"eqrun{i}", half[i]) if half[i] else F.col(f"eqrun{i}") for i in self.slots for n, f in (("p", behind), ("q", ahead))}
+        few = few.withColumns(seen)
+
+        def runs(i: int) -> list[tuple[Column, Column, Column]]:
+            at = {-2: F.col(f"g{i}_2"), -1: F.col(f"g{i}_1"), 0: F.col(f"g{i}")} | {k: F.col(f"next{i}_{k}") for k in (1, 2, 3)}
+            factor, found = self.rule(i, lambda r: F.lit(r.spike_factor)), []
             for a, b in COMBOS:
-                lo, hi = self.far(i, at[b], at[-a]), F.least(*[self.far(i, at[j], at[e]) for j in range(1 - a, b) for e in (-a, b)])
-                begins = F.col(f"out{i}") if a == 1 else F.col(f"begins{i}_{a - 1}")
-                whole = F.col(f"near{i}") & begins & at[-a].isNotNull() & at[b].isNotNull()
-                found.append(F.when(whole & (lo < hi) & (hi > factor * F.col(f"m{i}.least")) & (lo < factor * F.col(f"m{i}.most")), F.struct(lo.alias("lo"), hi.alias("hi"))))
-            return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-        few = few.withColumns({f"spike{i}": runs(i) for i in self.spiky}).drop(*lags)
-        for i in self.slots:
-            inside = F.sum(F.col(f"eq{i}").cast("int")).over(Window.partitionBy(*KEY, "block", f"run{i}"))
-            few = few.withColumn(f"stuck{i}", F.col(f"eq{i}") & (1 + inside >= self.rule(i, lambda r: F.lit(r.stuck_run))))
-        hits = [F.col(f"{n}{i}") for i in self.slots for n in ("bad", "stuck")] + [F.col(f"high{i}") for i in self.high] + [F.size(f"spike{i}") > 0 for i in self.spiky]
-        medians = [F.col(f"mid{i}") for i in self.spiky] + [F.col(f"midv{i}") for i in self.high]
-        few = few.where(F.col("own") & reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in hits + medians]))
-        names = [f"{n}{i}" for i in self.slots for n in ("bad", "stuck")] + [f"{n}{i}" for i in self.high for n in ("high", "midv", "mv")] + [f"{n}{i}" for i in self.spiky for n in ("spike", "mid", "m", "x")]
-        return few.select(*KEY, "t", "h", "o", "copies", *self.values, *names)
+                before, begins = (F.col(f"before{i}"), F.col(f"out{i}")) if a == 1 else (F.col(f"before{i}_{a - 1}"), F.col(f"out{i}_{a - 1}"))
+                lo, hi = self.far(i, at[b], before), F.least(*[self.far(i, at[j], e) for j in range(1 - a, b) for e in (before, at[b])])
+                hit = F.col(f"near{i}") & begins & ~F.isnan(before) & at[b].isNotNull() & (lo < hi) & (hi > factor * F.col(f"m{i}.least")) & (lo < factor * F.col(f"m{i}.most"))
+                found.append((F.coalesce(hit, F.lit(False)), lo, hi))
+            return found
+
+        either = lambda cs: reduce(lambda x, y: x | y, cs)
+        few = few.withColumns({f"spiky{i}": either([hit for hit, *_ in runs(i)]) for i in self.spiky} | {f"long{i}": F.coalesce((F.col(f"peq{i}") == F.col(f"eqrun{i}")) | (F.col(f"qeq{i}") == F.col(f"eqrun{i}")), F.lit(False)) for i in self.slots})
+        hits = [f"{n}{i}" for i in self.slots for n in ("bad", "long")] + [f"{n}{i}" for i in self.high for n in ("high", "midv")] + [f"{n}{i}" for i in self.spiky for n in ("spiky", "mid")]
+        few = few.where(either([F.col(c) for c in hits]))
+        few = few.withColumns({f"spike{i}": F.when(F.col(f"spiky{i}"), F.array(*[F.when(hit, F.struct(lo.alias("lo"), hi.alias("hi"))) for hit, lo, hi in runs(i)])) for i in self.spiky})
+        names = [f"{n}{i}" for i in self.slots for n in ("bad", "long", "run")] + [f"{n}{i}" for i in self.high for n in ("high", "midv", "mv")] + [f"{n}{i}" for i in self.spiky for n in ("spike", "mid", "m", "x")]
+        return few.select(*KEY, "block", "own", "t", "h", "o", "copies", *self.values, *names)
 
     def _median(self, few: DataFrame, mark: str, value: Column, at: str, name: str) -> DataFrame:
         """Per source the exact median: counts of the values in its bin, taken up to its rank there, or the bin's only value."""
@@ -292,6 +302,14 @@ class _Judge:
         few = cut(self.tested(self.suspects(rows)))
         medians = [(f"median{i}", self._median(few, f"mid{i}", F.abs(f"x{i}"), f"m{i}", f"median{i}"), f"m{i}") for i in self.spiky]
         medians += [(f"vmedian{i}", self._median(few, f"midv{i}", F.col(f"v{i}"), f"mv{i}", f"vmedian{i}"), f"mv{i}") for i in self.high]
+        head = [*KEY, "t", "h", "o", "copies", *self.values]
+        parts = []
+        for i in self.slots:
+            label = self.rule(i, lambda r: F.lit(r.field))
+            run = few.where(f"long{i}").withColumn("len", 1 + F.count("*").over(Window.partitionBy(*KEY, "block", f"run{i}")))
+            run = run.where(F.col("own") & (F.col("len") >= self.rule(i, lambda r: F.lit(r.stuck_run))))
+            parts.append(run.select(*head, label.alias("field"), F.lit("stuck").alias("fault")))
+        few = few.where("own")
         for name, median, at in medians:
             few = few.join(small(median, self.n_sources), KEY, "left").withColumn(name, F.coalesce(name, f"{at}.least"))
         faults = []
@@ -299,14 +317,13 @@ class _Judge:
             label = self.rule(i, lambda r: F.lit(r.field))
             mark = lambda hit, kind: faults.append(F.when(hit, F.struct(label.alias("field"), F.lit(kind).alias("fault"))))  # noqa: B023, E731
             mark(F.col(f"bad{i}"), "impossible")
-            mark(F.col(f"stuck{i}"), "stuck")
             if i in self.high:
                 mark(F.col(f"v{i}") > self.rule(i, lambda r: F.lit(r.high_factor)) * F.col(f"vmedian{i}"), "high")
             if i in self.spiky:
                 limit = self.rule(i, lambda r: F.lit(r.spike_factor)) * F.col(f"median{i}")
                 mark(F.exists(f"spike{i}", lambda x: (x["lo"] < limit) & (limit < x["hi"])), "spike")  # noqa: B023
-        found = F.filter(F.array(*faults), lambda x: x.isNotNull())
-        return cut(few.select(*KEY, "t", "h", "o", "copies", *self.values, F.inline(found)))
+        parts.append(few.select(*head, F.inline(F.array(*faults))).where("fault is not null"))
+        return cut(reduce(DataFrame.unionByName, parts))
 
 
 def suspects(feeds: list[Feed], block_ms: int | None = None) -> DataFrame:

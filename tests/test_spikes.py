@@ -2,9 +2,11 @@ import math
 import random
 from statistics import median
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tapeloom.operators.spikes import Feed, FieldRule, flag_faults
+from tapeloom.operators import spikes
+from tapeloom.operators.spikes import Feed, FieldRule, fit_ellipsoid, flag_faults, suspects
 
 SCHEMA = "src string, ts bigint, v double, w double, o bigint, arr bigint, feed string, field string, block int, h int, copies int"
 RULES = [FieldRule("v", lambda c: c <= 0, 6, relative=True), FieldRule("w", lambda c: c < -50, 4, spike_factor=None, high_factor=100.0)]
@@ -132,3 +134,39 @@ def test_outage_of_one_field_at_a_block_edge(spark):
         rows[k] = ("A", k * 1000, 100.5, 1.0, k, 0)
     got = run(spark, rows, block_ms=400_000)
     assert got == brute(rows) and {"stuck", "spike"} <= {x[3] for x in got}
+
+
+def test_the_ellipsoid_prunes_and_loses_none(spark, monkeypatch):
+    """With it only the spikes and readings beside them are tested, without it all; the faults are the same."""
+    r = random.Random(3)
+    rows, x = [], 100.0
+    for k in range(4_000):
+        x *= 1 + r.gauss(0, 1e-3)
+        rows.append(("A", k * 1000, x * (1.6 if k % 97 == 5 or k % 501 in (7, 8, 9) else 1.0), None, k, 0))
+    df = spark.createDataFrame([(*row, "a", "b", 1, 2, 3) for row in rows], SCHEMA)
+    feed = Feed("f", df, "src", "ts", "o", RULES, ["arr"])
+    tested = suspects([feed]).where("own and near0").count()
+    found = run(spark, rows)
+    assert found == brute(rows) and sum(f[3] == "spike" for f in found) > 40
+    assert tested < 0.15 * len(rows)  # 65 runs, each with the readings beside it
+    monkeypatch.setattr(spikes._Judge, "outside", lambda self, i: F.col(f"x{i}").isNotNull())
+    assert suspects([feed]).where("own and near0").count() > 0.99 * len(rows)
+    assert run(spark, rows) == found
+
+
+def test_the_fit_ends_when_no_point_goes_and_turns():
+    rng = np.random.default_rng(5)
+    u = rng.normal(0, 3, 5_000)
+    x = rng.normal(0, 1, 5_000)
+    y = 0.5 * u + rng.normal(0, 0.2, 5_000)
+    x[:50] = 200
+    c, cos, sin, a, b, d, rounds = fit_ellipsoid(np.ones(5_000), u, x, y)
+    assert rounds > 1 and abs(c) < 0.3 and abs(sin / cos - 0.5) < 0.05 and 3 < b < 6 and d < 2
+    again = np.ones(5_000) * ((((u - c) * cos + y * sin) / a) ** 2 + (x / b) ** 2 + ((y * cos - (u - c) * sin) / d) ** 2 <= 1)
+    assert (again[:50] == 0).all() and again.mean() > 0.97
+
+
+def test_single_readings_have_their_faults(spark):
+    """A source whose only reading is impossible has no step and no median, and is reported all the same."""
+    rows = [("A", 1, -1.0, None, 1, 0), ("B", 1, None, -60.0, 2, 0), ("C", 1, None, None, 3, 0)]
+    assert run(spark, rows) == brute(rows) and {f[2] for f in brute(rows)} == {1, 2}
