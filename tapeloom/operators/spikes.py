@@ -202,11 +202,11 @@ class _Judge:
     def limits(self, points: DataFrame) -> DataFrame:
         """Per source: e{i} the ellipsoid; m{i} and mv{i} the bins that hold the median step and, for high_factor, the median, as (bin, rank in it, its least and largest value)."""
         none = lambda kind: F.lit(None).cast(kind)
-        place = lambda i: F.least(F.greatest(F.coalesce(F.floor((F.col(f"g{i}") - F.col(f"q{i}")[1]) / (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 8), F.lit(0)), F.lit(-200)), F.lit(200))
+        place = lambda i: F.least(F.greatest(F.coalesce(F.floor((F.col(f"g{i}") - F.col(f"q{i}")[1]) / (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 4), F.lit(0)), F.lit(-200)), F.lit(200))
         lines = []
         for i in self.spiky:
             u, x, y = (F.col(f"{n}{i}") for n in "uxy")
-            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), place(i).alias("k"), _grade(F.abs(x), 2).alias("kx"), _grade(y, 2).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
+            cell = F.struct(F.lit(i).alias("slot"), F.lit("e").alias("kind"), place(i).alias("k"), _grade(F.abs(x), 2).alias("kx"), _grade(y, 1).alias("ky"), u.alias("u"), F.abs(x).alias("x"), y.alias("y"))
             lines.append(F.when(u.isNotNull() & x.isNotNull() & y.isNotNull(), cell))
             lines.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit("m").alias("kind"), _bin(F.abs(x)).alias("k"), F.lit(0).alias("kx"), F.lit(0).alias("ky"), none("double").alias("u"), F.abs(x).alias("x"), none("double").alias("y"))))
         for i in self.high:
