@@ -90,29 +90,56 @@ def rate_limited(signals: DataFrame, key: str, window: int, limit: float) -> Dat
     return ordered_fold(signals, key, ["ts", "no"], ["side"], "ts bigint, no bigint, side int", deque, step)
 
 
-def repeated_patterns(top_kinds: DataFrame, key: str, length: int = 5, cooldown: int = 10) -> DataFrame:
-    """Sequences of the last `length` anomaly kinds seen before in the day: how often, and the score 0.6 min(freq/5, 1) + 0.4 quality >= 0.42.
+# fixed values of the pattern score
+MIN_AVG_Z, FINAL_SCORE, FULL_FREQUENCY = 1.35, 0.42, 5
 
-    top_kinds: ts, no, kind_no (the strongest anomaly of a bar), strength in [0, 1].
+
+def repeated_patterns(top: DataFrame, key: str, lookback: int = 20) -> DataFrame:
+    """Sequences of the strongest anomalies of lookback/4 (2 to 8) bars that come back: pattern, how often, score >= 0.42.
+
+    top: ts, no (of the bar), kind_no, tag (direction and strength of the strongest anomaly), avg_z (mean |z| of the bar's
+    anomalies); bars without anomalies are left out. A sequence counts if its mean |z| is 1.35 or more, not below the
+    background (the median of lookback bars) and not of one kind only; equal neighbours raise the bar by a tenth each.
+    It is counted again only if its own last count is at least half its length of bars ago (2 at least). Score: 0.6 min(frequency/5, 1)
+    + 0.4 quality, which weighs the last mean |z| against 2.7 (0.6) and the background (0.4). Starts anew each UTC day.
     """
+    length = min(max(lookback // 4, 2), 8)
+    cooldown = max(2, (length + 1) // 2)
 
-    def step(s: dict, row: tuple) -> tuple | None:
-        ts, no, kind, strength = row
-        s["last"].append((kind, strength))
-        if len(s["last"]) < length:
+    def middle(xs: deque) -> float:
+        s = sorted(xs)
+        return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+    def sequence(s: dict) -> int | None:
+        if len(s["bars"]) < length:
             return None
-        h = 0
-        for k, _ in s["last"]:
-            h = (h * 131 + k + 1) & 0x7FFFFFFFFFFFFFFF
-        s["seen"][h] = freq = s["seen"].get(h, 0) + 1
-        quality = sum(q for _, q in s["last"]) / length
-        score = 0.6 * min(freq / 5, 1) + 0.4 * quality
-        if freq < 2 or no - s["fired"] < cooldown or score < 0.42:
+        last = list(s["bars"])[-length:]
+        mean, back = sum(z for *_, z in last) / length, middle(s["z"])
+        same = sum(a[0] == b[0] for a, b in zip(last, last[1:], strict=False))
+        if back > mean * 1.1 or same >= length - 1 or mean < MIN_AVG_Z * (1 + 0.1 * same):
             return None
-        s["fired"] = no
-        return ts, no, h, freq, float(score)
+        h = 7
+        for kind, tag, _ in last:
+            h = (h * 1_000_003 + kind * 31 + tag + 1) & 0x7FFFFFFFFFFFFFFF
+        return h
 
-    return ordered_fold(top_kinds, key, ["ts", "no"], ["kind_no", "strength"], "ts bigint, no bigint, pattern bigint, freq int, score double", lambda: {"last": deque(maxlen=length), "seen": {}, "fired": -(1 << 60)}, step)
+    def step(s: dict, row: tuple) -> tuple | None:
+        ts, no, kind, tag, z = row
+        s["bars"].append((kind, tag, z))
+        s["z"].append(z)
+        h = sequence(s)
+        if h is None:
+            return None
+        if no - s["counted"].get(h, 0) >= cooldown:
+            s["seen"][h] = s["seen"].get(h, 0) + 1
+            s["counted"][h] = no
+        freq, back = s["seen"].get(h, 0), middle(s["z"])
+        quality = 0.6 * min(z / MIN_AVG_Z * 0.5, 1.0) + 0.4 * (min(max((z / back - 1) * 0.5, 0.0), 1.0) if back > 0 else 0.0) if z > 0 else 0.5
+        score = 0.6 * min(freq / FULL_FREQUENCY, 1.0) + 0.4 * quality
+        return (ts, no, h, freq, float(score)) if freq >= 2 and score >= FINAL_SCORE else None
+
+    start = lambda: {"bars": deque(maxlen=lookback), "z": deque(maxlen=lookback), "seen": {}, "counted": {}}
+    return ordered_fold(top, key, ["ts", "no"], ["kind_no", "tag", "avg_z"], "ts bigint, no bigint, pattern bigint, freq int, score double", start, step)
 
 
 def causal_absorption(bars: DataFrame, key: str, within: int = 6, pressure: float = 0.6, absorption: float = 1.0) -> DataFrame:

@@ -124,19 +124,22 @@ def range_breaks(samples: DataFrame, key: str, width_ms: int, margin: float) ->
 
 
 def autocorrelation_regime(samples: DataFrame, key: str, n: int, volatile: float, trending: float) -> DataFrame:
-    """Lag-1 autocorrelation and deviation of returns over n samples, and the regime they say."""
+    """Lag-1 autocorrelation and sample deviation of the last n returns (bps, two at least) around their mean, and the regime they say.
+
+    rho is the sum of products of neighbouring deviations over the sum of squared ones from the second return on.
+    """
     s = session(key, "ts")
-    x = samples.withColumn("ret", F.when(F.lag("v").over(s) > 0, (F.col("v") / F.lag("v").over(s) - 1) * 1e4)).withColumn("prev", F.lag("ret").over(s))
+    x = samples.withColumn("ret", F.when(F.lag("v").over(s) > 0, (F.col("v") / F.lag("v").over(s) - 1) * 1e4)).where("ret is not null")
+    x = x.withColumn("both", F.col("ret") * F.lag("ret").over(s))
     w = s.rowsBetween(1 - n, 0)
-    both = F.col("ret").isNotNull() & F.col("prev").isNotNull()
-    a, b = F.when(both, F.col("ret")), F.when(both, F.col("prev"))
-    m = {"sa": F.sum(a), "sb": F.sum(b), "sab": F.sum(a * b), "saa": F.sum(a * a), "sbb": F.sum(b * b), "k": F.count(a)}
-    x = x.withColumns({name: e.over(w) for name, e in m.items()})
-    k = F.col("k")
-    var = lambda s2, s1: F.greatest(F.col(s2) / k - (F.col(s1) / k) ** 2, F.lit(0.0))
-    cov = F.col("sab") / k - F.col("sa") / k * F.col("sb") / k
-    rho = F.when(var("saa", "sa") * var("sbb", "sb") > 1e-18, cov / F.sqrt(var("saa", "sa") * var("sbb", "sb"))).otherwise(0.0)
-    x = x.where(k >= n - 1).withColumns({"rho": rho, "sd": F.sqrt(var("saa", "sa"))})
+    m = {"r1": F.sum("ret").over(w), "r2": F.sum(F.col("ret") * F.col("ret")).over(w), "k": F.count("ret").over(w), "first": F.first("ret").over(w), "p": F.sum("both").over(s.rowsBetween(2 - n, 0))}
+    x = x.withColumns(m).where("k >= 2")
+    k, mean = F.col("k"), F.col("r1") / F.col("k")
+    x = x.withColumns({"mean": mean, "sd": F.sqrt(F.greatest(F.col("r2") - F.col("r1") * mean, F.lit(0.0)) / (k - 1))})
+    rest = F.col("r1") - F.col("first")
+    num = F.col("p") - F.col("mean") * (rest + F.col("r1") - F.col("ret")) + (k - 1) * F.col("mean") * F.col("mean")
+    den = F.col("r2") - F.col("first") * F.col("first") - 2 * F.col("mean") * rest + (k - 1) * F.col("mean") * F.col("mean")
+    x = x.withColumn("rho", F.when(den > 1e-12, num / den).otherwise(0.0))
     kind = F.when(F.col("sd") > volatile, "volatile").when(F.col("rho") > trending, "trending").otherwise("ranging")
     return x.select(key, "ts", "rho", "sd", kind.alias("regime"))
 

@@ -38,7 +38,11 @@ def fee(price: int, qty: int, rate8: int) -> int:
 
 @dataclass
 class Account:
-    """Position with average entry; realizes on reduction; a trip ends when the position closes or flips."""
+    """Position with average entry; realizes on reduction; a trip ends when the position closes or flips.
+
+    A trip's profit is that of its closing fill, net of this fill's fee and the opening fills' fees. After a flip the
+    new leg keeps the opening fees and notional of the old one until it is flat.
+    """
 
     position: int = 0
     entry: int = 0
@@ -46,31 +50,27 @@ class Account:
     fees: int = 0
     opened: int = 0
     trips: list[tuple[int, int, int, int]] = field(default_factory=list)  # close ts, pnl net of fees, notional, open ts
-    _pnl: int = 0
+    _fees: int = 0
     _notional: int = 0
 
     def fill(self, ts: int, signed: int, price: int, rate8: int) -> None:
         cost = fee(price, abs(signed), rate8)
         self.fees += cost
-        self._pnl -= cost
-        left = signed
-        if self.position and (self.position > 0) != (signed > 0):
-            shut = min(abs(signed), abs(self.position))
-            gain = towards_zero((price - self.entry) * shut, SCALE) * (1 if self.position > 0 else -1)
-            self.realized += gain
-            self._pnl += gain
-            self.position += shut if signed > 0 else -shut
-            left = signed + shut if signed < 0 else signed - shut
-            if not self.position:
-                self.trips.append((ts, self._pnl, self._notional, self.opened))
-                self._pnl = self._notional = 0
-        if left:
-            if not self.position:
-                self.opened = ts
-            held = abs(self.position)
-            self.entry = (self.entry * held + price * abs(left)) // (held + abs(left))
-            self.position += left
-            self._notional += towards_zero(price * abs(left), SCALE)
+        held, size = abs(self.position), abs(signed)
+        if not held or (self.position > 0) == (signed > 0):
+            if not held:
+                self.opened, self._fees, self._notional = ts, 0, 0
+            self.entry = (self.entry * held + price * size) // (held + size)
+            self.position += signed
+            self._fees += cost
+            self._notional += towards_zero(price * size, SCALE)
+            return
+        gain = towards_zero((price - self.entry) * min(held, size), SCALE) * (1 if self.position > 0 else -1)
+        self.realized += gain
+        self.position += signed
+        if size >= held:
+            self.trips.append((ts, gain - self._fees - cost, self._notional, self.opened))
+            self.entry, self.opened = (price, ts) if self.position else (0, 0)
 
     def unrealized(self, mark: int) -> int:
         return towards_zero((mark - self.entry) * abs(self.position), SCALE) * (1 if self.position >= 0 else -1)
@@ -225,11 +225,10 @@ class PaperConfig:
     leverage: float = 5.0
     margin_share: float = 0.2
     daily_limit: float = 0.05
-    ruin_share: float = 0.2
 
 
 def paper_account(returns: list[tuple[int, float]], c: PaperConfig = PaperConfig()) -> dict:
-    """Compounding account over (ts ms, return of a trip): margin and leverage scale each trip, a day's loss limit halts the day, ruin ends all."""
+    """Compounding account over (ts ms, return of a trip): margin and leverage scale each trip, a day's loss limit (0: none) halts the day, a balance of 0 or less ruins."""
     equity = peak = c.start
     day, day_start, halted_days, taken, worst, ruined, halted = None, c.start, 0, 0, 0.0, False, False
     for ts, r in returns:
@@ -240,13 +239,14 @@ def paper_account(returns: list[tuple[int, float]], c: PaperConfig = PaperConfig
             continue
         equity += equity * c.margin_share * c.leverage * r
         taken += 1
+        if equity <= 0:
+            equity, ruined = 0.0, True
+            continue
         peak = max(peak, equity)
         worst = max(worst, 1 - equity / peak)
-        if equity <= day_start * (1 - c.daily_limit):
+        if c.daily_limit > 0 and (day_start - equity) / day_start >= c.daily_limit:
             halted = True
             halted_days += 1
-        if equity <= c.start * c.ruin_share:
-            ruined = True
     return {"final": equity, "taken": taken, "halted_days": halted_days, "max_drawdown": worst, "ruined": ruined}
 
 
@@ -293,7 +293,7 @@ def non_overlapping(signals: DataFrame, key: str, start: str, end: str) -> DataF
 
 
 def triple_barrier(bars: DataFrame, signals: DataFrame, key: str, hold: int, target_bps: float, stop_bps: float) -> DataFrame:
-    """First of target, stop or expiry after each signal, in bars: exit number, kind, bps.
+    """First of target, stop or expiry after each signal, in bars: exit number, kind, bps. A target or stop of 0 is none.
 
     bars: key, no (dense), mid8, b8, a8; signals: key, no, is_long. A long's target is judged by the ask and its stop by the
     bid; the target is looked at first; touched barriers pay the barrier, expiry pays the mid. A range join over buckets of hold bars.
@@ -301,12 +301,13 @@ def triple_barrier(bars: DataFrame, signals: DataFrame, key: str, hold: int, tar
     b = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(hold))
     entry = bars.select(key, "no", F.col("mid8").alias("entry8"))
     s = signals.join(entry, [key, "no"]).withColumn("b__", F.explode(F.array(b("no"), b("no") + hold)))
-    p = bars.select(key, F.col("no").alias("at"), "mid8", "b8", "a8", F.max("no").over(Window.partitionBy(key)).alias("end")).withColumn("b__", b("at"))
+    last = bars.groupBy(key).agg(F.max("no").alias("end"))
+    p = bars.select(key, F.col("no").alias("at"), "mid8", "b8", "a8").join(last, key).withColumn("b__", b("at"))
     x = s.join(p, [key, "b__"]).where((F.col("at") > F.col("no")) & (F.col("at") <= F.col("no") + hold))
     side = F.when(F.col("is_long"), 1).otherwise(-1)
     bps = lambda c: (F.col(c) / F.col("entry8") - 1) * 1e4 * side
-    hit_t = F.when(F.col("is_long"), bps("a8")).otherwise(bps("b8")) >= target_bps
-    hit_s = F.when(F.col("is_long"), bps("b8")).otherwise(bps("a8")) <= -stop_bps
+    hit_t = F.lit(target_bps > 0) & (F.when(F.col("is_long"), bps("a8")).otherwise(bps("b8")) >= target_bps)
+    hit_s = F.lit(stop_bps > 0) & (F.when(F.col("is_long"), bps("b8")).otherwise(bps("a8")) <= -stop_bps)
     kind = F.when(hit_t, F.struct(F.lit("target").alias("kind"), F.lit(float(target_bps)).alias("bps"))).when(hit_s, F.struct(F.lit("stop").alias("kind"), F.lit(-float(stop_bps)).alias("bps"))).when((F.col("at") == F.col("no") + hold) | (F.col("at") == F.col("end")), F.struct(F.lit("time").alias("kind"), bps("mid8").alias("bps")))
     g = x.where(kind.isNotNull()).groupBy(key, "no", "is_long").agg(F.min(F.struct("at", kind.alias("x"))).alias("m"))
     return g.select(key, "no", "is_long", F.col("m.at").alias("exit_no"), F.col("m.x.kind").alias("barrier"), F.col("m.x.bps").alias("gross_bps"))

@@ -50,11 +50,6 @@ def deflated_sharpe(summary: DataFrame, sweep: list[str]) -> DataFrame:
     return x.withColumn("benchmark", bench).withColumn("dsr", probabilistic_sharpe(F.col("sharpe"), F.col("benchmark"), F.col("n"), F.col("skew"), F.col("kurtosis")))
 
 
-def block_count(n: int) -> int:
-    """The largest block number that leaves two rows a block, or 0."""
-    return next((b for b in BLOCKS if n >= 2 * b), 0)
-
-
 def fitting_blocks(n: Column) -> Column:
     """The largest block number of which n rows fill every block, or null."""
     return F.coalesce(*[F.when(n >= b, F.lit(b)) for b in BLOCKS])
@@ -154,9 +149,9 @@ def signal_evaluation(signals: DataFrame, key: list[str], ret: str, expected: st
 
 
 def expected_move(signals: DataFrame, key: list[str], size: str, ret: str) -> DataFrame:
-    """The factor that maps a signal's size to the move that follows: 3 with fewer than 3 signals, never negative."""
+    """The factor that maps a signal's size to the move that follows: 3 with fewer than 3 signals or sizes of 0 only, never negative."""
     g = signals.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col(size) * F.abs(ret)).alias("a"), F.sum(F.col(size) ** 2).alias("b"))
-    return g.select(*key, "n", F.when(F.col("n") < 3, 3.0).otherwise(F.greatest(ratio(F.col("a"), F.col("b")), F.lit(0.0))).alias("factor"))
+    return g.select(*key, "n", F.when(F.col("n") < 3, 3.0).otherwise(F.when(F.col("b") > 1e-12, F.greatest(F.col("a") / F.col("b"), F.lit(0.0))).otherwise(3.0)).alias("factor"))
 
 
 def separation(rows: DataFrame, key: list[str], signal: Column, outcome: Column) -> DataFrame:

@@ -159,14 +159,25 @@ def reclaims(path: DataFrame, edge: str) -> DataFrame:
     return path.where(inside).groupBy("id", "key").agg(F.min(F.struct("path_ts", "v8")).alias("r")).select("id", "key", F.col("r.path_ts").alias("reclaim_ts"), F.col("r.v8").alias("v8"))
 
 
-def flow_exit(episodes: DataFrame, trades: DataFrame, width_ms: int, trail_ms: int, times: float) -> DataFrame:
-    """The first trade after the episode at which the trailing forced volume reaches `times` the episode's average rate over the same stretch.
+def flow_exit(episodes: DataFrame, trades: DataFrame, hold_ms: int, trail_ms: int, times: float, base_ms: int, target_bps: float = 0.0) -> DataFrame:
+    """Where a reversal of each episode ends: id, key, exit_ts, exit ('target', 'flow', 'hold' or 'end'), bps.
 
-    trades: key, ts, seq, sgn, q8.
+    trades: key, ts, seq, p8, sgn, q8. Entered at the first trade from the episode on, against its side. 'target': the gain reaches
+    target_bps (0: none); 'flow': later than the entry the forced volume (of the episode's side) of trail_ms reaches `times` the rate
+    of the base_ms up to the episode, known by then; 'hold': hold_ms after the entry; 'end': the last trade seen. Looked at in this order.
     """
-    x = range_join(episodes.select(*EPISODE), trades.select("key", "ts", "seq", "sgn", "q8"), ["key"], "ts", width_ms)
+    reach = max(base_ms, trail_ms)
+    moved = episodes.select("id", "key", (F.col("ts") - reach).alias("ts"), "side", "p8")
+    x = range_join(moved, trades.select("key", "ts", "seq", "p8", "sgn", "q8").withColumnRenamed("p8", "px8"), ["key"], "ts", reach + 2 * hold_ms).withColumn("ts", F.col("ts") + reach)
     forced = F.when(F.col("sgn") == F.col("side"), F.col("q8")).otherwise(0)
-    w = Window.partitionBy("id").orderBy("path_ts")
-    y = x.withColumns({"trail": F.sum(forced).over(w.rangeBetween(-trail_ms, 0)), "total": F.sum(forced).over(Window.partitionBy("id"))})
-    hit = (F.col("trail") >= times * F.col("total") * trail_ms / width_ms) & (F.col("trail") > 0)
-    return y.where(hit).groupBy("id", "key").agg(F.min("path_ts").alias("exit_ts"))
+    one = Window.partitionBy("id")
+    x = x.withColumn("trail", F.sum(forced).over(one.orderBy("path_ts").rangeBetween(-trail_ms, 0)))
+    x = x.withColumn("base", F.sum(F.when((F.col("path_ts") >= F.col("ts") - base_ms) & (F.col("path_ts") < F.col("ts")), forced)).over(one))
+    y = x.where("path_ts >= ts").withColumn("entry", F.min(F.struct("path_ts", "seq", "px8")).over(one)).where(F.col("path_ts") <= F.col("entry.path_ts") + hold_ms * 2)
+    bps = (F.col("px8") / F.col("entry.px8") - 1) * 1e4 * -F.col("side")
+    flow = (F.col("base") > 0) & (F.col("path_ts") > F.col("entry.path_ts")) & (F.col("trail") / trail_ms >= times * F.col("base") / base_ms)
+    kind = F.when(F.lit(target_bps > 0) & (bps >= target_bps), "target").when(flow, "flow").when(F.col("path_ts") - F.col("entry.path_ts") >= hold_ms, "hold")
+    y = y.select("id", "key", "path_ts", "seq", bps.alias("bps"), kind.alias("exit"))
+    first = F.min(F.when(F.col("exit").isNotNull(), F.struct("path_ts", "seq", "exit", "bps")))
+    last = F.max(F.struct("path_ts", "seq", F.lit("end").alias("exit"), "bps"))
+    return y.groupBy("id", "key").agg(F.coalesce(first, last).alias("m")).select("id", "key", F.col("m.path_ts").alias("exit_ts"), F.col("m.exit").alias("exit"), F.col("m.bps").alias("bps"))

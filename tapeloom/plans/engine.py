@@ -63,11 +63,13 @@ def anomaly_rate_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pattern_counter(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated sequences of the strongest anomaly of each bar."""
+    """Repeated sequences of the strongest anomaly of each bar, of volume or trade count."""
     z = bars.zscores(bars.time_bars(trades(spark, d), "sym", 300_000), "sym", ["vol8", "trades"], 20)
-    kinds = F.array(F.struct(F.abs("z_vol8").alias("s"), F.when(F.col("z_vol8") > 0, 0).otherwise(1).alias("k")), F.struct(F.abs("z_trades").alias("s"), F.when(F.col("z_trades") > 0, 2).otherwise(3).alias("k")))
-    top = _numbered(z, "sym").withColumn("top", F.array_max(kinds)).where("top.s >= 1.0")
-    return anomaly.repeated_patterns(top.select("sym", "ts", "no", F.col("top.k").alias("kind_no"), F.least(F.col("top.s") / 4, F.lit(1.0)).alias("strength")), "sym")
+    kinds = F.filter(F.array(*[F.struct(F.abs(c).alias("s"), F.lit(k).alias("k"), (F.col(c) > 0).cast("int").alias("up")) for k, c in enumerate(("z_vol8", "z_trades"))]), lambda x: x["s"] >= 1.0)
+    top = _numbered(z, "sym").withColumn("kinds", kinds).where(F.size("kinds") > 0).withColumn("top", F.array_max("kinds"))
+    strength = F.when(F.col("top.s") < 1.6, 0).when(F.col("top.s") < 2.5, 1).otherwise(2)
+    mean = F.aggregate("kinds", F.lit(0.0), lambda a, x: a + x["s"]) / F.size("kinds")
+    return anomaly.repeated_patterns(top.select("sym", "ts", "no", F.col("top.k").alias("kind_no"), (F.col("top.up") * 3 + strength).alias("tag"), mean.alias("avg_z")), "sym")
 
 
 @query()

@@ -158,14 +158,11 @@ def range_sweep_detect(spark: SparkSession, d: str) -> DataFrame:
     return flow.range_breaks(flow.sampled(trades(spark, d), "sym", 60_000, F.col("p8")), "sym", 3_600_000, 0.001)
 
 
-@query(f"""with {SAMPLED}, x as (select sym, ts, v, case when lag(v) over s > 0 then (v / lag(v) over s - 1) * 1e4 end as ret from sm window s as (partition by sym, ts {DAY} order by ts)),
-y as (select *, lag(ret) over (partition by sym, ts {DAY} order by ts) as prev from x),
-p as (select sym, ts, case when ret is not null and prev is not null then ret end as a, case when ret is not null and prev is not null then prev end as b from y),
-m as (select sym, ts, sum(a) over w as sa, sum(b) over w as sb, sum(a * b) over w as sab, sum(a * a) over w as saa, sum(b * b) over w as sbb, count(a) over w as k
-  from p window w as (partition by sym, ts {DAY} order by ts rows 29 preceding)),
-v as (select *, greatest(saa / k - (sa / k) ** 2, 0) as va, greatest(sbb / k - (sb / k) ** 2, 0) as vb from m where k >= 29)
-select sym, ts, round(case when va * vb > 1e-18 then (sab / k - sa / k * sb / k) / sqrt(va * vb) else 0 end, 6) + 0.0 as rho, round(sqrt(va), 6) + 0.0 as sd,
-  case when sqrt(va) > 20 then 'volatile' when case when va * vb > 1e-18 then (sab / k - sa / k * sb / k) / sqrt(va * vb) else 0 end > 0.2 then 'trending' else 'ranging' end as regime from v""")
+@query(f"""with {SAMPLED}, x as (select sym, ts, case when lag(v) over s > 0 then (v / lag(v) over s - 1) * 1e4 end as ret from sm window s as (partition by sym, ts {DAY} order by ts)),
+y as (select sym, ts, list(ret) over (partition by sym, ts {DAY} order by ts rows 29 preceding) as r from x where ret is not null),
+m as (select sym, ts, r, len(r) as k, list_avg(r) as mean from y where len(r) >= 2),
+v as (select sym, ts, sqrt(list_sum(list_transform(r, lambda a: (a - mean) ** 2)) / (k - 1)) as sd, list_sum(list_transform(range(2, k + 1), lambda i: (r[i] - mean) * (r[i - 1] - mean))) as num, list_sum(list_transform(r[2:], lambda a: (a - mean) ** 2)) as den from m)
+select sym, ts, round(case when den > 1e-12 then num / den else 0 end, 6) + 0.0 as rho, round(sd, 6) + 0.0 as sd, case when sd > 20 then 'volatile' when den > 1e-12 and num / den > 0.2 then 'trending' else 'ranging' end as regime from v""")
 def flow_autocorrelation_regime(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flow.autocorrelation_regime(flow.sampled(trades(spark, d), "sym", 60_000, F.col("p8")), "sym", 30, 20.0, 0.2), 6, "rho", "sd")
 

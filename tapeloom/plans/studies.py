@@ -303,11 +303,16 @@ def through_trade_fill(spark: SparkSession, d: str) -> DataFrame:
     return studies.through_trades(o, trades(spark, d).withColumnRenamed("sym", "key"), 900_000)
 
 
-@query(f"""with recursive {BREAKS}, x as (select ep.id, ep.key, tr.ts as path_ts, case when sgn = side then q8 else 0 end as f from ep join tr on tr.sym = ep.key and tr.ts between ep.ts and ep.ts + 900000),
-y as (select *, sum(f) over (partition by id order by path_ts range between 60000 preceding and current row) as trail, sum(f) over (partition by id) as total from x)
-select id, key, min(path_ts) as exit_ts from y where trail >= 2.0 * total * 60000 / 900000 and trail > 0 group by id, key""")
+@query(f"""with recursive {BREAKS}, e as (select ep.id, ep.key, side, ep.ts, (select sum(case when sgn = side then q8 else 0 end) from tr where tr.sym = ep.key and tr.ts >= ep.ts - 60000 and tr.ts < ep.ts) as base,
+  (select arg_min((tr.ts, tr.p8), (tr.ts, tr.seq)) from tr where tr.sym = ep.key and tr.ts between ep.ts and ep.ts + 1800000) as en from ep),
+x as (select id, key, side, base, en[1] as t0, tr.ts as t, tr.seq, (tr.p8 / en[2] - 1) * 1e4 * -side as bps, (select sum(case when t2.sgn = side then t2.q8 else 0 end) from tr t2 where t2.sym = e.key and t2.ts between tr.ts - 60000 and tr.ts) as trail
+  from e join tr on tr.sym = e.key and tr.ts >= e.ts and tr.ts <= least(en[1] + 1800000, e.ts + 1800000)),
+k as (select *, case when bps >= 30 then 'target' when base > 0 and t > t0 and trail / 60000 >= 2.0 * base / 60000 then 'flow' when t - t0 >= 900000 then 'hold' end as kind from x)
+select id, key, coalesce(min(t) filter (kind is not null), max(t)) as exit_ts, coalesce(arg_min(kind, (t, seq)) filter (kind is not null), 'end') as exit,
+  round(coalesce(arg_min(bps, (t, seq)) filter (kind is not null), arg_max(bps, (t, seq))), 4) + 0.0 as bps from k group by id, key""")
 def flow_exit(spark: SparkSession, d: str) -> DataFrame:
-    return studies.flow_exit(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 900_000, 60_000, 2.0)
+    """Reversals of broken ranges: target 30 bps, flow at twice the rate of the minute before, 15 minutes at most."""
+    return rounded(studies.flow_exit(_breaks(spark, d), trades(spark, d).withColumnRenamed("sym", "key"), 900_000, 60_000, 2.0, 60_000, 30.0), 4, "bps")
 
 
 def _coin_prices(spark: SparkSession, d: str) -> DataFrame:

@@ -64,6 +64,11 @@ def test_fees_and_trips():
     b.fill(3, E8, 100 * E8, 0)
     b.fill(4, -2 * E8, 90 * E8, 0)  # flips
     assert b.position == -E8 and len(b.trips) == 2 and b.unrealized(80 * E8) == 10 * E8
+    c = Account()
+    for q, p in ((2, 100), (-1, 110), (-1, 104)):
+        c.fill(5, q * E8, p * E8, 100_000)
+    # 0.1 % fees: the closing fill made 4, less its own 0.104 and the opening 0.2; the partial close is realized, but no part of the trip
+    assert c.realized == 14 * E8 and c.trips == [(5, 4 * E8 - 10_400_000 - 20_000_000, 200 * E8, 5)]
 
 
 def test_queue_position():
@@ -108,11 +113,16 @@ def test_overlaps_and_barriers(spark):
     sig = spark.createDataFrame([("A", 0, True), ("A", 0, False), ("A", 3, True), ("A", 4, True)], "key string, no bigint, is_long boolean")
     got = {(x.no, x.is_long): (x.exit_no, x.barrier, round(x.gross_bps, 3)) for x in triple_barrier(bars, sig, "key", 4, 40.0, 45.0).collect()}
     assert got == {(0, True): (2, "target", 40.0), (0, False): (2, "stop", -45.0), (3, True): (4, "time", 0.0)}
+    for target_bps, stop_bps, want in ((0.0, 0.0, (4, "time", -100.0)), (0.0, 45.0, (3, "stop", -45.0)), (60.0, 0.0, (4, "time", -100.0))):
+        got = {(x.no, x.is_long): (x.exit_no, x.barrier, round(x.gross_bps, 3)) for x in triple_barrier(bars, sig, "key", 4, target_bps, stop_bps).collect()}
+        assert got[0, True] == want
 
 
 def test_paper_account_halts_a_losing_day():
     p = paper_account([(k, -0.01) for k in range(100)], PaperConfig(leverage=5, margin_share=0.2, daily_limit=0.05))
     assert p["halted_days"] == 1 and p["taken"] < 100 and not p["ruined"]
+    assert paper_account([(0, -0.5), (1, -0.5)], PaperConfig(daily_limit=0)) == {"final": 125.0, "taken": 2, "halted_days": 0, "max_drawdown": 0.75, "ruined": False}
+    assert paper_account([(0, -1.0), (1, 1.0)]) == {"final": 0.0, "taken": 1, "halted_days": 0, "max_drawdown": 0.0, "ruined": True}
     assert paper_account([]) == {"final": 500.0, "taken": 0, "halted_days": 0, "max_drawdown": 0.0, "ruined": False}
 
 

@@ -57,7 +57,10 @@ def test_overfit_probability_against_brute_force(spark):
         rank = sum(v <= o[max(i, key=i.get)] for v in o.values()) / 6
         logits.append(math.log(rank / (1 - rank)))
     assert got.splits == 20 and math.isclose(got.pbo, np.mean([x <= 0 for x in logits])) and math.isclose(got.median_logit, sorted(logits)[10])
-    assert [stats.block_count(n) for n in (100, 20, 9, 7)] == [16, 10, 4, 0]
+    n = spark.createDataFrame([(k, n) for k, n in enumerate((100, 20, 15, 9, 7, 4, 3))], "k int, n int").orderBy("k")
+    assert [r.b for r in n.select(stats.fitting_blocks(F.col("n")).alias("b")).collect()] == [16, 16, 12, 8, 6, 4, None]
+    e = spark.createDataFrame([("few", 1.0, 2.0)] * 2 + [("flat", 0.0, 2.0)] * 3 + [("ok", 2.0, -3.0)] * 3, "k string, size double, ret double")
+    assert {r.k: r.factor for r in stats.expected_move(e, ["k"], "size", "ret").collect()} == {"few": 3.0, "flat": 3.0, "ok": 1.5}
 
 
 def test_ranks_folds_and_streaks(spark):
@@ -143,8 +146,10 @@ def test_discoveries_and_distance(spark):
 def test_gates_and_sequences(spark):
     s = spark.createDataFrame([("A", k, k, 1) for k in range(20)], "k string, ts bigint, no bigint, side int")
     assert [x.no for x in anomaly.rate_limited(s, "k", 10, 20).orderBy("ts").collect()] == [0, 1, 10, 11]
-    p = spark.createDataFrame([("A", k, k, k % 3, 1.0) for k in range(40)], "k string, ts bigint, no bigint, kind_no int, strength double")
-    got = anomaly.repeated_patterns(p, "k", 5, 10).orderBy("ts").collect()
-    assert [x.no for x in got][:2] == [7, 17] and got[0].freq == 2
+    p = spark.createDataFrame([("A", k, k, k % 3, 0, 3.0) for k in range(40)] + [("B", k, k, 1, 0, 3.0) for k in range(40)] + [("C", k, k, k % 3, 0, 1.0) for k in range(40)], "k string, ts bigint, no bigint, kind_no int, tag int, avg_z double")
+    got = anomaly.repeated_patterns(p, "k", 20).orderBy("ts").collect()
+    # three sequences of five bars, each counted from bar 4, 5, 6 on and again every third bar; one kind only or weak bars are none
+    assert {x.k for x in got} == {"A"} and [(x.no, x.freq) for x in got][:5] == [(7, 2), (8, 2), (9, 2), (10, 3), (11, 3)] and len({x.pattern for x in got}) == 3
+    assert math.isclose(got[0].score, 0.6 * 0.4 + 0.4 * 0.6)
     b = spark.createDataFrame([("A", k, k, push, ab, sp) for k, (push, ab, sp) in enumerate([(0.1, 0.0, 1.0), (0.9, 0.0, 3.0), (0.2, 1.5, 4.0), (0.1, 0.0, 2.0), (0.9, 0.0, 1.0)])], "k string, ts bigint, no bigint, push double, absorb double, speed double")
     assert [(x.no, x.side) for x in anomaly.causal_absorption(b, "k").collect()] == [(3, -1)]
