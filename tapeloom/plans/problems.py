@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.clean import day_start, e8, side_name
 from tapeloom.operators.changefeed import apply_changes
-from tapeloom.operators.drift import bar_cells, column_catalogue, consistent_table, lifespans, schema_changes
+from tapeloom.operators.drift import bar_cells, column_catalogue, consistent_bars, consistent_table, lifespans, schema_changes
 from tapeloom.operators.grid import regular_grid
 from tapeloom.operators.late import late_corrected
 from tapeloom.operators.nearest import nearest_in_time
@@ -39,6 +39,11 @@ def p2_lifespans(spark: SparkSession, d: str) -> DataFrame:
     return lifespans(column_catalogue(bar_cells(table(spark, d, "raw_bar_line"))))
 
 
+def p2_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of all bars with a row per bar and field."""
+    return consistent_bars(bar_cells(table(spark, d, "raw_bar_line")))
+
+
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return consistent_table(bar_cells(table(spark, d, "raw_bar_line")))
 
@@ -106,5 +111,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p1_found, p1_series, p2_found, p2_lifespans, p2_table, p3_found, p4_found, p4_bars, p5_found, p5_faults, p6_found, p7_found]
+    names = [p1_found, p1_series, p2_found, p2_lifespans, p2_bars, p2_table, p3_found, p4_found, p4_bars, p5_found, p5_faults, p6_found, p7_found]
     return {f.__name__: f for f in names}

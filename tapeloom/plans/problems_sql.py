@@ -60,7 +60,7 @@ LINES = r"""
   long0 as (
     select feed_id, file_seq, line_no, cells[list_position(names, 'ts')] as ts, unnest(names) as field, unnest(cells) as x from data),
   cells as (
-    select feed_id, file_seq, ts, field, case when lower(x) not in ('', 'nan', 'null', 'n/a') then x end as x,
+    select feed_id, file_seq, line_no, ts, field, case when lower(x) not in ('', 'nan', 'null', 'n/a') then x end as x,
            try_cast(regexp_replace(replace(x, ',', ''), '\s*[A-Za-z%]*$', '') as double) as q
     from long0 where field <> 'ts'),
   types as (
@@ -73,8 +73,7 @@ LINES = r"""
            row_number() over (partition by feed_id order by file_seq) as file_no
     from (select distinct feed_id, file_seq from files))"""
 
-P2_FOUND = f"""
-with {LINES},
+P2_PAIRS = """
 now_ as (select s.feed_id, s.file_seq, t.field, t.type from seqs s join types t using (feed_id, file_seq) where prev is not null),
 old_ as (select s.feed_id, s.file_seq, t.field, t.type from seqs s join types t on t.feed_id = s.feed_id and t.file_seq = s.prev),
 come as (select * from now_ anti join old_ using (feed_id, file_seq, field)),
@@ -84,7 +83,11 @@ pairs as (
   from seqs s join gone g using (feed_id, file_seq) join come c using (feed_id, file_seq)
   where (select count(*) filter (abs(a.q - b.q) <= 1e-8 * abs(a.q)) > 0 and count(*) filter (not (abs(a.q - b.q) <= 1e-8 * abs(a.q))) = 0
          from cells a join cells b on a.feed_id = b.feed_id and a.ts = b.ts
-         where a.feed_id = s.feed_id and a.file_seq = s.prev and a.field = g.field and b.file_seq = s.file_seq and b.field = c.field))
+         where a.feed_id = s.feed_id and a.file_seq = s.prev and a.field = g.field and b.file_seq = s.file_seq and b.field = c.field))"""
+
+P2_FOUND = f"""
+with {LINES},
+{P2_PAIRS}
 select feed_id, file_seq, 'renamed' as change_kind, old_field, new_field from pairs
 union all select feed_id, file_seq, 'retyped', old_field, new_field from pairs where old_type <> new_type
 union all select n.feed_id, n.file_seq, 'retyped', n.field, n.field from now_ n join old_ o using (feed_id, file_seq, field) where n.type <> o.type
@@ -92,6 +95,30 @@ union all select feed_id, file_seq, 'added', '', field from come where (feed_id,
 union all select feed_id, file_seq, 'removed', field, '' from gone where (feed_id, file_seq, field) not in (select (feed_id, file_seq, old_field) from pairs)
 """
 
+P2_BARS = f"""
+with recursive {LINES}, {P2_PAIRS},
+named as (select t.feed_id, t.field, s.file_no from types t join seqs s using (feed_id, file_seq)),
+moves as (select p.feed_id, s.file_no, old_field, new_field from pairs p join seqs s using (feed_id, file_seq)),
+walk as (
+  select feed_id, field, file_no, field as at_, file_no as at_no from named
+  union all
+  select w.feed_id, w.field, w.file_no, coalesce(m.new_field, n.field), w.at_no + 1
+  from walk w left join moves m on m.feed_id = w.feed_id and m.old_field = w.at_ and m.file_no = w.at_no + 1 left join named n on n.feed_id = w.feed_id and n.field = w.at_ and n.file_no = w.at_no + 1
+  where m.new_field is not null or n.field is not null),
+canon as (select feed_id, field, file_no, arg_max(at_, at_no) as canon from walk group by all),
+sy as (select feed_id, file_seq, line_no, raw_line, min(symbol) as symbol from raw_bar_line group by all),
+vals as (
+  select c.feed_id, (select min(symbol) from sy where sy.feed_id = c.feed_id and sy.file_seq = c.file_seq and sy.line_no = c.line_no) as symbol, try_cast(c.ts as bigint) as ts, s.file_no, canon.canon, c.field = canon.canon as own, c.field, c.x, c.q,
+    case when c.x is null then null when c.q is null then 2 when c.q = floor(c.q) and not regexp_matches(c.x, '[.eE]') then 0 else 1 end as k
+  from cells c join seqs s using (feed_id, file_seq) join canon on canon.feed_id = c.feed_id and canon.field = c.field and canon.file_no = s.file_no where try_cast(c.ts as bigint) is not null),
+kinds as (select canon, coalesce(max(k), 0) as k from vals group by canon),
+each_ as (
+  select feed_id, symbol, ts, canon, file_no, arg_min((x, q), (not own, field, x)) as v, count(distinct coalesce(cast(q as varchar), x)) > 1 as conflict
+  from vals where x is not null group by all),
+last_ as (select feed_id, symbol, ts, canon, arg_max(v, file_no) as v, arg_max(conflict, file_no) as conflict, count(*) as n_files from each_ group by all)
+select feed_id, symbol, ts, canon as field, ['int', 'double', 'string'][k + 1] as type, case when k < 2 then v[2] end as number, case when k = 2 then v[1] end as text, conflict, n_files from last_ join kinds using (canon)
+"""
+
 P2_LIFESPANS = f"""
 with {LINES},
 numbered as (
@@ -219,4 +246,4 @@ x as (select coin, ts as t, src_ordinal as o from trade join instrument using (s
 
 def oracle_sql() -> dict[str, str]:
     g = globals()
-    return {k.lower(): g[k] for k in ("P1_FOUND", "P1_SERIES", "P2_FOUND", "P2_LIFESPANS", "P3_FOUND", "P4_FOUND", "P4_BARS", "P5_FOUND", "P5_FAULTS", "P6_FOUND", "P7_FOUND")}
+    return {k.lower(): g[k] for k in ("P1_FOUND", "P1_SERIES", "P2_FOUND", "P2_LIFESPANS", "P2_BARS", "P3_FOUND", "P4_FOUND", "P4_BARS", "P5_FOUND", "P5_FAULTS", "P6_FOUND", "P7_FOUND")}
