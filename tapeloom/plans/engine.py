@@ -69,7 +69,7 @@ def pattern_counter(spark: SparkSession, d: str) -> DataFrame:
     top = _numbered(z, "sym").withColumn("kinds", kinds).where(F.size("kinds") > 0).withColumn("top", F.array_max("kinds"))
     strength = F.when(F.col("top.s") < 1.6, 0).when(F.col("top.s") < 2.5, 1).otherwise(2)
     mean = F.aggregate("kinds", F.lit(0.0), lambda a, x: a + x["s"]) / F.size("kinds")
-    return anomaly.repeated_patterns(top.select("sym", "ts", "no", F.col("top.k").alias("kind_no"), (F.col("top.up") * 3 + strength).alias("tag"), mean.alias("avg_z")), "sym")
+    return anomaly.repeated_patterns(top.select("sym", "ts", "no", F.col("top.k").alias("kind_no"), (F.col("top.up") * 3 + strength).alias("tag"), mean.alias("avg_z")), "sym", 8)
 
 
 @query()
