@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,54 +31,99 @@ def squeeze(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class LeakParams:
+    """How much damage is expected and what share of the damaged runs must be found; the hashes follow from it (hashes())."""
+
     min_words: int = 12
+    recall: float = 0.95  # of the runs of run_letters letters with a share `misread` of them wrong
+    misread: float = 0.06
+    run_letters: int = 66
     steps: int = 64  # of the random walk: about half as many characters
-    sampled: int = 12  # positions of the embedding in one hash
-    embeddings: int = 2
+    sampled: int = 7  # positions of the embedding in one hash
     samples: int = 5  # hashes per embedding
     stride: int = 12  # characters between the windows of a page; items have one at each character
     verify: int = 32  # characters of a seed that are verified
     max_edits: int = 5
     anchor: int = 5  # exact match that counts beside a verified seed
-    far_anchor: int = 14  # and up to jump characters from one, behind an advert or a column's end
-    jump: int = 500
-    max_damage: float = 0.12  # edits for each character of a printed run
+    far_anchor: int = 12  # and anywhere on the page, behind an advert or a column's end; at most 12, so that it fits a number
+    max_damage: float = 0.14  # edits for each character of a printed run
+    loose: float = 2.0  # edits in a word inside a run, or
+    loose_share: float = 0.5  # this share of its letters
+    gap_edits: int = 2  # between two exact stretches, or
+    gap_share: float = 0.6
     item_chunk: int = 2000  # items whose index one worker holds at once; more items take more passes
 
 
+SEAM = 8  # letters at most between the parts of a run that the page prints in two places
 PAD = 80  # beyond the end of each text, code 0
 
 
-def _tables(p: LeakParams) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The walk's random bits (embedding, step, code) and each embedding's sampled steps (sample, step: 0 or 1)."""
-    rng = np.random.default_rng(20240917)
-    bits = rng.integers(0, 2, (p.embeddings, p.steps, 64), dtype=np.int32)
-    picks = []
-    for _ in range(p.embeddings):
-        chosen = np.zeros((p.samples, p.steps), bool)
-        for s in range(p.samples):
-            chosen[s, rng.choice(p.steps, p.sampled, replace=False)] = True
-        picks.append(chosen)
-    return bits, picks
-
+@cache
+def hashes(p: LeakParams) -> int:
+    """The embeddings of p.samples hashes each that reach p.recall.
 
-def embed_hashes(flat: np.ndarray, starts: np.ndarray, p: LeakParams) -> Iterator[np.ndarray]:
-    """For each hash function the hashes of the windows at starts.
+    Random texts are misread as said; a run is found if a page window and the item window it came from agree in any hash.
+    Windows without errors always agree, so this is about the damaged ones.
+    """
+    rng = np.random.default_rng(7)
+    texts = 600
+    share = rng.dirichlet(np.full(26, 1.5))
+    item = (rng.choice(26, (texts, p.run_letters + PAD), p=share) + 11).astype(np.uint8)  # behind the run both texts go on in their own way
+    pages, origin = [], []
+    for t in item:
+        out, came = [], []
+        for k in range(p.run_letters):
+            kind = rng.random() / p.misread
+            if kind < 0.15:
+                continue
+            out.append(rng.integers(11, 37) if kind < 0.85 else t[k])
+            came.append(k)
+            if 0.85 <= kind < 1:
+                out.append(rng.integers(11, 37))
+                came.append(k)
+        pages.append(np.concatenate([np.array(out, np.uint8), (rng.choice(26, PAD, p=share) + 11).astype(np.uint8)]))
+        origin.append(came)
+    flat, base = np.concatenate(pages), np.cumsum([0, *map(len, pages)])
+    own = [(k, i) for k, came in enumerate(origin) for i in range(k % p.stride, max(1, len(came) - p.verify + 1), p.stride)]
+    starts = np.array([base[k] + i for k, i in own], np.int64)
+    theirs = np.array([k * item.shape[1] + origin[k][i] for k, i in own], np.int64)
+    run = np.array([k for k, _ in own])
+    found = np.zeros(texts, bool)
+    for e in range(1, 9):
+        only = range(e - 1, e)
+        for h, g in zip(embed_hashes(flat, starts, p, only), embed_hashes(item.ravel(), theirs, p, only), strict=True):
+            found[run[h == g]] = True
+        if found.mean() >= p.recall:
+            return e
+    raise ValueError(f"no eight embeddings reach a recall of {p.recall}: fewer sampled positions or a smaller stride would")
+
+
+def _tables(p: LeakParams, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random bits (step, code) of walk e and its sampled steps (sample, step: 0 or 1)."""
+    rng = np.random.default_rng((20240917, e))
+    chosen = np.zeros((p.samples, p.steps), bool)
+    bits = rng.integers(0, 2, (p.steps, 64), dtype=np.int32)
+    for s in range(p.samples):
+        chosen[s, rng.choice(p.steps, p.sampled, replace=False)] = True
+    return bits, chosen
+
+
+def embed_hashes(flat: np.ndarray, starts: np.ndarray, p: LeakParams, embeddings: range | None = None) -> Iterator[np.ndarray]:
+    """For each hash function of the embeddings (all: hashes(p)) the hashes of the windows at starts.
 
     CGK: a pointer walks over the text; at each step the character under it is put out and the pointer
     moves on or stays by a random bit of (step, character). Two texts at a small edit distance get
     walks that meet again, so that their outputs are at a small Hamming distance; a hash is a sample of positions.
     """
-    bits, picks = _tables(p)
-    for e in range(p.embeddings):
+    for e in range(hashes(p)) if embeddings is None else embeddings:
+        bits, picks = _tables(p, e)
         ptr = starts.astype(np.int32)
         acc = np.zeros((p.samples, len(starts)), np.uint64)
         for j in range(p.steps):
             c = flat[ptr]
-            for s in np.nonzero(picks[e][:, j])[0]:
+            for s in np.nonzero(picks[:, j])[0]:
                 acc[s] *= np.uint64(0x9E3779B97F4A7C15)
                 acc[s] += c
-            ptr += bits[e, j][c]
+            ptr += bits[j][c]
         for s in range(p.samples):
             x = acc[s] ^ (acc[s] >> np.uint64(29))
             yield x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(32))
@@ -123,6 +169,16 @@ def _edits(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
+def grams(text: bytes, k: int) -> np.ndarray:
+    """Each stretch of k letters as a number."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(x) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = out * np.uint64(37) + x[i : i + n]
+    return out
+
+
 class ItemIndex:
     """Hash tables over the windows of the items, one at each character."""
 
@@ -131,6 +187,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.text: list[bytes] = []
         self.word: list[np.ndarray] = []
+        self.grams: list[np.ndarray] = []
         flat, owner, start = [], [], []
         at = 0
         for k, (_, words) in enumerate(items):
@@ -138,6 +195,7 @@ class ItemIndex:
             parts = [w for w in parts if w]
             t = b"".join(parts)
             self.text.append(t)
+            self.grams.append(grams(t, p.far_anchor))
             self.word.append(np.repeat(np.arange(len(parts)), [len(w) for w in parts]) if parts else np.zeros(0, int))
             flat.append(t + bytes(PAD))
             n = max(0, len(t) - p.verify + 1)
@@ -185,46 +243,65 @@ class ItemIndex:
         return win[ok], itm[ok]
 
 
-def printed_run(item: bytes, word: np.ndarray, page: bytes, diagonals: set[int], p: LeakParams) -> bool:
+def _stretches(item: np.ndarray, page: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, int]]:
+    """All maximal stretches of k equal letters or more as (item start, item end, diagonal). item, page: their grams; the page's sorted, with their places."""
+    sorted_, place = page
+    a, b = np.searchsorted(sorted_, item, "left"), np.searchsorted(sorted_, item, "right")
+    count = b - a
+    i = np.repeat(np.arange(len(item)), count)
+    j = place[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)]
+    d = j - i
+    order = np.lexsort((i, d))
+    d, i = d[order], i[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)]) if len(d) else np.zeros(0, bool)
+    first = np.nonzero(new)[0]
+    last = np.concatenate([first[1:], [len(d)]]) - 1 if len(first) else first
+    return list(zip(i[first].tolist(), (i[last] + k).tolist(), d[first].tolist(), strict=True))
+
+
+def printed_run(item: bytes, word: np.ndarray, page: bytes, diagonals: set[int], p: LeakParams, far: list[tuple[int, int, int]] | None = None) -> bool:
     """Whether the page prints min_words of the item's words one after the other.
 
-    Exact matches near the diagonals of verified seeds, and longer ones anywhere on the page, cover
-    parts of the item. A gap between two of them counts as printed if the page has as little there and
-    the edit distance says it is the same text misread; where the page jumps (an advert, the next column)
-    the parts must adjoin in the item. A word counts with an edit for each four characters
-    at most, or one; the edits of a run of min_words may be max_damage of its characters at most.
+    Exact matches of `anchor` letters near the diagonals of verified seeds and of longer ones, and those of far_anchor letters anywhere
+    on the page (far), cover parts of the item. A gap between two of them counts as printed if the page has as little there and the edit
+    distance says it is the same text misread; where the page jumps (an advert of any length, the next column) the parts must
+    adjoin in the item, or nearly so if the letters between them are there, and one of them must hold a seed. The edits of a run of min_words may be max_damage of its letters at most; of a word within loose_share of
+    its letters, or `loose`, may be wrong, of the first and the last word a quarter.
     """
     n = len(item)
-    found: list[tuple[int, int, int]] = []  # item start, item end, diagonal
+    lengths = np.bincount(word)
+    m = p.min_words
+    if len(lengths) < m:
+        return False
+    window = lambda x: np.convolve(x, np.ones(m), "valid")
+    # a run that passes has so many edits at most; a gap without five equal letters in a row has one in five letters at least
+    budget = int(p.max_damage * window(lengths).max())
+    longest = p.anchor * (budget + 1)
+    if far is None:
+        g = grams(page, p.far_anchor)
+        order = np.argsort(g, kind="stable")
+        far = _stretches(grams(item, p.far_anchor), (g[order], order), p.far_anchor)
+    seeded = lambda d: any(abs(d - x) <= budget for x in diagonals)
+    solid = [x for x in far if seeded(x[2])]  # item start, item end, diagonal
+    # behind an advert the text goes on where a part with a seed ends, and before one it ends where such a part begins
+    found = solid + [x for x in far if not seeded(x[2]) and any((x[0] <= e + SEAM < x[1] and x[2] > d) or (x[0] < s - SEAM <= x[1] and x[2] < d) for s, e, d in solid)]
     k = p.anchor
-    reach = sorted({d + s for d in diagonals for s in range(-6, 7)})
+    reach = sorted({d + s for d in diagonals for s in range(-budget, budget + 1)})
     a = np.frombuffer(item, np.uint8)
     b = np.frombuffer(bytes(n + 8) + page + bytes(n + 8), np.uint8)
     shift = np.array([d for d in reach if -n < d < len(page)], np.int64)
-    same = np.zeros((len(shift), n + 2), np.int8)
-    same[:, 1:-1] = a == b[(n + 8 + shift)[:, None] + np.arange(n)]
-    step = np.diff(same, axis=1)
-    row, s = np.nonzero(step == 1)
-    e = np.nonzero(step == -1)[1]
-    long = e - s >= k
-    found += zip(s[long].tolist(), e[long].tolist(), shift[row[long]].tolist(), strict=True)
-    k = p.far_anchor
-    lo, hi = min(diagonals) - p.jump, max(diagonals) + p.jump + k
-    open_ = np.ones(n + 1, bool)
-    for x, y, _ in found:
-        open_[x:y] = False
-    until = 0
-    for i in np.nonzero(open_[: n - k + 1] | open_[k : n + 1])[0].tolist() if n >= k else ():
-        if i < until or (j := page.find(item[i : i + k], max(0, i + lo), max(0, i + hi))) < 0:
-            continue
-        y = i + k
-        while y < n and j + y - i < len(page) and item[y] == page[j + y - i]:
-            y += 1
-        found.append((i, y, j - i))
-        until = y - k + 1
+    for at in range(0, len(shift), 256):
+        some = shift[at : at + 256]
+        same = np.zeros((len(some), n + 2), np.int8)
+        same[:, 1:-1] = a == b[(n + 8 + some)[:, None] + np.arange(n)]
+        step = np.diff(same, axis=1)
+        row, s = np.nonzero(step == 1)
+        e = np.nonzero(step == -1)[1]
+        long = e - s >= k
+        found += zip(s[long].tolist(), e[long].tolist(), some[row[long]].tolist(), strict=True)
     if not found:
         return False
-    found.sort()
+    found = sorted(set(found))
     covered = np.zeros(n, bool)
     for s, e, _ in found:
         covered[s:e] = True
@@ -235,22 +312,23 @@ def printed_run(item: bytes, word: np.ndarray, page: bytes, diagonals: set[int],
         ends[e].add(d)
     edge = np.diff(np.concatenate([[1], covered.astype(np.int8), [1]]))
     for s, e in zip(np.nonzero(edge == -1)[0].tolist(), np.nonzero(edge == 1)[0].tolist(), strict=True):
-        if s == 0 or e >= n or e - s > 20:
+        if s == 0 or e >= n or e - s > longest:
             continue
-        near = [(s + d0, e + d1) for d0 in ends[s] for d1 in starts[e] if abs(d1 - d0) <= 6 and e + d1 >= s + d0]
+        near = {(s + d0, e + d1) for d0 in ends[s] for d1 in starts[e] if abs(d1 - d0) <= budget and e + d1 >= s + d0}
         edits = min((_edits(item[s:e], page[i:j]) for i, j in near), default=99)
-        if edits <= max(1, 0.34 * (e - s)) or (e - s <= 2 and not near):
+        if edits > max(p.gap_edits, p.gap_share * (e - s)) and e - s <= SEAM:
+            # the page jumps here: some of the letters stand before the jump, the others behind it
+            far_ = [(s + d0, e + d1) for d0 in ends[s] for d1 in starts[e] if abs(d1 - d0) > budget]
+            edits = min((_edits(item[s : s + k], page[i : i + k]) + _edits(item[s + k : e], page[j - (e - s - k) : j]) for i, j in far_ for k in range(e - s + 1)), default=99)
+            edits = edits if edits <= max(1, 0.34 * (e - s)) else 99
+        if edits <= max(p.gap_edits, p.gap_share * (e - s)):
             covered[s:e] = True
             cost[s:e] = min(edits, e - s) / (e - s)
-    lengths = np.bincount(word)
     edits_in = np.bincount(word, weights=cost)
-    full = edits_in <= np.maximum(np.minimum(1, 0.5 * lengths), 0.25 * lengths)
-    m = p.min_words
-    if len(full) < m:
-        return False
-    window = lambda x: np.convolve(x, np.ones(m), "valid")
+    strict = edits_in <= 0.25 * lengths
+    full = edits_in <= np.maximum(p.loose, p.loose_share * lengths)
     damage = window(edits_in) / window(lengths)
-    return bool(((window(full) > m - 0.5) & (damage <= p.max_damage)).any())
+    return bool(((window(full) > m - 0.5) & strict[: len(strict) - m + 1] & strict[m - 1 :] & (damage <= p.max_damage)).any())
 
 
 def pages_with_items(texts: list[str], at: tuple, index: ItemIndex) -> Iterator[tuple[int, int]]:
@@ -274,8 +352,13 @@ def pages_with_items(texts: list[str], at: tuple, index: ItemIndex) -> Iterator[
         diag = (starts[k + win] - base[pg]) - (index.start[itm] - index.base[own])
         for a, b, d in set(zip(pg.tolist(), own.tolist(), diag.tolist(), strict=True)):
             found[a, b].add(d)
+    at_page, gram = -1, None
     for (a, b), diagonals in sorted(found.items()):
-        if printed_run(index.text[b], index.word[b], pages[a], diagonals, p):
+        if a != at_page:
+            g = grams(pages[a], p.far_anchor)
+            order = np.argsort(g, kind="stable")
+            at_page, gram = a, (g[order], order)
+        if printed_run(index.text[b], index.word[b], pages[a], diagonals, p, _stretches(index.grams[b], gram, p.far_anchor)):
             yield a, index.ids[b]
 
 

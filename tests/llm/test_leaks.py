@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tapeloom.llm.leaks import ItemIndex, LeakParams, _edits, embed_hashes, leaked_items, prefix_edits, squeeze
+from tapeloom.llm.layout import boxes
+from tapeloom.llm.leaks import ItemIndex, LeakParams, _edits, _stretches, embed_hashes, grams, hashes, leaked_items, pages_with_items, prefix_edits, squeeze
 
 WORDS = [a + b + c for a in ("ba", "ko", "li", "mu", "re", "sto") for b in ("nda", "rvi", "lte", "ppo", "cks", "sse") for c in ("n", "ro", "tal", "my", "ched")]
 BOX = "array<struct<x0:int,y0:int,x1:int,y1:int,conf:int>>"
@@ -90,7 +92,7 @@ def test_hashes_find_edited_windows(edits):
     """Recall of one window with a few edits; a passage has several windows."""
     r = random.Random(8)
     p = LeakParams()
-    found = 0
+    found, range_ = 0, range(4)
     for _ in range(200):
         text = squeeze("".join(prose(r, 20)))[:80]
         other = bytearray(text)
@@ -98,9 +100,57 @@ def test_hashes_find_edited_windows(edits):
             k = r.randrange(4, 40)
             other[k : k + 1] = r.choice([b"", bytes([r.randrange(1, 36)]), bytes([other[k], r.randrange(1, 36)])])
         flats = [np.frombuffer(bytes(x) + bytes(80), np.uint8) for x in (text, other)]
-        hashes = [list(embed_hashes(f, np.zeros(1, np.int64), p)) for f in flats]
+        hashes = [list(embed_hashes(f, np.zeros(1, np.int64), p, range_)) for f in flats]
         found += any(x[0] == y[0] for x, y in zip(*hashes, strict=True))
-    assert found >= (120 if edits == 1 else 60)
+    assert found >= (185 if edits == 1 else 150)
+
+
+def test_as_many_hashes_as_the_recall_needs():
+    few, many = hashes(LeakParams(recall=0.8)), hashes(LeakParams(recall=0.97, misread=0.12))
+    assert 1 <= few <= many
+    assert len(ItemIndex([(1, " ".join(WORDS[:20]))], LeakParams()).tables) == 5 * hashes(LeakParams())
+    with pytest.raises(ValueError):
+        hashes(LeakParams(recall=0.999, misread=0.4, sampled=20))
+
+
+def _share(cases, noise, cut, advert, seed=1):
+    """Of `cases` pages that print 14 words in a row, how many are found; cut: words before an advert of so many words."""
+    r = random.Random(seed)
+    items = [(k, " ".join(prose(r, 60))) for k in range(cases)]
+    texts = []
+    for _, words in items:
+        w = words.split()
+        at = r.randrange(0, len(w) - 14)
+        run_ = w[at : at + 14]
+        t = [*prose(r, 60), *run_[:cut], *prose(r, advert), *run_[cut:], *prose(r, 60)]
+        texts.append("\n".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and r.random() < noise else c for c in w) for w in t))
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("x0", "y0", "x1", "y1", "conf")]))
+    got = set(pages_with_items(texts, boxes(pa.array([None] * cases, kind)), ItemIndex(items, LeakParams())))
+    assert all(a == b for a, b in got)
+    return len(got) / cases
+
+
+@pytest.mark.parametrize(("noise", "cut", "advert", "least"), [(0, 0, 0, 1.0), (0.03, 0, 0, 0.95), (0.06, 0, 0, 0.9), (0, 7, 60, 0.97), (0, 7, 300, 0.97), (0, 10, 110, 0.97), (0, 11, 300, 0.95), (0.03, 10, 110, 0.8)])
+def test_recall_of_misread_and_cut_runs(noise, cut, advert, least):
+    assert _share(150, noise, cut, advert) >= least
+
+
+def test_stretches_are_all_equal_runs():
+    r = random.Random(3)
+    a, b = (bytes(r.choice(range(1, 4)) for _ in range(n)) for n in (60, 90))
+    g = grams(b, 4)
+    order = np.argsort(g, kind="stable")
+    want = set()
+    for d in range(-60, 90):
+        s = 0
+        while s < 60:
+            e = s
+            while e < 60 and 0 <= e + d < 90 and a[e] == b[e + d]:
+                e += 1
+            if e - s >= 4:
+                want.add((s, e, d))
+            s = max(e, s + 1)
+    assert set(_stretches(grams(a, 4), (g[order], order), 4)) == want
 
 
 def test_index_without_items():
