@@ -46,7 +46,7 @@ class LeakParams:
     anchor: int = 5  # exact match that counts beside a verified seed
     far_anchor: int = 12  # and anywhere on the page, behind an advert or a column's end; at most 12, so that it fits a number
     max_damage: float = 0.14  # edits for each character of a printed run
-    loose: float = 2.0  # edits in a word inside a run, or
+    loose: float = 1.0  # edits in a word inside a run, or
     loose_share: float = 0.5  # this share of its letters
     gap_edits: int = 2  # between two exact stretches, or
     gap_share: float = 0.6
@@ -266,7 +266,7 @@ def printed_run(item: bytes, word: np.ndarray, page: bytes, diagonals: set[int],
     on the page (far), cover parts of the item. A gap between two of them counts as printed if the page has as little there and the edit
     distance says it is the same text misread; where the page jumps (an advert of any length, the next column) the parts must
     adjoin in the item, or nearly so if the letters between them are there, and one of them must hold a seed. The edits of a run of min_words may be max_damage of its letters at most; of a word within loose_share of
-    its letters, or `loose`, may be wrong, of the first and the last word a quarter.
+    its letters, or `loose`, may be wrong, of the first and the last word and of numbers a quarter.
     """
     n = len(item)
     lengths = np.bincount(word)
@@ -310,25 +310,33 @@ def printed_run(item: bytes, word: np.ndarray, page: bytes, diagonals: set[int],
     for s, e, d in found:
         starts[s].add(d)
         ends[e].add(d)
+    figures = np.bincount(word, weights=a <= 10) > 0  # texts of one pattern differ in their numbers
+
+    def passes(cost: np.ndarray) -> bool:
+        edits_in = np.bincount(word, weights=cost)
+        strict = edits_in <= 0.25 * lengths
+        full = np.where(figures, strict, edits_in <= np.maximum(p.loose, p.loose_share * lengths))
+        damage = window(edits_in) / window(lengths)
+        return bool(((window(full) > m - 0.5) & strict[: len(strict) - m + 1] & strict[m - 1 :] & (damage <= p.max_damage)).any())
+
     edge = np.diff(np.concatenate([[1], covered.astype(np.int8), [1]]))
-    for s, e in zip(np.nonzero(edge == -1)[0].tolist(), np.nonzero(edge == 1)[0].tolist(), strict=True):
-        if s == 0 or e >= n or e - s > longest:
-            continue
+    gaps = [(s, e) for s, e in zip(np.nonzero(edge == -1)[0].tolist(), np.nonzero(edge == 1)[0].tolist(), strict=True) if s > 0 and e < n and e - s <= longest]
+    least = cost.copy()
+    for s, e in gaps:
+        least[s:e] = ((e - s) // k if e - s >= k else 0) / (e - s)
+    if not passes(least):  # not even with the fewest edits that the gaps can have
+        return False
+    for s, e in gaps:
         near = {(s + d0, e + d1) for d0 in ends[s] for d1 in starts[e] if abs(d1 - d0) <= budget and e + d1 >= s + d0}
         edits = min((_edits(item[s:e], page[i:j]) for i, j in near), default=99)
         if edits > max(p.gap_edits, p.gap_share * (e - s)) and e - s <= SEAM:
             # the page jumps here: some of the letters stand before the jump, the others behind it
             far_ = [(s + d0, e + d1) for d0 in ends[s] for d1 in starts[e] if abs(d1 - d0) > budget]
-            edits = min((_edits(item[s : s + k], page[i : i + k]) + _edits(item[s + k : e], page[j - (e - s - k) : j]) for i, j in far_ for k in range(e - s + 1)), default=99)
+            edits = min((_edits(item[s : s + x], page[i : i + x]) + _edits(item[s + x : e], page[j - (e - s - x) : j]) for i, j in far_ for x in range(e - s + 1)), default=99)
             edits = edits if edits <= max(1, 0.34 * (e - s)) else 99
         if edits <= max(p.gap_edits, p.gap_share * (e - s)):
-            covered[s:e] = True
             cost[s:e] = min(edits, e - s) / (e - s)
-    edits_in = np.bincount(word, weights=cost)
-    strict = edits_in <= 0.25 * lengths
-    full = edits_in <= np.maximum(p.loose, p.loose_share * lengths)
-    damage = window(edits_in) / window(lengths)
-    return bool(((window(full) > m - 0.5) & strict[: len(strict) - m + 1] & strict[m - 1 :] & (damage <= p.max_damage)).any())
+    return passes(cost)
 
 
 def pages_with_items(texts: list[str], at: tuple, index: ItemIndex) -> Iterator[tuple[int, int]]:
