@@ -127,12 +127,12 @@ def top_levels(levels: DataFrame, key: str, n: int) -> DataFrame:
     return levels.withColumn("level_no", F.row_number().over(w)).where(F.col("level_no") <= n)
 
 
-def depth_snapshot(levels: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """One row per key and ts: touch, total depth, counts, level arrays best first (at most n a side)."""
+def depth_snapshot(levels: DataFrame, key: str) -> DataFrame:
+    """One row per key and ts: touch, total depth, counts, arrays of all levels best first."""
     def side(name: str) -> Column:
         sign = -1 if name == "bid" else 1
         a = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct((F.col("p8") * sign).alias("o"), "p8", "q8"))))
-        return F.transform(F.slice(a, 1, n), lambda x: F.struct(x["p8"].alias("p8"), x["q8"].alias("q8")))
+        return F.transform(a, lambda x: F.struct(x["p8"].alias("p8"), x["q8"].alias("q8")))
 
     total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("q8"))), F.lit(0))
     g = levels.groupBy(key, "ts").agg(side("bid").alias("bid"), side("ask").alias("ask"), total("bid").alias("bid8"), total("ask").alias("ask8"), F.count_if(F.col("side") == "bid").alias("bid_levels"), F.count_if(F.col("side") == "ask").alias("ask_levels"))
@@ -143,9 +143,12 @@ def _sum(a: Column, field: str = "q8") -> Column:
     return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x[field])
 
 
-def depth_features(snaps: DataFrame, key: str, bands: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
-    """Scalars of a depth snapshot: mid, spread, imbalances (full, top 5, decayed), gaps, bands, concentration, skew, breadth, VWAP mid."""
-    c = F.col
+def depth_features(snaps: DataFrame, key: str, bands: tuple[int, ...] = (1, 3, 5, 10, 20), depth: int = 20) -> DataFrame:
+    """Scalars of a depth snapshot: mid, spread, imbalances (full, top 5, decayed), gaps, bands, concentration, skew, breadth, VWAP mid.
+
+    Bands and totals are over all levels; gaps, the decayed imbalance and the VWAP mid over the `depth` best.
+    """
+    c, best = F.col, lambda s: F.slice(s, 1, depth)
     b0, a0 = c("bid")[0], c("ask")[0]
     mid = (b0["p8"] + a0["p8"]) / 2.0
 
@@ -164,11 +167,11 @@ def depth_features(snaps: DataFrame, key: str, bands: tuple[int, ...] = (1, 3, 5
     skew = lambda s: ratio(c(f"{s}_top58"), c(f"{s}_top208"))
     return x.select(
         key, "ts", mid.alias("mid8"), spread_bps(b0["p8"], a0["p8"]).alias("spread_bps"), imbalance(c("bid8"), c("ask8")).alias("full_imbalance"),
-        imbalance(c("bid_top58"), c("ask_top58")).alias("top5_imbalance"), ratio(decayed(c("bid")) - decayed(c("ask")), decayed(c("bid")) + decayed(c("ask"))).alias("weighted_imbalance"),
-        microprice(b0["p8"].cast("double"), a0["p8"].cast("double"), b0["q8"], a0["q8"]).alias("micro8"), mean(gaps(c("bid"))).alias("mean_bid_gap_bps"), mean(gaps(c("ask"))).alias("mean_ask_gap_bps"),
-        F.coalesce(F.get(gaps(c("bid")), F.lit(0)), F.lit(0.0)).alias("best_bid_gap_bps"), F.coalesce(F.get(gaps(c("ask")), F.lit(0)), F.lit(0.0)).alias("best_ask_gap_bps"),
+        imbalance(c("bid_top58"), c("ask_top58")).alias("top5_imbalance"), ratio(decayed(best("bid")) - decayed(best("ask")), decayed(best("bid")) + decayed(best("ask"))).alias("weighted_imbalance"),
+        microprice(b0["p8"].cast("double"), a0["p8"].cast("double"), b0["q8"], a0["q8"]).alias("micro8"), mean(gaps(best("bid"))).alias("mean_bid_gap_bps"), mean(gaps(best("ask"))).alias("mean_ask_gap_bps"),
+        F.coalesce(F.get(gaps(best("bid")), F.lit(0)), F.lit(0.0)).alias("best_bid_gap_bps"), F.coalesce(F.get(gaps(best("ask")), F.lit(0)), F.lit(0.0)).alias("best_ask_gap_bps"),
         conc("bid").alias("bid_concentration"), conc("ask").alias("ask_concentration"), skew("bid").alias("bid_depth_skew"), skew("ask").alias("ask_depth_skew"),
-        ratio(c("ask8"), c("bid8")).alias("cross_ask_ratio"), (wavg(c("bid")) * c("ask8") / (c("bid8") + c("ask8")) + wavg(c("ask")) * c("bid8") / (c("bid8") + c("ask8"))).alias("vwap_mid8"),
+        ratio(c("ask8"), c("bid8")).alias("cross_ask_ratio"), (wavg(best("bid")) * c("ask8") / (c("bid8") + c("ask8")) + wavg(best("ask")) * c("bid8") / (c("bid8") + c("ask8"))).alias("vwap_mid8"),
         b0["p8"].alias("b8"), a0["p8"].alias("a8"), "bid_levels", "ask_levels", "bid8", "ask8", *band,
     )
 

@@ -17,6 +17,7 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,13 +27,17 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a temporary folder is made.
+    The folder is the one the cluster names in spark.checkpoint.dir; only on one machine (tests)
+    a temporary folder is made where that is unset. On a cluster it would be another folder on each machine: RuntimeError.
+    Spark removes the files when the result is no longer referenced if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tapeloom-"))
     return df.checkpoint()
 
 
