@@ -30,14 +30,14 @@ def snapshot_diff(rows: DataFrame, series: list[str], at: str, key: list[str], v
     Plan: every row goes out twice, as 'new' of its own snapshot and 'old' of the next one, and
     one aggregation by (series, snapshot, key) with a map-side combine compares the row hashes of
     the two sides. Keys spread a hot series over all tasks; the index has one row per snapshot
-    and is broadcast if they are few, so that the aggregation's is the only shuffle of the rows.
+    and is broadcast up to 400,000 of them (some 40 MB), so that the aggregation's is the only shuffle of the rows.
     """
     cols = [*series, at, *key]
     r = rows.select(*cols, F.struct(*version, *values).alias("ver"), F.when(~F.coalesce(absent, F.lit(False)), F.xxhash64(*[F.coalesce(F.col(v).cast("string"), F.lit("\0")) for v in values])).alias("h")).dropna(subset=cols)
     index = snapshot_index(rows, series, at, day_start(F.col(at)))
     sides = F.array(F.struct(F.col("own_at").alias("target"), F.lit(True).alias("new")), F.struct(F.col("next_at").alias("target"), F.lit(False).alias("new")))
     index = cut(index)
-    tagged = r.join(small(index, index.count()), [*series, at]).select(*series, *key, "ver", "h", F.inline(sides)).where("target is not null")
+    tagged = r.join(small(index, index.count(), 400_000), [*series, at]).select(*series, *key, "ver", "h", F.inline(sides)).where("target is not null")
     both = tagged.groupBy(*series, "target", *key).agg(F.expr("max_by(h, ver) filter (where new)").alias("hn"), F.expr("max_by(h, ver) filter (where not new)").alias("ho"))
     kind = F.when(F.col("ho").isNull(), "added").when(F.col("hn").isNull(), "removed").otherwise("changed")
     return both.where("not (hn <=> ho)").select(*series, F.col("target").alias(at), *key, kind.alias("change_kind"))
