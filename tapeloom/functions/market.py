@@ -134,3 +134,56 @@ def wall_outcome(peak: Column, current: Column, traded: Column, share: float = 0
     """'absorbed' if trades explain at least the share of what a wall lost, else 'pulled'."""
     lost = F.greatest(peak - current, F.lit(0.0))
     return F.when((lost > 0) & (traded >= share * lost), "absorbed").otherwise("pulled")
+
+
+def regime_allows(regime: Column, only: str) -> Column:
+    """Whether a filter ('any', 'trending', 'sideways', 'neutral') lets the regime in."""
+    return F.lit(True) if only == "any" else regime == only
+
+
+def passes_magnitude(spike_bps: Column, drop_pct: Column, min_spike_bps: float, min_drop_pct: float) -> Column:
+    """Both legs reach their minimum; a minimum of 0 or less is none."""
+    return (F.lit(min_spike_bps <= 0) | (spike_bps >= min_spike_bps)) & (F.lit(min_drop_pct <= 0) | (drop_pct >= min_drop_pct))
+
+
+def confirms_revert(start: Column, end: Column, fell: Column, least: float) -> Column:
+    """Depth returned to the side that was hit: the imbalance moved towards it by at least so much."""
+    return F.when(fell, end - start).otherwise(start - end) >= least
+
+
+def confirms_trend(start: Column, end: Column, fell: Column, most: float) -> Column:
+    """Depth stayed away from the side that was hit: the imbalance moved towards it by no more than that."""
+    return F.when(fell, end - start).otherwise(start - end) <= most
+
+
+def size_multiplier(dev: Column, threshold: float, cap: float) -> Column:
+    """|dev| against the threshold, from 1 to cap."""
+    return F.when(dev.isNotNull(), F.least(F.greatest(F.abs(dev) / threshold, F.lit(1.0)), F.lit(float(cap))))
+
+
+def defending_depth(imbalance_: Column, push: Column) -> Column:
+    """The share of depth on the side that the pressure (push: 1 buying, -1 selling) runs into."""
+    return F.when(push > 0, (1 - imbalance_) / 2).when(push < 0, (1 + imbalance_) / 2).otherwise(0.0)
+
+
+def pattern_confidence(count: Column, least: int) -> Column:
+    """The confidence of a repeated pattern: 0.65 of its count against the least one, and 0.2, at most 0.85."""
+    return F.least(count / least * 0.65 + 0.2, F.lit(0.85))
+
+
+def parse_flags(text: str) -> list[bool]:
+    """'limit,market' and the like: true, 1, limit, fade; false, 0, market, follow."""
+    known = {"true": True, "1": True, "limit": True, "fade": True, "false": False, "0": False, "market": False, "follow": False}
+    try:
+        return [known[x.strip()] for x in text.split(",")]
+    except KeyError as e:
+        raise ValueError(f"bad flag {e}") from None
+
+
+def parse_regimes(text: str) -> list[str]:
+    """A list of regime filters in any of their spellings."""
+    known = {"any": "any", "trend": "trending", "trending": "trending", "side": "sideways", "sideways": "sideways", "chop": "sideways", "neutral": "neutral", "neut": "neutral"}
+    try:
+        return [known[x.strip().lower()] for x in text.split(",")]
+    except KeyError as e:
+        raise ValueError(f"bad regime {e}") from None

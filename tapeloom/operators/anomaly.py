@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.clean import DAY_MS
@@ -182,3 +182,9 @@ def shuffled_distance(vectors: np.ndarray, seed: int, times: int = 100) -> float
         x = r.permutation(vectors[-1]) * r.choice([-1, 1], vectors.shape[1]) - mean
         out.append(np.sqrt(max(x @ inv @ x, 0)))
     return float(np.mean(out))
+
+
+def gate_per_block(signals: DataFrame, key: str, bars: int, most: int) -> DataFrame:
+    """The first `most` signals of each block of `bars` bars (of the day's numbers no): the count starts anew with each block."""
+    w = Window.partitionBy(key, F.col("ts") - F.pmod("ts", F.lit(DAY_MS)), F.call_function("div", F.col("no"), F.lit(bars).cast("bigint"))).orderBy("no", "ts")
+    return signals.withColumn("nth__", F.row_number().over(w)).where(F.col("nth__") <= most).drop("nth__")

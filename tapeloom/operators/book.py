@@ -217,3 +217,12 @@ def fnv1a(values: np.ndarray) -> int:
     for b in np.asarray(values, "<i8").tobytes():
         h = ((h ^ b) * FNV_PRIME) & U64
     return h
+
+
+def traded_at(walls: DataFrame, trades: DataFrame, key: str) -> DataFrame:
+    """For each wall the trades at exactly its price while it stood: key, side, p8, from_ts, to_ts, trades, traded8, hit8 (by aggressors against it)."""
+    w = walls.select(key, "side", "p8", "from_ts", "to_ts")
+    t = trades.select(key, "p8", F.col("ts").alias("at"), "q8", "sgn")
+    x = w.alias("w").join(t.alias("t"), (F.col(f"w.{key}") == F.col(f"t.{key}")) & (F.col("w.p8") == F.col("t.p8")) & F.col("at").between(F.col("from_ts"), F.col("to_ts")), "left")
+    against = F.col("sgn") == F.when(F.col("side") == "bid", -1).otherwise(1)
+    return x.groupBy(f"w.{key}", "side", "w.p8", "from_ts", "to_ts").agg(F.count("at").alias("trades"), F.coalesce(F.sum("q8"), F.lit(0)).alias("traded8"), F.coalesce(F.sum(F.when(against, F.col("q8"))), F.lit(0)).alias("hit8"))

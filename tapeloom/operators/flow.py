@@ -164,3 +164,27 @@ def wall_flow(events: DataFrame, key: str, n: int) -> DataFrame:
 
 def depth_imbalance(bid8: Column, ask8: Column) -> Column:
     return imbalance(bid8, ask8)
+
+
+def rolling_moments(bars: DataFrame, key: str, x: str, n: int) -> DataFrame:
+    """Mean and sample deviation (0 of one value) of x over the last n bars, this one included."""
+    w = session(key, "ts").rowsBetween(1 - n, 0)
+    return bars.select(key, "ts", x, F.avg(x).over(w).alias("mean"), F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)).alias("sd"))
+
+
+def momentum(samples: DataFrame, key: str, k: int) -> DataFrame:
+    """The return of v over k samples in bps."""
+    return samples.select(key, "ts", ((F.col("v") / F.lag("v", k).over(session(key, "ts")) - 1) * 1e4).alias("momentum"))
+
+
+def multi_reference(rows: DataFrame, key: str, source: str, sources: list[str], price: str) -> DataFrame:
+    """At each row the mean over the named sources of their last price above 0, and of how many; rows before any source's first are left out.
+
+    rows: key, seq, ts, source, price. The sources are a short fixed list: each is one running column.
+    """
+    w = session(key).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when((F.col(source) == s) & (F.col(price) > 0), F.col(price)), True).over(w) for s in sources]
+    x = rows.withColumns({f"last{i}__": c for i, c in enumerate(last)})
+    seen = [F.col(f"last{i}__") for i in range(len(sources))]
+    n = sum((c.isNotNull().cast("int") for c in seen), F.lit(0))
+    return x.select(key, "seq", "ts", n.alias("n_sources"), (sum((F.coalesce(c, F.lit(0.0)) for c in seen), F.lit(0.0)) / n).alias("reference")).where("n_sources > 0")

@@ -194,3 +194,9 @@ def losing_streaks(trips: DataFrame, key: list[str], order: list[str], x: str) -
     t = trips.withColumns({"loss": loss, "isle": F.row_number().over(w) - F.sum(loss).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     runs = t.groupBy(*key, "isle").agg(F.sum("loss").alias("run"), F.sum(1 - F.col("loss")).alias("wins"))
     return runs.groupBy(*key).agg(F.max("run").alias("max_losses"), F.sum("wins").alias("wins"), F.sum("run").alias("losses"))
+
+
+def floor_ranks(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """Mean and the values at index n/10, n/2 and 9n/10 (rounded down) of each group's order."""
+    at = {"p10": F.floor(F.col("n__") / 10), "med": F.floor(F.col("n__") / 2), "p90": F.floor(F.col("n__") * 9 / 10)}
+    return exact_ranks(rows, key, x, at).join(rows.groupBy(*key).agg(F.avg(x).alias("mean")), key)
