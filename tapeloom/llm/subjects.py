@@ -29,7 +29,8 @@ class SubjectParams:
     iterations: int = 2  # of EM over all pages
     sharpness: float = 4.0  # of the posteriors: complement weights are a fraction of log odds
     smoothing: float = 1.0
-    floor: float = 0.6  # posterior from which a sentence counts in EM
+    unlabelled: float = 0.1  # what a sentence of EM over all pages weighs against one of a labelled page
+    folds: int = 3  # of the labelled pages, each calibrated by a model that has not seen its labels
     window: int = 5  # sentences in a row that make an article
     decide: float = 0.5
 
@@ -101,14 +102,10 @@ class Encoded:
         rep = np.repeat(np.arange(len(self.length)), self.length)
         return np.stack([np.bincount(self.tok, weights=post[rep, c], minlength=BUCKETS) for c in range(post.shape[1])])
 
-    def expected_sure(self, post: np.ndarray, floor: float) -> np.ndarray:
-        """The same for sentences whose best posterior reaches the floor, each in its best class."""
-        n = post.shape[1]
-        best = post.argmax(1) if len(post) else np.zeros(0, int)
-        p = post[np.arange(len(post)), best]
-        keep = np.repeat(p >= floor, self.length)
-        where = np.repeat(best, self.length)[keep] * BUCKETS + self.tok[keep]
-        return np.bincount(where, weights=np.repeat(p, self.length)[keep], minlength=n * BUCKETS).reshape(n, BUCKETS)
+    def only(self, pages: np.ndarray) -> Encoded:
+        """The pages of a mask, renumbered."""
+        keep = pages[self.page]
+        return Encoded(self.tok[np.repeat(keep, self.length)], self.length[keep], (np.cumsum(pages) - 1)[self.page[keep]], int(pages.sum()))
 
     def evidence(self, post: np.ndarray, subjects: int, window: int) -> np.ndarray:
         """(page, subject, feature): what the calibration sees."""
@@ -157,12 +154,26 @@ class SubjectModel:
         return np.where(x[..., 1] > 0, out, 0.0)
 
 
-def _calibrate(subjects: list[str], weights: np.ndarray, pages: Encoded, allowed: np.ndarray, p: SubjectParams) -> SubjectModel:
-    """Slopes shared by the subjects, a bias for each, on the labelled pages."""
+def _within(pages: Encoded, weights: np.ndarray, allowed: np.ndarray, p: SubjectParams) -> np.ndarray:
+    """Posteriors of labelled pages' sentences within their labels."""
+    post = pages.posteriors(weights, p.sharpness) * allowed[pages.page]
+    post /= np.maximum(post.sum(1, keepdims=True), 1e-9)
+    return post
+
+
+def _labelled_em(pages: Encoded, start: np.ndarray, allowed: np.ndarray, fixed: np.ndarray, p: SubjectParams) -> np.ndarray:
+    """Weights from the labelled pages alone."""
+    weights = complement_weights(pages.expected(start[pages.page]) + fixed, p.smoothing)
+    for _ in range(p.rounds):
+        weights = complement_weights(pages.expected(_within(pages, weights, allowed, p)) + fixed, p.smoothing)
+    return weights
+
+
+def _calibrate(subjects: list[str], x: np.ndarray, allowed: np.ndarray, weights: np.ndarray) -> SubjectModel:
+    """Slopes shared by the subjects and a bias for each, from the evidence x of pages and their labels."""
     k = len(subjects)
-    x = pages.evidence(pages.posteriors(weights, p.sharpness), k, p.window)
     f = x.shape[-1]
-    one = np.broadcast_to(np.eye(k), (pages.pages, k, k))
+    one = np.broadcast_to(np.eye(k), (len(x), k, k))
     w = _logistic(np.concatenate([x, one], -1).reshape(-1, f + k), allowed.astype(float).reshape(-1))
     return SubjectModel(subjects, weights, w[:f], w[f:])
 
@@ -179,8 +190,9 @@ def _encoded(pages: DataFrame) -> DataFrame:
 def fit_subjects(encoded: DataFrame, labels: DataFrame, subjects: list[str], held_out: list[str], p: SubjectParams) -> SubjectModel:
     """The model from labelled pages (page_id, subject), refined over all encoded pages.
 
-    Sentences are the unit: a page's labels limit what its sentences can be about. Labelled are at most
-    max_labelled pages; a null subject says that a page has none. The driver holds the encoded labelled
+    Sentences are the unit: a page's labels limit what its sentences can be about. In EM every sentence of every page counts
+    in each class by its posterior. The posteriors of pages are calibrated on labelled pages whose labels the weights
+    behind their evidence have not seen. Labelled are at most max_labelled pages; a null subject says that a page has none. The driver holds the encoded labelled
     pages and the model, both bounded; the expected counts of all pages come as one row per bucket.
     """
     k = len(subjects)
@@ -201,12 +213,8 @@ def fit_subjects(encoded: DataFrame, labels: DataFrame, subjects: list[str], hel
     fixed = np.zeros((n, BUCKETS))
     fixed[k] = np.bincount(Encoded.of(toks, lens).tok, minlength=BUCKETS)
 
-    weights = complement_weights(pages.expected(start[pages.page]) + fixed, p.smoothing)
-    for _ in range(p.rounds):
-        post = pages.posteriors(weights, p.sharpness) * allowed[pages.page]
-        post /= np.maximum(post.sum(1, keepdims=True), 1e-9)
-        weights = complement_weights(pages.expected(post) + fixed, p.smoothing)
-
+    weights = _labelled_em(pages, start, allowed, fixed, p)
+    counts = np.zeros((n, BUCKETS))
     sc = encoded.sparkSession.sparkContext
     for _ in range(p.iterations):
         held = sc.broadcast(weights)
@@ -215,7 +223,7 @@ def fit_subjects(encoded: DataFrame, labels: DataFrame, subjects: list[str], hel
             total = np.zeros((n, BUCKETS))
             for batch in batches:
                 e = Encoded.of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                total += e.expected_sure(e.posteriors(held.value, p.sharpness), p.floor)  # noqa: B023
+                total += e.expected(e.posteriors(held.value, p.sharpness))  # noqa: B023
             at = np.nonzero(total.any(0))[0]
             yield pa.record_batch([pa.array(at.astype(np.int32)), *[pa.array(total[c, at]) for c in range(n)]], names=["bucket", *[f"c{c}" for c in range(n)]])
 
@@ -224,13 +232,19 @@ def fit_subjects(encoded: DataFrame, labels: DataFrame, subjects: list[str], hel
         counts = np.zeros((n, BUCKETS))
         at = sums["bucket"].to_numpy()
         for c in range(n):
-            counts[c, at] = sums[f"c{c}"].to_numpy()
+            counts[c, at] = p.unlabelled * sums[f"c{c}"].to_numpy()
         # the labelled pages once more, within their labels
-        post = pages.posteriors(weights, p.sharpness) * allowed[pages.page]
-        post /= np.maximum(post.sum(1, keepdims=True), 1e-9)
-        weights = complement_weights(counts + pages.expected(post) + fixed, p.smoothing)
+        weights = complement_weights(counts + pages.expected(_within(pages, weights, allowed, p)) + fixed, p.smoothing)
         held.destroy()
-    return _calibrate(subjects, weights, pages, allowed[:, :k], p)
+
+    fold = np.arange(pages.pages) % p.folds
+    x = np.zeros((pages.pages, k, 6))
+    for f in range(p.folds):
+        rest, mine = pages.only(fold != f), pages.only(fold == f)
+        w = _labelled_em(rest, start[fold != f], allowed[fold != f], fixed, p)
+        w = complement_weights(counts + rest.expected(_within(rest, w, allowed[fold != f], p)) + fixed, p.smoothing)
+        x[fold == f] = mine.evidence(mine.posteriors(w, p.sharpness), k, p.window)
+    return _calibrate(subjects, x, allowed[:, :k], weights)
 
 
 def page_subjects(pages: DataFrame, labels: DataFrame, subjects: DataFrame, items: DataFrame, page_id: str = "doc_id", params: SubjectParams = SubjectParams()) -> DataFrame:

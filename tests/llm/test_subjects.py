@@ -78,3 +78,15 @@ def test_encoding_keeps_whole_texts():
     post = e.posteriors(np.zeros((1 << 16, 3), np.float32), 4.0)
     assert np.allclose(post, 1 / 3)
     assert e.evidence(post, 2, SubjectParams().window).shape == (4, 2, 6)
+
+
+def test_only_keeps_the_pages_of_the_mask():
+    e = Encoded(np.array([5, 6, 7, 8, 9, 10]), np.array([2, 1, 3]), np.array([0, 1, 2]), 3)
+    x = e.only(np.array([True, False, True]))
+    assert (x.tok.tolist(), x.length.tolist(), x.page.tolist(), x.pages) == ([5, 6, 8, 9, 10], [2, 3], [0, 1], 2)
+
+
+def test_every_sentence_counts_in_each_class_by_its_posterior():
+    e = Encoded(np.array([5, 6, 6]), np.array([2, 1]), np.array([0, 0]), 1)
+    got = e.expected(np.array([[0.25, 0.75], [0.5, 0.5]]))
+    assert got[:, 5].tolist() == [0.25, 0.75] and got[:, 6].tolist() == [0.75, 1.25] and got.sum() == 3
