@@ -171,29 +171,29 @@ class Shell:
             self.send(ts, want * self.c.qty8)
 
 
-def simulate(events: DataFrame, key: str, configs: list[dict], signal: Callable[[dict, str, int], Callable[[tuple], int]]) -> DataFrame:
+def simulate(events: DataFrame, key: str, configs: list[dict], signal: Callable[[dict, str, int], Callable[[tuple], int]], together: int = 256) -> DataFrame:
     """Trips of every configuration over every (key, day): config_id, key, close_ts, open_ts, pnl8, notional8.
 
     events: key, ts, seq, b8, a8 and x, what the signal sees; signal(config, key, day) gives the function that
     is called with (ts, b8, a8, x) for each event in order and returns the side it wants. Events later than the one before
-    raise. Configurations are replicated against the events and folded in parallel by (config, key, day), Arrow
-    batch by batch; the grid is a small table of fixed size.
+    raise. The tape is shuffled and sorted once by (key, day) and each event steps all configurations, Arrow batch by
+    batch; of grids with more than `together` configurations each such part of them reads the tape on its own.
     """
-    spark = events.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(i,) for i in range(len(configs))], "config_id int"))
+    parts = max(1, -(-len(configs) // together))
     day = F.col("ts") - F.pmod("ts", F.lit(DAY_MS))
-    rows = events.select(key, day.alias("day"), "ts", "seq", "b8", "a8", "x").join(grid, how="cross")
-    rows = rows.repartition("config_id", key, "day").sortWithinPartitions("config_id", key, "day", "ts", "seq")
+    rows = events.select(key, day.alias("day"), "ts", "seq", "b8", "a8", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part") if parts > 1 else F.lit(0).alias("part"))
+    rows = rows.repartition("part", key, "day").sortWithinPartitions("part", key, "day", "ts", "seq")
     names = ["config_id", key, "close_ts", "open_ts", "pnl8", "notional8"]
     shells = [ShellConfig(**{k: v for k, v in c.items() if k in ShellConfig.__dataclass_fields__}) for c in configs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = shell = want = None
+        group, steps = None, []
         last = 0
         out: list[tuple] = []
 
         def close() -> None:
-            out.extend((group[1], group[0], t, o, p, n) for t, p, n, o in shell.account.trips)
+            for no, shell, _ in steps:
+                out.extend((no, group[1], t, o, p, n) for t, p, n, o in shell.account.trips)
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [()] * 6
@@ -201,15 +201,17 @@ def simulate(events: DataFrame, key: str, configs: list[dict], signal: Callable[
             return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=names)
 
         for batch in batches:
-            for k, d, t, b, a, x, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)), strict=True):
-                if (k, c, d) != group:
+            for k, d, t, b, a, x, part in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)), strict=True):
+                if (part, k, d) != group:
                     if group is not None:
                         close()
-                    group, shell, want, last = (k, c, d), Shell(shells[c]), signal(configs[c], k, d), t
+                    group, last = (part, k, d), t
+                    steps = [(no, Shell(shells[no]), signal(configs[no], k, d)) for no in range(part * together, min(len(configs), (part + 1) * together))]
                 if t < last:
                     raise ValueError("events go back in time")
                 last = t
-                shell.step(t, b, a, want((t, b, a, x)))
+                for _, shell, want in steps:
+                    shell.step(t, b, a, want((t, b, a, x)))
             if len(out) > 5000:
                 yield flush()
         if group is not None:

@@ -103,6 +103,9 @@ def test_a_coin_flip_loses_about_its_fees(spark):
     assert trips > 100 and paid < free < abs(paid) * 2 and paid < 0
     again = simulate(rows.repartition(7), "coin", configs, signal).groupBy("config_id").sum("pnl8").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    apart = simulate(rows, "coin", configs, signal, together=1).groupBy("config_id").sum("pnl8").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, apart))
+    assert "CartesianProduct" not in (plan := rows.sparkSession._jvm.PythonSQLUtils.explainString(simulate(rows, "coin", configs, signal)._jdf.queryExecution(), "simple")) and "NestedLoop" not in plan
 
 
 def test_overlaps_and_barriers(spark):
