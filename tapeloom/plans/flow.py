@@ -265,9 +265,9 @@ PROFILE = f"""{TRADES}, pl as (select sym, ts {DAY} as day, min(p8) as low8, max
     from tr join pl on tr.sym = pl.sym and tr.ts {DAY} = pl.day group by all)"""
 
 
-def _bins(spark: SparkSession, d: str) -> DataFrame:
-    """Bins of 5 bps of the day's lowest price."""
-    t = trades(spark, d).withColumn("day", F.call_function("div", F.col("ts"), F.lit(DAY_MS).cast("bigint")))
+def _bins(spark: SparkSession, d: str, period_ms: int = DAY_MS) -> DataFrame:
+    """Bins of 5 bps of the day's (or other period's) lowest price."""
+    t = trades(spark, d).withColumn("day", F.call_function("div", F.col("ts"), F.lit(period_ms).cast("bigint")))
     low = t.groupBy("sym", "day").agg(F.min("p8").alias("low8"))
     width = F.greatest(F.call_function("div", F.col("low8"), F.lit(2000).cast("bigint")), F.lit(1))
     b = t.join(low, ["sym", "day"]).withColumn("bin", F.call_function("div", F.col("p8") - F.col("low8"), width.cast("bigint")))

@@ -76,29 +76,29 @@ def sweep_by_regime(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("config_id", "regime").agg(F.count("*").alias("trips"), F.sum("pnl8").alias("pnl8"), F.avg((F.col("pnl8") > 0).cast("double")).alias("win_rate"))
 
 
-@query(f"""with {PROFILE}, mx as (select sym, day, low8, max(vol8) as m8, max(bin) filter (vol8 = mm) as poc from (select *, max(vol8) over (partition by sym, day) as mm from pb) group by all),
+@query(f"""with {PROFILE.replace(DAY, "// 3600000")}, mx as (select sym, day, low8, max(vol8) as m8, max(bin) filter (vol8 = mm) as poc from (select *, max(vol8) over (partition by sym, day) as mm from pb) group by all),
 nd as (select pb.sym, pb.day, pb.low8, bin, vol8, poc from pb join mx on pb.sym = mx.sym and pb.day = mx.day where vol8 > 0 and vol8 < m8 * 0.2),
-nx as (select sym, ts, p8, seq, ts {DAY} as day from tr),
+nx as (select sym, ts, p8, seq, ts // 3600000 as day from tr),
 hit as (select nd.sym, nd.day, bin, poc, nd.low8, arg_min(p8, (ts, seq)) as p8, min(ts) as ts from nd join nx on nx.sym = nd.sym and nx.day = nd.day + 1 and nx.p8 >= nd.low8 and (nx.p8 - nd.low8) // greatest(nd.low8 // 2000, 1) = nd.bin group by all)
-select sym, day, bin, poc, ts, p8 from hit""")
+select sym, day as hour, bin, poc, ts, p8 from hit""")
 def lvn_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The day's low-volume nodes and the first trade of the next day that enters each: an equi join on the bin, not a search."""
-    b = _bins(spark, d)
+    """The low-volume nodes of each hour and the first trade of the next hour that enters each: an equi join on the bin, not a search."""
+    b = _bins(spark, d, 3_600_000)
     poc = profile.value_area(b, ["sym", "day"]).select("sym", "day", "poc")
     nodes = profile.low_volume_nodes(b, ["sym", "day"], 0.2).join(poc, ["sym", "day"])
     low = b.select("sym", "day", "low8").distinct()
-    nxt = trades(spark, d).withColumn("day", day_no() - 1).join(low, ["sym", "day"]).where("p8 >= low8")
+    nxt = trades(spark, d).withColumn("day", F.call_function("div", F.col("ts"), F.lit(3_600_000).cast("bigint")) - 1).join(low, ["sym", "day"]).where("p8 >= low8")
     width = F.greatest(F.call_function("div", F.col("low8"), F.lit(2000).cast("bigint")), F.lit(1)).cast("bigint")
     nxt = nxt.withColumn("bin", F.call_function("div", F.col("p8") - F.col("low8"), width)).select("sym", "day", "bin", "ts", "seq", "p8")
-    return nodes.join(nxt, ["sym", "day", "bin"]).groupBy("sym", "day", "bin", "poc").agg(F.min("ts").alias("ts"), F.min_by("p8", F.struct("ts", "seq")).alias("p8"))
+    return nodes.join(nxt, ["sym", "day", "bin"]).groupBy("sym", "day", "bin", "poc").agg(F.min("ts").alias("ts"), F.min_by("p8", F.struct("ts", "seq")).alias("p8")).withColumnRenamed("day", "hour")
 
 
 @query()
 def lvn_outcome(spark: SparkSession, d: str) -> DataFrame:
-    """After a trade enters a low-volume node: whether the price reaches 20 bps towards the day's fullest bin first, or 20 bps away, within half an hour."""
+    """After a trade enters a low-volume node: whether the price reaches 20 bps towards the hour's fullest bin first, or 20 bps away, within half an hour."""
     h = lvn_scan(spark, d)
     side = F.when(F.col("poc") > F.col("bin"), 1).otherwise(-1)
-    e = h.select(F.concat_ws("@", "sym", "day", "bin").alias("id"), F.col("sym").alias("key"), "ts", side.alias("side"), "p8")
+    e = h.select(F.concat_ws("@", "sym", "hour", "bin").alias("id"), F.col("sym").alias("key"), "ts", side.alias("side"), "p8")
     s = flow.sampled(trades(spark, d), "sym", 10_000, F.col("p8")).select(F.col("sym").alias("key"), "ts", F.col("v").alias("v8"))
     from tapeloom.operators.studies import first_touch, paths
 

@@ -11,6 +11,7 @@ from tapeloom.operators import bars, flow, sim, stats, studies
 from tapeloom.operators.asof import asof_backward
 from tapeloom.plans.base import FUNDING, OI, QUOTES, SNAPS, TRADES, funding, instruments, open_interest, quotes, snapshots, trades
 from tapeloom.plans.flow import BARS5, BASIS, DAY, SAMPLED, _basis_samples, _quoted_trades, rounded
+from tapeloom.sources.files import exclude_dates
 from tapeloom.sources.tables import table
 
 Q: dict = {}
@@ -135,12 +136,13 @@ def dedup_keep_last(spark: SparkSession, d: str) -> DataFrame:
     return funding(spark, d).select("coin", "ts", "seq", "rate", zero("mark"), zero("idx"))
 
 
-@query(f"""with {TRADES} select tr.* from tr where ts {DAY} not in (select ts {DAY} from tr group by 1 order by count(*) desc, 1 limit 1)""")
+BAD_DATES = ["2018-01-02", "2018-01-05"]
+
+
+@query(f"""with {TRADES} select tr.* from tr where make_date(cast(ts {DAY} as integer)) not in ({", ".join(f"date '{x}'" for x in BAD_DATES)})""")
 def bad_date_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    """Trades without those of a listed date (here the busiest): an anti join against a short list."""
-    t = trades(spark, d).withColumn("day", F.call_function("div", F.col("ts"), F.lit(DAY_MS).cast("bigint")))
-    bad = t.groupBy("day").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "day").limit(1)
-    return t.join(F.broadcast(bad), "day", "left_anti").drop("day")
+    """Trades without those of the listed dates, as ranges of ts that reach the scan."""
+    return exclude_dates(trades(spark, d), "ts", BAD_DATES)
 
 
 @query(f"""with {SNAPS}, ix as (select coin, ts, lead(ts) over (partition by coin, ts {DAY} order by ts) as nxt from (select distinct coin, ts from sn)),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.functions.clean import DAY_MS
+
 # The feed files' declared schemas.
 TRADE = "ts bigint, localts bigint, symbol string, price double, qty double, isbuyermaker boolean"
 BOOK_DELTA = "venuets bigint, capturets bigint, side string, price double, qty double, kind string"
@@ -93,3 +95,12 @@ def synthetic_events(spark: SparkSession, n: int, seed: int, partitions: int = 8
         F.col("id").alias("src_ordinal"), exch.alias("exch_ts"), ((F.col("id") + 1) * 1_000_000).alias("local_ts"), (F.lit(10_000_000_000) + bits(11, 1_000_000)).alias("price"), (1 + bits(19, 100_000_000)).alias("qty"),
         (1 + bits(29, 4)).cast("int").alias("kind"), (1 + bits(37, 2)).cast("int").alias("side"), F.lit(0).alias("flags"),
     )
+
+
+def exclude_dates(rows: DataFrame, ts: str, dates: list[str]) -> DataFrame:
+    """rows (ts in epoch ms) without those of the UTC dates, which are a short list; the ranges can be pushed to the scan. A null ts stays."""
+    t = F.col(ts)
+    for x in dates:
+        start = int(datetime.fromisoformat(x).replace(tzinfo=UTC).timestamp()) * 1000
+        rows = rows.where(t.isNull() | (t < start) | (t >= start + DAY_MS))
+    return rows
