@@ -114,11 +114,23 @@ def z_anomalies(zs: DataFrame, key: str, columns: list[str], threshold: float, l
     return zs.select(key, "ts", F.inline(each)).where(F.abs("z") >= F.col("limit"))
 
 
+def _distances(cov: np.ndarray, diff: np.ndarray) -> np.ndarray:
+    """The distance of each difference under its covariance, 0 where that is singular; other rows do not mind."""
+    try:
+        solved = np.linalg.solve(cov, diff[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        if len(cov) == 1:
+            return np.zeros(1)
+        half = len(cov) // 2
+        return np.concatenate([_distances(cov[:half], diff[:half]), _distances(cov[half:], diff[half:])])
+    return np.sqrt(np.maximum(np.einsum("ni,ni->n", diff, solved), 0))
+
+
 def mahalanobis(rows: DataFrame, key: str, columns: list[str], n: int, ridge: float = 1e-3, cap: float = 40.0) -> DataFrame:
     """Distance of each row to the n rows before it, with a ridge on the covariance; null until the window is full, at most cap.
 
     The moments come from window sums over the columns and their products; only the small solves run in Python,
-    batched over Arrow. Groups are (key, day), frames n rows.
+    batched over Arrow. Groups are (key, day), frames n rows. A row whose covariance is singular is at 0.
     """
     d = len(columns)
     w = session(key, "ts").rowsBetween(-n, -1)
@@ -139,11 +151,7 @@ def mahalanobis(rows: DataFrame, key: str, columns: list[str], n: int, ridge: fl
                     cov[:, i, j] = cov[:, j, i] = flat[:, p]
                 var = np.einsum("nii->ni", cov)
                 cov[:, np.arange(d), np.arange(d)] += ridge * np.maximum(var, var.mean(1, keepdims=True)) + 1e-12
-                try:
-                    out[ok] = np.sqrt(np.maximum(np.einsum("ni,ni->n", diff, np.linalg.solve(cov, diff[..., None])[..., 0]), 0))
-                except np.linalg.LinAlgError:
-                    out[ok] = 0.0
-                out[ok] = np.minimum(out[ok], cap)
+                out[ok] = np.minimum(_distances(cov, diff), cap)
             yield pd.DataFrame({key: b[key], "ts": b["ts"], "distance": pd.array(np.where(np.isnan(out), None, out), dtype="Float64")})
 
     kind = rows.schema[key].dataType.simpleString()

@@ -143,6 +143,11 @@ def test_discoveries_and_distance(spark):
     assert anomaly.shuffled_distance(v[30:51], 1) == anomaly.shuffled_distance(v[30:51], 1) > 0
 
 
+def test_a_singular_covariance_concerns_its_own_row_only():
+    cov = np.stack([np.eye(2), np.zeros((2, 2)), 4 * np.eye(2)])
+    assert bars._distances(cov, np.array([[3.0, 4.0], [1.0, 1.0], [6.0, 8.0]])).tolist() == [5.0, 0.0, 5.0]
+
+
 def test_gates_and_sequences(spark):
     s = spark.createDataFrame([("A", k, k, 1) for k in range(20)], "k string, ts bigint, no bigint, side int")
     assert [x.no for x in anomaly.rate_limited(s, "k", 10, 20).orderBy("ts").collect()] == [0, 1, 10, 11]
