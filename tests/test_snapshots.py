@@ -30,3 +30,19 @@ def test_empty_and_repeats(spark):
     assert diff(spark, []) == []
     rows = [("A", 1, "bid", 10, 5, 1, k) for k in range(50)] + [("A", 2, "bid", 10, 5, 1, 100 + k) for k in range(50)]
     assert diff(spark, rows) == []
+
+
+def test_changes_that_hash_alike(spark):
+    # xxhash64 of the two quantities as text is the same
+    rows = [("A", 1, "bid", 10, 1105392212317502, 1, 1), ("A", 2, "bid", 10, 2494658712317506, 1, 2), ("A", 3, "bid", 10, 2494658712317506, 1, 3)]
+    assert diff(spark, rows) == [("A", 2, "bid", 10, "changed")]
+
+
+def test_changes_that_read_alike(spark):
+    rows = [
+        (1, 1.0, None, ["a, b"], 1), (2, 1.0, "\0", ["a, b"], 2), (3, 1.0, "\0", ["a", "b"], 3), (4, 1.0, "\0", ["a", "b"], 4),
+        (1, float("nan"), "x", [], 5), (3, float("nan"), "x", [], 6),
+    ]
+    df = spark.createDataFrame([("A", *r) for r in rows], "coin string, at bigint, key double, text string, list array<string>, seq int")
+    got = sorted((r.at, str(r.key), r.change_kind) for r in snapshot_diff(df, ["coin"], "at", ["key"], ["text", "list"], ["seq"], F.lit(False)).collect())
+    assert got == [(2, "1.0", "changed"), (2, "nan", "removed"), (3, "1.0", "changed"), (3, "nan", "added"), (4, "nan", "removed")]
